@@ -83,13 +83,13 @@ def pair64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def sub_batches(batches, max_bytes: int = 4_000_000, column: str = "text"):
     """Arrow batches cut into slices of about max_bytes of text, one row at least."""
-    import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < n:

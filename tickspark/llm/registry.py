@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickspark.llm import mixing, sharding
+from tickspark.llm import language_id, mixing, quality, sharding, token_counts
 
-MODULES = (mixing, sharding)
+MODULES = (mixing, language_id, token_counts, quality, sharding)
 
 
 def queries() -> dict:
