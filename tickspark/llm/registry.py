@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickspark.llm import language_id, mixing, ngram_join, quality, sharding, token_counts
+from tickspark.llm import language_id, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts
 
-MODULES = (mixing, language_id, token_counts, quality, ngram_join, sharding)
+MODULES = (mixing, suffix_dedup, language_id, token_counts, quality, ngram_join, sharding)
 
 
 def queries() -> dict:
