@@ -5,7 +5,8 @@ bytes inside words, word borders marked), put through a linear softmax.  Both
 layers are trained in numpy by stochastic gradient descent on a bounded,
 stratified sample of labelled rows.  A held-out fifth of that sample calibrates:
 a temperature makes the scores probabilities, and the rejection threshold is the
-lowest score above which at most ``max_error`` of the held-out texts are wrong.
+lowest score above which at most ``max_error`` of the held-out texts are wrong,
+but never above one half: what is more likely right than wrong is accepted.
 
 Prediction is map-side.  As the model is linear in the average, embeddings and
 softmax weights fold into one score per subword and language, so that a text
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickspark.llm.common import read_table, sub_batches
 
@@ -161,10 +163,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: flo
         order = np.argsort(-p.max(1), kind="stable")
         wrong = np.cumsum(p.argmax(1)[order] != y[order])
         fine = np.flatnonzero(wrong <= max_error * np.arange(1, y.size + 1))
-        if fine.size and fine[-1] < y.size - 1:
-            model.threshold = float(p.max(1)[order[fine[-1]]])
-        elif not fine.size:
-            model.threshold = 1.0
+        if not fine.size or fine[-1] < y.size - 1:
+            model.threshold = min(0.5, float(p.max(1)[order[fine[-1]]]) if fine.size else 1.0)
     return model
 
 
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             accepted = [x != UNKNOWN and s >= m.threshold for x, s in zip(lang, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "accepted"])
 
-    schema = keep.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = T.StructType([*keep.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     return keep.mapInArrow(run, schema)
 
 
