@@ -13,10 +13,11 @@ piece, whichever bucket it falls into.  Documents whose prefix consists of
 shingles of their own can't have a partner and leave here; documents with equal
 sets become one class.
 
-Long posting lists are not expanded to pairs.  The first waves compare members
-with one centre of their list and merge what is similar; the last wave is exact:
-it compares whatever still stands in different components and shares a prefix
-shingle, after length and positional filters, each pair once.  Components are
+Posting lists are not expanded to pairs.  The first waves compare members with
+one centre of their list and merge what is similar; the last wave is exact: it
+compares whatever still stands in different components and shares a prefix
+shingle, after length and positional filters, each pair once, at the first
+shingle that both hold.  Components are
 then those of the full link graph: a pair that was never compared was already
 connected.
 """
@@ -24,14 +25,14 @@ connected.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import Scratch, mix64, pair64, read_table, sub_batches
 from tickspark.llm.components import components
 
 KEY_BITS = 56
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_500_000
 BUCKET_BYTES = 16_000_000
 
 _RNG = np.random.default_rng(1234567)
@@ -298,8 +299,8 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     members = scratch.save(keyed.join(classes, ["n", "key"]).select("row", "rep"), "members")
     reps = scratch.save(live.drop("doc_id").withColumnRenamed("row", "rep").join(classes.select("rep", "low"), "rep"), "reps")
     postings = reps.mapInArrow(_postings(num, den), "token long, rep long, n long, pos long")
-    several = postings.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    postings = scratch.save(postings.join(several, "token"), "postings")
+    shared = postings.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    postings = scratch.save(postings.join(shared, "token"), "postings")
 
     edges = tested = labels = None
 
@@ -327,21 +328,36 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
         need = F.ceil((a + b) * num / (num + den) - 1e-9)
         return (a * num <= b * den) & (b * num <= a * den) & (F.least(a - F.col(pa), b - F.col(pb)) >= need)
 
-    def stars(rows: DataFrame, seed: int) -> DataFrame:
-        """Each list's members against one centre, drawn by hash, if they stand in another component."""
-        centre = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "n", "pos", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    def against(rows: DataFrame, centre: DataFrame) -> DataFrame:
+        """Each list's members against its centre, if they stand in another component."""
         centre = centre.select("token", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("rep", "n", "pos", "comp")))
-        pairs = rows.join(centre, "token").where("comp <> c_comp")
-        return pairs.where(fits("n", "pos", "c_n", "c_pos")).select(F.col("rep").alias("a"), F.col("c_rep").alias("b"))
-
-    for seed, wave in ((1, postings.where("pmod(xxhash64(token), 16) = 0")), (2, postings), (3, postings)):
-        verify(stars(labelled(wave), seed))
-        labels = scratch.save(components(edges, scratch), "labels")
+        pairs = rows.join(centre, "token").where((F.col("comp") != F.col("c_comp")) & fits("n", "pos", "c_n", "c_pos"))
+        return pairs.select(F.col("rep").alias("a"), F.col("c_rep").alias("b"))
+
+    def several(rows: DataFrame, order: Column) -> DataFrame:
+        """The first member by order of each list that spans two components or more."""
+        lists = rows.groupBy("token").agg(F.min(F.struct(order.alias("h"), "rep", "n", "pos", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return lists.where("lo <> hi").select("token", "c")
+
+    # The member with the fewest shingles rarer than the list's is the least changed of a family: most others link to it.
+    verify(against(rows := labelled(postings), several(rows, F.col("pos"))))
+    labels = scratch.save(components(edges, scratch), "labels")
+    # The same among those that stand apart from it.
+    rows = labelled(postings)
+    apart = rows.join(several(rows, F.col("pos")).select("token", F.col("c.comp").alias("c_comp")), "token").where("comp <> c_comp").drop("c_comp")
+    verify(against(apart, several(apart, F.col("pos"))))
+    labels = scratch.save(components(edges, scratch), "labels")
+    rows = labelled(postings)
+    verify(against(rows, several(rows, F.xxhash64("rep", F.lit(3)))))
+    labels = scratch.save(components(edges, scratch), "labels")
+    # Exact: what still stands apart and shares a prefix shingle, at the first one that both hold.
     rows = labelled(postings)
-    open_lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = scratch.save(rows.join(open_lists, "token"), "open")
-    other = rows.select("token", *(F.col(x).alias(f"o_{x}") for x in ("rep", "n", "pos", "comp")))
-    crossing = rows.join(other, "token").where((F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & fits("n", "pos", "o_n", "o_pos"))
+    rows = scratch.save(rows.join(several(rows, F.col("pos")).select("token"), "token"), "open")
+    heads = rows.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("head"))
+    rows = scratch.save(rows.join(heads, "rep"), "heads")
+    other = rows.select(F.col("token").alias("o_token"), *(F.col(x).alias(f"o_{x}") for x in ("rep", "n", "pos", "comp", "head")))
+    first = F.element_at(F.array_intersect("head", "o_head"), 1) == F.col("token")
+    crossing = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & fits("n", "pos", "o_n", "o_pos") & first)
     verify(crossing.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
     labels = components(edges, scratch).withColumnRenamed("node", "rep")
     named = reps.select("rep", "low").join(labels, "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("comp"))
