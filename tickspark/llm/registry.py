@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickspark.llm import language_id, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts
+from tickspark.llm import decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts
 
-MODULES = (mixing, suffix_dedup, language_id, pii, token_counts, quality, ngram_join, sharding)
+MODULES = (mixing, suffix_dedup, language_id, decontaminate, pii, token_counts, quality, ngram_join, sharding)
 
 
 def queries() -> dict:
