@@ -1,0 +1 @@
+"""Tick-data analytics on Spark DataFrames."""
