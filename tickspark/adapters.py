@@ -29,13 +29,13 @@ def events_to_ticks(events: DataFrame) -> DataFrame:
 
 
 def lineitem_to_ticks(lineitem: DataFrame) -> DataFrame:
-    """Trades of parts: unit price and quantity at the ship date."""
+    """Trades of parts: unit price in whole cents and quantity at the ship date."""
     return lineitem.select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("sym"),
         (F.col("l_partkey") + 1).cast("int").alias("idx"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
         F.lit(3).alias("ttf"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).cast(PRICE).alias("px"),
+        (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100).cast(PRICE).alias("px"),
         F.col("l_quantity").cast(PRICE).alias("sz"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq"),
     )
