@@ -30,14 +30,14 @@ TICKS = T.StructType(
         T.StructField("msec", T.IntegerType()),
         T.StructField("flow", T.StringType()),
         T.StructField("ttf", T.IntegerType()),
-        T.StructField("px", PRICE),
-        T.StructField("sz", PRICE),
+        T.StructField("px", LOSSLESS),
+        T.StructField("sz", LOSSLESS),
         T.StructField("is_mkt", T.BooleanType()),
         T.StructField("w", WIDE),
-        *(T.StructField(c, PRICE) for c in ("bp", "ap", "bq", "aq", "tvpr", "tq", "o", "h", "l", "c", "vwap", "twap")),
+        *(T.StructField(c, LOSSLESS) for c in ("bp", "ap", "bq", "aq", "tvpr", "tq", "o", "h", "l", "c", "vwap", "twap")),
         T.StructField("sta_ts", T.TimestampNTZType()),
         T.StructField("cnt", T.LongType()),
-        T.StructField("vol", PRICE),
+        T.StructField("vol", LOSSLESS),
         T.StructField("seq", T.LongType()),
     ]
 )

@@ -1 +1,89 @@
+"""Candles, snapshots and keyed clean-up as Structured Streaming."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tickspark.adapters import events_to_ticks
+from tickspark.schema import ASK, BID, PRICE, TRA, key
+
+
+def read_ticks(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """A growing folder of Parquet as a stream."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", glob).parquet(path) if glob else reader.parquet(path)
+
+
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of ticks."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return events_to_ticks(read_ticks(spark, sf_dir, schema, glob="events.parquet"))
+
+
+def _timed(ticks: DataFrame, delay: str) -> DataFrame:
+    """Watermarks take stamps with zone only; sessions run in UTC, so the cast moves nothing."""
+    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+def stream_candles(ticks: DataFrame, length: int = 300, modulus: int = 0, delay: str = "10 minutes") -> DataFrame:
+    """As the batch candles.  In append mode a candle comes when the watermark passes its end; later ticks are dropped."""
+    window = F.window("ts", f"{length} seconds", startTime=f"{modulus} seconds")
+    rows = _timed(ticks.where(F.col("ttf").isin(BID, ASK, TRA) & F.col("px").isNotNull()), delay)
+    out = rows.groupBy("sym", F.col("ttf").alias("side"), window.alias("w")).agg(F.min_by("px", key()).alias("o"), F.max("px").alias("h"), F.min("px").alias("l"), F.max_by("px", key()).alias("c"), F.count("*").alias("cnt"))
+    return out.select("sym", "side", F.col("w.end").cast("timestamp_ntz").alias("ts"), F.col("w.start").cast("timestamp_ntz").alias("sta_ts"), "o", "h", "l", "c", "cnt")
+
+
+def stream_snapshots(ticks: DataFrame, length: int = 300, modulus: int = 0, delay: str = "10 minutes") -> DataFrame:
+    """As the batch snapshots."""
+    from tickspark.functions.decimals import vwap
+
+    window = F.window("ts", f"{length} seconds", startTime=f"{modulus} seconds")
+    last = lambda c, t: F.max_by(F.when(F.col("ttf") == t, F.col(c)), F.when(F.col("ttf") == t, key()))
+    trade = lambda c: F.when(F.col("ttf") == TRA, F.col(c))
+    rows = _timed(ticks.where(F.col("ttf").isin(BID, ASK, TRA) & F.col("px").isNotNull()), delay)
+    out = rows.groupBy("sym", window.alias("w")).agg(last("px", BID).alias("bp"), last("sz", BID).alias("bq"), last("px", ASK).alias("ap"), last("sz", ASK).alias("aq"), vwap(trade("px"), trade("sz")).alias("tvpr"), F.sum(trade("sz")).cast(PRICE).alias("tq"))
+    return out.select("sym", F.col("w.end").cast("timestamp_ntz").alias("ts"), "bp", "bq", "ap", "aq", "tvpr", "tq")
+
+
+STATE = "px decimal(18,4), sz decimal(18,4)"
+CLEAN = "sym string, ttf int, ts timestamp, px decimal(18,4), sz decimal(18,4), seq long"
+
+
+def stream_clean(ticks: DataFrame) -> DataFrame:
+    """Per symbol and type: missing prices and sizes from the last tick, repeats dropped; the last tick is the state."""
+
+    def step(_key, parts: Iterator, state):
+        import pandas as pd
+
+        px, sz = state.get if state.exists else (None, None)
+        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
+        keep = []
+        for r in rows.itertuples(index=False):
+            new = (px if pd.isna(r.px) else r.px, sz if pd.isna(r.sz) else r.sz)
+            if new != (px, sz) or not (state.exists or keep):
+                keep.append((r.sym, r.ttf, r.ts, *new, r.seq))
+            px, sz = new
+        state.update((px, sz))
+        yield pd.DataFrame(keep, columns=["sym", "ttf", "ts", "px", "sz", "seq"])
+
+    rows = ticks.select("sym", "ttf", F.col("ts").cast("timestamp").alias("ts"), "px", "sz", "seq")
+    return rows.groupBy("sym", "ttf").applyInPandasWithState(step, CLEAN, STATE, "append", "NoTimeout")
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+    """Drive a stream over what is there now and return the result table."""
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append a stream to a Parquet folder, each row once."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
