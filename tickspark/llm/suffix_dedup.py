@@ -192,7 +192,7 @@ def _spans(length: int):
         new = np.ones(no.size, bool)
         new[1:] = (no[1:] != no[:-1]) | (at[1:] != at[:-1] + 1)
         a = np.flatnonzero(new)
-        b = np.append(a[1:], no.size) - 1
+        b = np.append(a[1:], no.size)[: a.size] - 1
         return pa.table({"key": pa.array(key[no[a]]), "a": pa.array(first[no[a]] + at[a]), "b": pa.array(first[no[a]] + at[b] + length)})
 
     return run
