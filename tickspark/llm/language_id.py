@@ -107,8 +107,11 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: float = 0.4, max_error: float = 0.005) -> Model:
-    """Fit on (text, language) pairs; pieces of 4 to 40 words join the whole texts, so that short texts are known too."""
+def train(rows: list[tuple[str, str]], seed: int = 5, steps: int = 18_000, rate: float = 0.4, max_error: float = 0.005) -> Model:
+    """Fit on (text, language) pairs; pieces of 4 to 40 words join the whole texts, so that short texts are known too.
+
+    steps is the least number of gradient steps; a small sample is gone through more often.
+    """
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     if len(langs) < 2:
@@ -131,6 +134,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5, epochs: int = 6, rate: flo
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.3, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     fit = np.flatnonzero(~held)
+    epochs = max(4, -(-steps // max(1, fit.size)))
     step, steps = 0, epochs * fit.size
     for _ in range(epochs):
         for i in rng.permutation(fit):
