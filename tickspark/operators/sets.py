@@ -33,9 +33,14 @@ def union(*parts: DataFrame) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Ticks of only one table, with ``side`` < or >, each as often as it is too many."""
+    """Ticks of only one table, with ``side`` < or >, each as often as it is too many.  Columns match by name."""
+    b = b.select(a.columns)
     return a.exceptAll(b).withColumn("side", F.lit("<")).unionByName(b.exceptAll(a).withColumn("side", F.lit(">")))
 
 
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    return a.intersect(b.select(a.columns))
+
+
+def distinct_union(*parts: DataFrame) -> DataFrame:
+    return union(*parts).distinct()
