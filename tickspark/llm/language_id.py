@@ -6,7 +6,8 @@ layers are trained in numpy by stochastic gradient descent on a bounded,
 stratified sample of labelled rows.  A held-out fifth of that sample calibrates:
 a temperature makes the scores probabilities, and the rejection threshold is the
 lowest score above which at most ``max_error`` of the held-out texts are wrong,
-but never above one half: what is more likely right than wrong is accepted.
+but never above MAX_THRESHOLD: a rejected document is lost for good, so texts in
+which two languages are mixed stay.
 
 Prediction is map-side.  As the model is linear in the average, embeddings and
 softmax weights fold into one score per subword and language, so that a text
@@ -27,6 +28,7 @@ from tickspark.llm.common import read_table, sub_batches
 
 BITS, ORDERS, DIM = 16, (2, 3, 4), 16
 UNKNOWN = "und"
+MAX_THRESHOLD = 0.4
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -168,7 +170,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5, steps: int = 18_000, rate:
         wrong = np.cumsum(p.argmax(1)[order] != y[order])
         fine = np.flatnonzero(wrong <= max_error * np.arange(1, y.size + 1))
         if not fine.size or fine[-1] < y.size - 1:
-            model.threshold = min(0.5, float(p.max(1)[order[fine[-1]]]) if fine.size else 1.0)
+            model.threshold = min(MAX_THRESHOLD, float(p.max(1)[order[fine[-1]]]) if fine.size else 1.0)
     return model
 
 
