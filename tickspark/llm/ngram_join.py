@@ -125,7 +125,7 @@ def _unpack(data: bytes) -> np.ndarray:
 _ROW = "bucket int, uid long, piece boolean, a binary, b binary, c binary, d binary"
 
 
-def _split(bits: int):
+def _split(bits: int, shingler):
     """Texts to packed shingles by bucket, and one row for each piece that says which documents hold its shared shingles."""
     low_bits = KEY_BITS - bits
 
@@ -137,7 +137,7 @@ def _split(bits: int):
         schema = pa.schema([("bucket", pa.int32()), ("uid", pa.int64()), ("piece", pa.bool_()), *((c, pa.binary()) for c in "abcd")])
         for k, batch in enumerate(sub_batches(batches, PIECE_BYTES)):
             uid = part << 32 | k  # the same when a lost task runs again
-            sets = shingle_sets(batch.column("text").to_pylist())
+            sets = shingler(batch.column("text").to_pylist())
             sizes = np.array([s.size for s in sets], np.uint32)
             key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
@@ -230,11 +230,11 @@ def _assemble(bits: int, num: int, den: int):
     return run
 
 
-def document_sets(docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def document_sets(docs: DataFrame, scratch: Scratch, num: int, den: int, shingler=shingle_sets) -> DataFrame:
     """row (unique), doc_id, n (size of the set), shared (binary: its shingles that other documents hold too, rare first, or null if no partner is possible)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, min(18, int(total // BUCKET_BYTES).bit_length()))
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(bits), _ROW)
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(bits, shingler), _ROW)
     counted = packed.groupBy("bucket").applyInArrow(_count, _ROW)
     return scratch.save(counted.groupBy("uid").applyInArrow(_assemble(bits, num, den), "row long, doc_id long, n long, shared binary"), "sets")
 
@@ -281,8 +281,8 @@ def _verify(num: int, den: int):
     return run
 
 
-def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row, at similarity num/den.
+def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shingle_sets) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row, at similarity num/den of the sets that shingler makes of texts.
 
     Null, empty and wordless texts have the empty set and no links.  Equal sets
     link.  Repeated rows are nodes of their own with the same set.  A component
@@ -290,7 +290,7 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    sets = document_sets(docs, scratch, num, den)
+    sets = document_sets(docs, scratch, num, den, shingler)
     free_shuffles(spark)
     live = sets.where("shared is not null")
     whole = F.octet_length("shared") == 8 * F.col("n")  # a set with shingles of its own equals no other
@@ -298,6 +298,9 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     classes = scratch.save(keyed.groupBy("n", "key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("low")), "classes")
     members = scratch.save(keyed.join(classes, ["n", "key"]).select("row", "rep"), "members")
     reps = scratch.save(live.drop("doc_id").withColumnRenamed("row", "rep").join(classes.select("rep", "low"), "rep"), "reps")
+    slim = scratch.save(sets.select("row", "doc_id", F.col("n").alias("n_shingles")), "slim")
+    scratch.drop(sets)
+    free_shuffles(spark)
     postings = reps.mapInArrow(_postings(num, den), "token long, rep long, n long, pos long")
     shared = postings.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
     postings = scratch.save(postings.join(shared, "token"), "postings")
@@ -316,6 +319,8 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         found = done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = found if edges is None else edges.union(found)
+        del pairs, left, right, done, found
+        free_shuffles(spark)
 
     def labelled(wave: DataFrame) -> DataFrame:
         comp = F.col("rep").alias("comp") if labels is None else F.coalesce("component", "rep").alias("comp")
@@ -363,8 +368,11 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     named = reps.select("rep", "low").join(labels, "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("comp"))
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     names = scratch.save(named.join(names, "comp").select("rep", "component_id"), "names")
+    for table in (reps, postings):
+        scratch.drop(table)
+    free_shuffles(spark)
     found = members.join(names, "rep").select("row", "component_id")
-    return sets.select("row", "doc_id", F.col("n").alias("n_shingles")).join(found, "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return slim.join(found, "row", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def free_shuffles(spark: SparkSession) -> None:
