@@ -1,53 +1,103 @@
-"""Rules over a series in order of arrival; all are windows per symbol, or symbol and side."""
+"""Rules over a series in order of arrival.
+
+A series is not sorted in one task, since one symbol can hold a third of all
+ticks.  It is cut into slices (a day, or a million arrivals); what a rule needs
+from before a slice is the last value of an earlier one, which one aggregation
+with a row per slice gives.  Windows then run within slices.  Ticks without a
+symbol are no series: rules see them slice by slice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.functions.times import micros
 from tickspark.schema import AUC, TRA
 
+DAY_US = 86_400_000_000
+ARRIVALS = 1_000_000
+
+
+def _by_day() -> Column:
+    return F.floor(micros(F.col("ts")) / DAY_US)
+
+
+def _by_arrival() -> Column:
+    return F.floor(F.col("seq") / ARRIVALS)
+
+
+class _Slices:
+    """Rows with the last value before each slice, and windows within slices."""
 
-def _series(*by: str):
-    return Window.partitionBy(*by).orderBy("ts", "seq")
+    def __init__(self, ticks: DataFrame, by: tuple[str, ...], values: dict[str, Column], cut: Column, order: tuple[str, ...] = ("ts", "seq"), skip_nulls: bool = False):
+        if not skip_nulls:  # a null value is a value, other than no row before
+            values = {n: F.struct(v.alias("v")) for n, v in values.items()}
+        self.by, self.order, self.values, self.skip_nulls = (*by, "_slice"), order, values, skip_nulls
+        rows = ticks.withColumn("_slice", cut)
+        key = F.struct(*order)
+        ends = rows.groupBy(*self.by).agg(*(F.max_by(v, F.when(v.isNotNull(), key) if skip_nulls else key).alias(f"_end_{n}") for n, v in values.items()))
+        earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        before = ends.select(*self.by, *(F.last(f"_end_{n}", skip_nulls).over(earlier).alias(f"_before_{n}") for n in values))
+        self.rows = rows.join(before, list(self.by), "left")
+
+    def _window(self, last: int):
+        return Window.partitionBy(*self.by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, last)
+
+    def previous(self, name: str) -> Column:
+        """The value of the row before; without nulls, the last one before that isn't null."""
+        here = F.last(self.values[name], self.skip_nulls).over(self._window(-1))
+        value = F.coalesce(here, F.col(f"_before_{name}"))
+        return value if self.skip_nulls else value["v"]
+
+    def latest(self, name: str) -> Column:
+        """The last value that isn't null, this row's included."""
+        return F.coalesce(F.last(self.values[name], True).over(self._window(0)), F.col(f"_before_{name}"))
+
+    def done(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("_slice", *(f"_before_{n}" for n in self.values))
 
 
 def drop_repeats(ticks: DataFrame, columns: tuple[str, ...] = ("px", "sz")) -> DataFrame:
     """Only ticks that differ from the one before of the same symbol and type."""
-    w = _series("sym", "ttf")
     now = F.struct(*columns)
-    return ticks.withColumn("_first", F.row_number().over(w) == 1).withColumn("_same", now.eqNullSafe(F.lag(now).over(w))).where("_first or not _same").drop("_first", "_same")
+    s = _Slices(ticks, ("sym", "ttf"), {"now": now}, _by_day())
+    rows = s.rows.withColumn("_previous", s.previous("now"))
+    return s.done(rows.where(F.col("_previous").isNull() | ~now.eqNullSafe(F.col("_previous"))).drop("_previous"))
 
 
 def fill_missing(ticks: DataFrame) -> DataFrame:
     """A tick without price or size takes the last one of its symbol and type."""
-    w = _series("sym", "ttf").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.withColumns({c: F.last(c, True).over(w) for c in ("px", "sz")})
+    s = _Slices(ticks, ("sym", "ttf"), {c: F.col(c) for c in ("px", "sz")}, _by_day(), skip_nulls=True)
+    return s.done(s.rows.withColumns({c: s.latest(c) for c in ("px", "sz")}))
 
 
 def drop_repeated_sizes(ticks: DataFrame) -> DataFrame:
     """Ticks with a size only go if the size is the last one known."""
-    w = _series("sym", "ttf").rowsBetween(Window.unboundedPreceding, -1)
-    return ticks.withColumn("_last", F.last("sz", True).over(w)).where(F.col("px").isNotNull() | F.col("_last").isNull() | (F.col("sz") != F.col("_last"))).drop("_last")
+    s = _Slices(ticks, ("sym", "ttf"), {"sz": F.col("sz")}, _by_day(), skip_nulls=True)
+    rows = s.rows.withColumn("_last", s.previous("sz"))
+    return s.done(rows.where(F.col("px").isNotNull() | F.col("_last").isNull() | (F.col("sz") != F.col("_last"))).drop("_last"))
 
 
 def gaps(ticks: DataFrame) -> DataFrame:
     """Microseconds since the tick before of the same symbol and type."""
-    return ticks.withColumn("gap_us", micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(_series("sym", "ttf")))
+    s = _Slices(ticks, ("sym", "ttf"), {"us": micros(F.col("ts"))}, _by_day())
+    return s.done(s.rows.withColumn("gap_us", micros(F.col("ts")) - s.previous("us")))
 
 
 def repair_stamps(ticks: DataFrame, second: str = "ts2") -> DataFrame:
     """A tick without stamp takes the later of its second stamp and the last stamp of its symbol."""
-    w = Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return ticks.withColumn("ts", F.coalesce("ts", F.greatest(F.col(second), F.last("ts", True).over(w))))
+    s = _Slices(ticks, ("sym",), {"ts": F.col("ts")}, _by_arrival(), ("seq",), skip_nulls=True)
+    rows = s.rows.withColumn("_last", s.previous("ts"))
+    return s.done(rows.withColumn("ts", F.coalesce("ts", F.greatest(F.col(second), F.col("_last")))).drop("_last"))
 
 
 def receive_lag(ticks: DataFrame, lag: str = "lag_us") -> DataFrame:
     """Running offset per symbol: half of the last offset and half of the lag.
 
     With weights 2 ** -k the last 62 lags decide the result to a float's
-    precision, so a bounded frame gives the recursion without state.
+    precision, so a bounded frame gives the recursion without state.  This frame
+    reaches over slices; a symbol's series is one group here.
     """
     w = Window.partitionBy("sym").orderBy("ts", "seq").rowsBetween(-62, 0)
     recent = F.collect_list(F.col(lag).cast("double")).over(w)
@@ -56,13 +106,19 @@ def receive_lag(ticks: DataFrame, lag: str = "lag_us") -> DataFrame:
 
 def route_auctions(ticks: DataFrame, opens: str = "opens_auction", closes: str = "closes_auction") -> DataFrame:
     """Size-only trades after an auction mark are auction ticks until a trade mark."""
-    w = _series("sym").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(F.col(opens), True).when(F.col(closes), False), True).over(w)
-    routed = F.when((F.col("ttf") == TRA) & F.col("px").isNull() & F.coalesce(state, F.lit(False)), AUC).otherwise(F.col("ttf"))
-    return ticks.withColumn("ttf", routed)
+    mark = F.when(F.col(opens), True).when(F.col(closes), False)
+    s = _Slices(ticks, ("sym",), {"mark": mark}, _by_day(), skip_nulls=True)
+    rows = s.rows.withColumn("_state", s.latest("mark"))
+    routed = F.when((F.col("ttf") == TRA) & F.col("px").isNull() & F.coalesce("_state", F.lit(False)), AUC).otherwise(F.col("ttf"))
+    return s.done(rows.withColumn("ttf", routed).drop("_state"))
+
+
+def with_previous_stamp(ticks: DataFrame, name: str = "prev_ts") -> DataFrame:
+    """Add the stamp of the tick that arrived before of the same symbol."""
+    s = _Slices(ticks, ("sym",), {"ts": F.col("ts")}, _by_arrival(), ("seq",))
+    return s.done(s.rows.withColumn(name, s.previous("ts")))
 
 
 def unsorted(ticks: DataFrame) -> DataFrame:
     """Ticks that arrive with a smaller stamp than the one before of their symbol."""
-    w = Window.partitionBy("sym").orderBy("seq")
-    return ticks.withColumn("prev_ts", F.lag("ts").over(w)).where("ts < prev_ts")
+    return with_previous_stamp(ticks).where("ts < prev_ts")

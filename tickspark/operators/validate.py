@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.operators.clean import with_previous_stamp
 from tickspark.schema import CANDLE, QUAD
 
 
 def issues(ticks: DataFrame) -> DataFrame:
     """(seq, sym, issue): missing stamps or symbols, types that aren't written, disorder in arrival."""
-    w = Window.partitionBy("sym").orderBy("seq")
-    rows = ticks.withColumn("_prev", F.lag("ts").over(w))
+    rows = with_previous_stamp(ticks, "_prev")
     both = F.lit(CANDLE | QUAD)
     checks = {
         "no stamp": F.col("ts").isNull(),
