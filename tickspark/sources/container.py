@@ -80,8 +80,8 @@ def pages(data: bytes) -> Iterator[tuple[bytes, str, bool]]:
             page = data[offset : offset + size]
             yield (lzma.decompress(page[4:]) if data[10] & PACKED else page), order, old
     else:
-        slut = struct.unpack_from(f"{order}I", data, 16)[0]
-        yield data[place : len(data) - slut], order, old
+        names = struct.unpack_from(f"{order}I", data, 16)[0]  # bytes of the symbol table at the end
+        yield data[place : len(data) - names], order, old
 
 
 def _frame(data: bytes):
