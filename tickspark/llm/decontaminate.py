@@ -115,8 +115,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that hold an item; rows of one doc_id, null included, go or stay together."""
+    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}

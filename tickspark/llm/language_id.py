@@ -175,7 +175,8 @@ def train(rows: list[tuple[str, str]], seed: int = 5, steps: int = 18_000, rate:
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
+    """Whether a row is of the third that no model learns from; rows without id aren't."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, per_lang: int, seed: int = 11) -> list[tuple[str, str]]:
