@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickspark import sinks, sources
@@ -28,6 +29,14 @@ def test_tick_text_and_bad_lines(spark):
     assert "24:00:00.000+00:00" in sinks.tick_text(out).collect()[1]["value"]
 
 
+HOSTILE = ["", "\t" * 9, "A\t2011-13-45T99:00:00Z\t1\t1\t1\t1", "A\t2011-03-01T10:00:00Z\tfffffffffffffffffffff\tffffffffffff\t1\t1", "A\t2011-03-01T10:00:00Z\t1\t1\t" + "9" * 60 + "\t1.2.3", "A\t2011-03-01T10:00:00Z\t1\t11\t1\t1\t1\t1\tffffffffffffffff|x\tffffffffffffffffff", "99999999999999999999.1 S b1.2.3 t9.9.9.9", "1.5 S b" + "8" * 50, "A,B,C", "a|b|c|d|f2=x|f3", "1 PRIVMSG #xxABCDEF :{bad", "A\t2011-03-01 10:00:00\tx\ty\t1\t1\t99999999999"]
+
+
+@pytest.mark.parametrize("fmt", ["ticktext", "ariva", "truefx", "fxstreet", "forexfactory", "fieldlist", "rtdump"])
+def test_hostile_lines_fail_nothing(spark, fmt):
+    sources.TEXT[fmt](frame(spark, HOSTILE)).collect()
+
+
 def test_tick_text_round_trip_of_files(spark, tmp_path):
     lines = ["AB\t2011-03-01T10:00:02.766+00:00\t0001\t01\t77.0560\t1500000.0000", "AB\t2011-03-01T10:00:03.000+00:00\t0001\t0c\t77.0560\t77.1000"]
     sinks.write_text(sources.TEXT["ticktext"](frame(spark, lines)), str(tmp_path / "out"))

@@ -49,16 +49,16 @@ def _at(value: Column, code: Column) -> Column:
 
 def parse_narrow(s: Column) -> Column:
     """Leading number of a text, rounded half up to its narrow scale."""
-    return _at(number_text(s).cast("decimal(38,18)").cast("decimal(38,8)"), narrow_scale(s)).cast("decimal(21,8)")
+    return _at(number_text(s).try_cast("decimal(38,18)").cast("decimal(38,8)"), narrow_scale(s)).cast("decimal(21,8)")
 
 
 def parse_wide(s: Column) -> Column:
-    return _at(number_text(s).cast("decimal(38,18)").cast("decimal(38,8)"), wide_scale(s))
+    return _at(number_text(s).try_cast("decimal(38,18)").cast("decimal(38,8)"), wide_scale(s))
 
 
 def parse_whole(s: Column) -> Column:
     """Only the integer part."""
-    return F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1).cast("bigint")
+    return F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint")
 
 
 def mantissa(value: Column, code: Column) -> Column:

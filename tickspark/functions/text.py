@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def hex_to_int(s: Column) -> Column:
-    """Hexadecimal number up to a bar, null if there is none."""
-    digits = F.regexp_extract(s, r"^\s*(?:0[xX])?([0-9A-Fa-f]+)", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10).cast("bigint"))
+    """Hexadecimal number of 15 digits at most up to a bar, null if there is none."""
+    digits = F.regexp_extract(s, r"^\s*(?:0[xX])?([0-9A-Fa-f]{1,15})(?![0-9A-Fa-f])", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).try_cast("bigint"))
 
 
 def int_to_hex(n: Column, width: int) -> Column:
@@ -18,7 +18,7 @@ def int_to_hex(n: Column, width: int) -> Column:
 
 def leading_int(s: Column) -> Column:
     digits = F.regexp_extract(s, r"^\s*([+-]?[0-9]+)", 1)
-    return F.when(digits != "", digits.cast("bigint"))
+    return F.when(digits != "", digits.try_cast("bigint"))
 
 
 def cell(line: Column, letter: str) -> Column:

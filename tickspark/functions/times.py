@@ -92,7 +92,7 @@ def candle_width(spec: Column) -> Column:
     n = F.regexp_extract(spec, r"^c([0-9]+)([smhd])$", 1)
     unit = F.regexp_extract(spec, r"^c([0-9]+)([smhd])$", 2)
     per = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
-    return F.when(n != "", n.cast("int") * per)
+    return F.when(n != "", n.try_cast("bigint") * per).try_cast("int")
 
 
 def show_candle_width(sec: Column) -> Column:

@@ -14,12 +14,12 @@ from tickspark.schema import ASK, AUC, BID, FIX, HALT, MIL24, OI, PAIR, SNAPSHOT
 
 def _number(s: Column) -> Column:
     text = number_text(s)
-    return F.when(text.rlike("[0-9]"), text.cast("decimal(31,8)"))
+    return F.when(text.rlike("[0-9]"), text.try_cast("decimal(31,8)"))
 
 
 def _epoch(s: Column) -> Column:
     """``SEC.NSEC`` as a stamp; nanoseconds beyond the microsecond are cut."""
-    sec, nano = F.regexp_extract(s, r"^([0-9]+)", 1), F.regexp_extract(s, r"^[0-9]+\.([0-9]+)", 1)
+    sec, nano = F.regexp_extract(s, r"^([0-9]{1,11})(?![0-9])", 1), F.regexp_extract(s, r"^[0-9]+\.([0-9]+)", 1)
     us = F.substring(F.rpad(nano, 9, "0"), 1, 6)
     return F.when(sec != "", F.timestamp_micros(sec.cast("bigint") * 1_000_000 + F.coalesce(us.try_cast("bigint"), F.lit(0))).cast("timestamp_ntz"))
 
@@ -37,7 +37,7 @@ def tick_text(lines: DataFrame) -> DataFrame:
     """
     p = F.split("value", "\t")
     field = lambda i: F.get(p, F.lit(i))
-    ttf = hex_to_int(field(3)).cast("int")
+    ttf = hex_to_int(field(3)).try_cast("int")
     stamp = field(1)
     number = lambda i: _number(field(i))
     when = lambda cond, c: F.when(cond, c)
@@ -46,9 +46,9 @@ def tick_text(lines: DataFrame) -> DataFrame:
     point = ttf.isin(1, 2, 3, 4, 5, 6, 7, 13, 14)
     ts = parse_iso(stamp)
     start = hex_to_int(field(8))
-    sta = F.when(start < 100_000, ts - F.make_dt_interval(secs=start)).when(start.isNotNull(), from_seconds(start)).otherwise(parse_iso(F.get(F.split(field(8), r"\|"), F.lit(1))))
+    sta = F.when(start < 100_000, ts - F.make_dt_interval(secs=start)).when(start.isNotNull(), from_seconds(F.when(start < 1 << 33, start))).otherwise(parse_iso(F.get(F.split(field(8), r"\|"), F.lit(1))))
     msec = F.when(is_date_only(stamp), MIL24).otherwise(_millis(ts)).cast("int")
-    index = F.when(field(2) == "?", None).otherwise(hex_to_int(field(2)))
+    index = F.when(field(2) == "?", None).otherwise(hex_to_int(field(2)).try_cast("int"))
     out = lines.select(
         *tick_columns(
             sym=F.when(field(0) != "", field(0)), idx=index, ts=ts, msec=msec, flow=flow_of(msec), ttf=ttf,
@@ -71,8 +71,8 @@ def ariva(lines: DataFrame, zone: str = "Europe/Berlin") -> DataFrame:
     get = lambda k: _number(cell(line, k))
     head = F.regexp_extract(line, r"^([0-9]+\.?[0-9]*)\s+(\S+)", 1)
     clock = cell(line, "t")
-    own = to_utc(from_seconds(clock.cast("decimal(20,6)")), zone)
-    rows = lines.select("seq", _epoch(head).alias("got"), F.regexp_extract(line, r"^([0-9]+\.?[0-9]*)\s+(\S+)", 2).alias("sym"), F.when(clock.cast("double") > 0, own).alias("own"), *(get(k).alias(f"k_{i}") for i, k in enumerate("pPbBaAkvV")))
+    own = to_utc(from_seconds(clock.try_cast("decimal(17,6)")), zone)
+    rows = lines.select("seq", _epoch(head).alias("got"), F.regexp_extract(line, r"^([0-9]+\.?[0-9]*)\s+(\S+)", 2).alias("sym"), F.when(clock.try_cast("double") > 0, own).alias("own"), *(get(k).alias(f"k_{i}") for i, k in enumerate("pPbBaAkvV")))
     rows = rows.where("got is not null and sym <> ''").withColumn("ts", F.coalesce("own", "got"))
     p, ps, b, bs, a, as_, k, v, w = (F.col(f"k_{i}") for i in range(9))
     halted = (b == 0) | (a == 0) | ((bs == 0) & (as_ == 0))
