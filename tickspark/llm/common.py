@@ -31,7 +31,8 @@ class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
     Reading a written table cuts the lineage, so a lost executor costs a re-read
-    and never a recomputation of everything before it.
+    and never a recomputation of everything before it.  The tables go when the
+    driver ends, as results may read them until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -42,6 +43,9 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{tag}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
