@@ -8,10 +8,11 @@ candidates are verified by their exact Jaccard similarity, and of each connected
 component of verified links one line stays: the one that comes first by document
 and line number.
 
-Equal lines are one node from the start.  The lines of a bucket are first
-compared with two centres of the bucket, which costs two comparisons a line and
-joins most of what is similar; then whatever shares a bucket and still stands in
-different components is compared, each pair once.
+Equal lines are one node from the start.  The lines of a bucket are
+compared with its centre, one comparison a line.  Lines that still stand apart
+are compared pair by pair in buckets of up to FEW members.  A larger bucket can
+hold thousands of lines that share a passage and nothing else: its lines go
+through the exact prefix-filter join, which finds every link among them.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import types as T
 
 from tickspark.llm.common import Scratch, mix64, read_table, sub_batches
 from tickspark.llm.components import components
-from tickspark.llm.ngram_join import _BYTE, _power_tables, free_shuffles
+from tickspark.llm.ngram_join import _BYTE, KEY_BITS, _power_tables, free_shuffles, similarity_classes
 
 CHARS, ROWS, BANDS = 9, 4, 10
 SLOTS = ROWS * BANDS
+#: Buckets of up to so many members are compared pair by pair.
+FEW = 16
 
 
 def line_shingles(line: bytes, chars: int = CHARS) -> np.ndarray:
@@ -43,19 +46,22 @@ def line_shingles(line: bytes, chars: int = CHARS) -> np.ndarray:
     return np.unique(mix64((sums[size:] - sums[: raw.size - size + 1]) * down[: raw.size - size + 1]))
 
 
-def signatures(lines: list[bytes], chars: int = CHARS) -> np.ndarray:
-    """(lines, SLOTS) slot minima of lines of at least chars bytes."""
+def _hashes(lines: list[bytes], chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hash, line) of all lines, repeated shingles included."""
     raw = np.frombuffer(b"".join(lines), np.uint8)
     sizes = np.array([len(x) for x in lines])
-    ends = np.cumsum(sizes)
     up, down = _power_tables(raw.size + 1)
     sums = np.zeros(raw.size + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: raw.size], out=sums[1:])
-    n = raw.size - chars + 1
-    h = mix64((sums[chars:] - sums[:n]) * down[:n])
+    n = max(0, raw.size - chars + 1)
     line = np.repeat(np.arange(len(lines)), sizes)[:n]
-    inside = np.arange(n) + chars <= ends[line]
-    h, line = h[inside], line[inside]
+    inside = np.flatnonzero(np.arange(n) + chars <= np.cumsum(sizes)[line])
+    return mix64((sums[inside + chars] - sums[inside]) * down[inside]), line[inside]
+
+
+def signatures(lines: list[bytes], chars: int = CHARS) -> np.ndarray:
+    """(lines, SLOTS) slot minima of lines of at least chars bytes."""
+    h, line = _hashes(lines, chars)
     slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
     out = np.full(len(lines) * SLOTS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(out, line * SLOTS + slot, h)
@@ -71,6 +77,12 @@ def signatures(lines: list[bytes], chars: int = CHARS) -> np.ndarray:
     return out
 
 
+def line_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Shingle sets of lines for the exact join, 56 bits of each hash."""
+    mask = np.uint64((1 << KEY_BITS) - 1)
+    return [np.unique(line_shingles((t or "").encode("utf-8", "surrogatepass")) & mask) for t in texts]
+
+
 def _bands(batches):
     """(bucket, node) of every band of every line."""
     import pyarrow as pa
@@ -89,16 +101,44 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), node], ["bucket", "node"])
 
 
+def _shared(batches):
+    """Of rows in the order of bucket those whose bucket the row before or after has too; one row is carried over."""
+    import pyarrow as pa
+
+    last, last_kept = None, True
+    for batch in batches:
+        bucket, node = batch.column("bucket").to_numpy(), batch.column("node").to_numpy()
+        if not bucket.size:
+            continue
+        same = bucket[1:] == bucket[:-1]
+        keep = np.zeros(bucket.size, bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if last is not None and last[0] == bucket[0]:
+            keep[0] = True
+            if not last_kept:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["bucket", "node"])
+        last, last_kept = (bucket[-1], node[-1]), bool(keep[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], ["bucket", "node"])
+
+
+def grams(line: bytes) -> set[bytes]:
+    return {line[i : i + CHARS] for i in range(len(line) - CHARS + 1)} or {line}
+
+
 def _verify(num: int, den: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ok = []
+            linked, last, b = [], None, set()
             for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
-                a, b = line_shingles(x.encode("utf-8", "surrogatepass")), line_shingles(y.encode("utf-8", "surrogatepass"))
-                ok.append(False if den * min(a.size, b.size) < num * max(a.size, b.size) else bool((num + den) * (c := np.intersect1d(a, b, assume_unique=True).size) >= num * (a.size + b.size) and c > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+                if y != last:
+                    last, b = y, grams(y.encode("utf-8", "surrogatepass"))
+                a = grams(x.encode("utf-8", "surrogatepass"))
+                small, large = sorted((len(a), len(b)))
+                linked.append(den * small >= num * large and (num + den) * len(a & b) >= num * (small + large))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
@@ -114,50 +154,56 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
     lines = split_lines(docs)
-    # A distinct line is a node; its place is its first occurrence.
-    place = F.min(F.struct(F.col("doc_id").alias("doc"), "key", "no")).alias("place")
-    nodes = lines.groupBy("line").agg(place, F.count("*").alias("times")).withColumn("node", F.xxhash64("line"))
-    nodes = scratch.save(nodes.select("node", "line", "place", "times"), "nodes")
+    # A distinct line is a node.
+    nodes = lines.groupBy("line").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times")).withColumn("node", F.xxhash64("line"))
+    nodes = scratch.save(nodes.select("node", "line", "doc", "times"), "nodes")
+    free_shuffles(spark)
+    banded = nodes.select("node", "line").mapInArrow(_bands, "bucket long, node long").repartition("bucket").sortWithinPartitions("bucket")
+    buckets = scratch.save(banded.mapInArrow(_shared, "bucket long, node long"), "shared")
+    free_shuffles(spark)
+    # The text of what shares a bucket, once: all further joins are with these lines only.
+    text = scratch.save(nodes.select("node", "line").join(buckets.select("node").distinct(), "node"), "candidates")
+    slim = scratch.save(nodes.select("node", "doc", "times"), "slim")
+    scratch.drop(nodes)
+    nodes = slim
+    free_shuffles(spark)
+    # Of a family of lines the original meets most others: it makes the best centre.
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    buckets = scratch.save(buckets.join(weight, "node"), "buckets")
+    # Against the centre: what links to it needs no other comparison.
+    centre = buckets.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), each once, whose lines are similar."""
+        full = pairs.distinct().join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+        done = full.select("a", "b", "la", "lb").mapInArrow(_verify(num, den), "a long, b long, linked boolean")
+        return done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    edges = scratch.save(links(buckets.join(centre, "bucket").where("node <> b").select(F.col("node").alias("a"), "b")), "edges")
     free_shuffles(spark)
-    banded = nodes.select("node", "line").mapInArrow(_bands, "bucket long, node long")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo")).where("n > 1")
-    buckets = scratch.save(banded.join(shared.select("bucket"), "bucket"), "buckets")
+    labels = scratch.save(components(edges, scratch), "labels")
+    # What still stands apart: all pairs in buckets of a few members, the exact join for lines of larger ones.
+    rows = buckets.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    lists = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+    rows = scratch.save(rows.join(lists, "bucket"), "open")
+    few = rows.where(F.col("n") <= FEW)
+    other = few.select(F.col("bucket").alias("o_bucket"), F.col("node").alias("o_node"), F.col("comp").alias("o_comp"))
+    near = few.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+    edges = edges.union(scratch.save(links(near), "edges"))
+    apart = scratch.save(text.join(rows.where(F.col("n") > FEW).select("node").distinct(), "node"), "apart")
     free_shuffles(spark)
-    edges = tested = labels = None
-    text = nodes.select("node", "line")
-
-    def verify(pairs: DataFrame) -> None:
-        nonlocal edges, tested, labels
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        full = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        done = scratch.save(full.select("a", "b", "la", "lb").mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "verified")
-        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        found = done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = found if edges is None else edges.union(found)
-        labels = scratch.save(components(edges, scratch), "labels")
-
-    def open_buckets() -> DataFrame:
-        """Rows of the buckets that hold several components, with a centre."""
-        if labels is None:
-            rows = buckets.withColumn("comp", F.col("node"))
-        else:
-            rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-        lists = rows.groupBy("bucket").agg(F.min(F.struct("comp", "node")).alias("c"), F.max(F.struct("comp", "node")).alias("d")).where("c.comp <> d.comp")
-        return rows.join(lists, "bucket")
-
-    for side in ("c", "d"):
-        rows = open_buckets().where(F.col("comp") != F.col(f"{side}.comp"))
-        verify(rows.select(F.least("node", f"{side}.node").alias("a"), F.greatest("node", f"{side}.node").alias("b")))
-    rows = scratch.save(open_buckets().select("bucket", "node", "comp"), "open")
-    other = rows.select(F.col("bucket").alias("o_bucket"), F.col("node").alias("o_node"), F.col("comp").alias("o_comp"))
-    verify(rows.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))).select(F.col("node").alias("a"), F.col("o_node").alias("b")))
-    comp = nodes.join(labels, "node", "left").select("node", "place", "times", F.coalesce("component", "node").alias("comp"))
-    many = comp.groupBy("comp").agg(F.min("place").alias("kept"), F.sum("times").alias("n")).where("n > 1")
-    going = scratch.save(comp.join(many, "comp").select("node", "kept"), "going")
-    hit = lines.select("key", "no", F.xxhash64("line").alias("node"), F.struct(F.col("doc_id").alias("doc"), "key", "no").alias("at")).join(going, "node")
-    return hit.where(~F.col("at").eqNullSafe(F.col("kept"))).select("key", "no")
+    found = similarity_classes(apart.select(F.col("node").alias("doc_id"), F.col("line").alias("text")), num, den, line_sets)
+    found = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "links")
+    labels = scratch.save(components(edges.union(found), scratch), "labels")
+    comp = nodes.join(labels, "node", "left").select("node", "doc", "times", F.coalesce("component", "node").alias("comp"))
+    many = comp.groupBy("comp").agg(F.min("doc").alias("kept"), F.sum("times").alias("n")).where("n > 1").select("comp", "kept")
+    going = scratch.save(comp.join(many, "comp").select("node", "comp", "kept"), "going")
+    hit = scratch.save(lines.select("doc_id", "key", "no", F.xxhash64("line").alias("node")).join(going, "node").select("comp", "key", "no", F.col("doc_id").eqNullSafe(F.col("kept")).alias("in_kept")), "hit")
+    # In the first document the first line stays.
+    stay = hit.where("in_kept").groupBy("comp").agg(F.min(F.struct("no", "key")).alias("s"))
+    stay = stay.select("comp", F.col("s.no").alias("s_no"), F.col("s.key").alias("s_key"))
+    return hit.join(stay, "comp", "left").where("s_no is null or no <> s_no or key <> s_key").select("key", "no")
 
 
 def _drop(names):
