@@ -35,21 +35,20 @@ def tick_text(lines: DataFrame) -> DataFrame:
     bid and ask; snapshots bid, ask, their sizes, trade price and size; candles
     h, l, o, c, start (``hex|iso`` or ``hex|cNNu``) and count (hex).
     """
-    p = F.split("value", "\t")
-    field = lambda i: F.get(p, F.lit(i))
-    ttf = hex_to_int(field(3)).try_cast("int")
-    stamp = field(1)
+    # Step by step, so that a line is split and its stamp parsed once.
+    rows = lines.select("seq", F.split("value", "\t").alias("p")).select("seq", *(F.get("p", F.lit(i)).alias(f"f{i}") for i in range(10)))
+    rows = rows.withColumns({"at": parse_iso(F.col("f1")), "type": hex_to_int(F.col("f3")).try_cast("int"), "from": hex_to_int(F.col("f8"))}).where("at is not null and type is not null")
+    field = lambda i: F.col(f"f{i}")
+    ttf, ts, stamp, start = F.col("type"), F.col("at"), field(1), F.col("from")
     number = lambda i: _number(field(i))
     when = lambda cond, c: F.when(cond, c)
     wide = ttf.isin(VOL, VPR, 10, OI, 15, 0x18)
     candle, snap, pair = (ttf >= 0x11) & (ttf <= 0x16), ttf == SNAPSHOT, ttf == PAIR
     point = ttf.isin(1, 2, 3, 4, 5, 6, 7, 13, 14)
-    ts = parse_iso(stamp)
-    start = hex_to_int(field(8))
     sta = F.when(start < 100_000, ts - F.make_dt_interval(secs=start)).when(start.isNotNull(), from_seconds(F.when(start < 1 << 33, start))).otherwise(parse_iso(F.get(F.split(field(8), r"\|"), F.lit(1))))
     msec = F.when(is_date_only(stamp), MIL24).otherwise(_millis(ts)).cast("int")
     index = F.when(field(2) == "?", None).otherwise(hex_to_int(field(2)).try_cast("int"))
-    out = lines.select(
+    return rows.select(
         *tick_columns(
             sym=F.when(field(0) != "", field(0)), idx=index, ts=ts, msec=msec, flow=flow_of(msec), ttf=ttf,
             px=when(point, number(4)), sz=when(point, number(5)), is_mkt=field(4) == "mkt", w=when(wide, number(4)),
@@ -57,7 +56,6 @@ def tick_text(lines: DataFrame) -> DataFrame:
             h=when(candle, number(4)), l=when(candle, number(5)), o=when(candle, number(6)), c=when(candle, number(7)), sta_ts=when(candle, sta), cnt=when(candle, hex_to_int(field(9))), seq=F.col("seq"),
         )
     )
-    return out.where("ts is not null and ttf is not null")
 
 
 def ariva(lines: DataFrame, zone: str = "Europe/Berlin") -> DataFrame:
