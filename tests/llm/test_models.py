@@ -188,6 +188,34 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def brute_force_contaminated(texts, items):
+    """(doc_id, item_id) of every window of the item's size, at the borders the part inside, that is similar enough."""
+    gram = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+    want = set()
+    for doc, text in texts:
+        w = words_of(text)
+        for item, passage in items:
+            v = words_of(passage)
+            for s in range(-len(v), len(w)):
+                a, b = gram(w[max(s, 0) : max(0, s + len(v))]), gram(v)
+                common = sum(min(a.count(g), b.count(g)) for g in set(a))
+                if common and common / (len(a) + len(b) - common) >= 0.8:
+                    want.add((doc, item))
+    return want
+
+
+def test_short_items_are_found_in_longer_documents(spark):
+    items = [(1, "one"), (2, "One two"), (3, "one, two three"), (4, "one two three four"), (5, "one two three four five"), (6, "two two")]
+    texts = [(0, "a b c d e one two f g"), (1, "x one two three"), (2, "one two three four five six"), (3, "two one"), (4, "ONE"), (5, "a b c d e f"), (6, "zero two two two three four"), (7, "")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_force_contaminated(texts, items)
+    assert {(0, 1), (0, 2), (1, 3), (2, 4), (6, 6)} <= want
+    got = decontaminate.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert [(r["start"], r["n_words"], r["similarity"]) for r in got if (r["doc_id"], r["item_id"]) == (0, 2)] == [(5, 2, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(df, bench.where("item_id = 2")).orderBy("doc_id").collect()] == [3, 4, 5, 6, 7]
+
+
 def test_simhash_blocks_cover_the_radius(spark):
     from pyspark.sql import functions as F
 

@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash windows (DataFrame functions only).
 
-Words are lower-cased runs of letters and digits, shingles five words.  A window
+Words are lower-cased runs of letters and digits, shingles five words.  An item
+of fewer words is one shingle, and meets every run of as many words.  A window
 of a document has as many words as a benchmark item.  Only windows that share a
 shingle with an item can verify, so windows are laid where a document's shingle
 meets an item's, one for each diagonal and run of hits.  A window's fingerprint
@@ -38,6 +39,23 @@ def shingles(hashes: Column) -> Column:
     return F.when(size >= SHINGLE, full).when(size > 0, short).otherwise(F.array().cast("array<bigint>"))
 
 
+def short_runs(hashes: Column, m: int) -> Column:
+    """Hashes of all runs of m < SHINGLE words, each as shingles() hashes a text of m words."""
+
+    def run(i: Column) -> Column:
+        out = F.lit(m).cast("long")
+        for k in range(m):
+            out = F.xxhash64(out, F.get(hashes, i + k))
+        return out
+
+    return F.when(F.size(hashes) >= m, F.transform(F.sequence(F.lit(0), F.size(hashes) - m), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def placed(grams: Column) -> Column:
+    """(pos, gram) of each."""
+    return F.transform(grams, lambda g, i: F.struct(i.alias("pos"), g.alias("gram")))
+
+
 def words_and_grams(text: Column) -> Column:
     """Generator of the columns words and grams; the lambda binds the words, else every shingle would split the text anew."""
     return F.inline(F.transform(F.array(word_hashes(text)), lambda w: F.struct(w.alias("words"), shingles(w).alias("grams"))))
@@ -86,11 +104,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = item_table(benchmark)
     entries = items.select("item_id", "m", "grams", F.posexplode("grams").alias("offset", "gram")).select("gram", "item_id", "m", "offset", F.get("grams", F.col("offset") - 1).alias("before"))
-    n = items.agg(F.sum(F.size("grams"))).first()[0] or 0
+    n, short = items.agg(F.sum(F.size("grams")), F.sort_array(F.collect_set(F.when(F.col("m") < SHINGLE, F.col("m"))))).first()
+    n = n or 0
     if n <= BROADCAST_SHINGLES:
         entries = F.broadcast(entries)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", words_and_grams(F.col("text")))
-    hits = texts.select("doc_id", "words", "grams", F.posexplode("grams").alias("pos", "gram")).join(entries, "gram")
+    grams = F.concat(placed(F.col("grams")), *[placed(short_runs(F.col("words"), m)) for m in short])
+    hits = texts.select("doc_id", "words", "grams", F.inline(grams)).join(entries, "gram")
     # One row for each run of hits on a diagonal: where the shingle before doesn't hit too.
     hits = hits.where((F.col("pos") == 0) | (F.col("offset") == 0) | (F.get("grams", F.col("pos") - 1) != F.col("before")))
     start = F.col("pos") - F.col("offset")
