@@ -216,6 +216,34 @@ def test_short_items_are_found_in_longer_documents(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(df, bench.where("item_id = 2")).orderBy("doc_id").collect()] == [3, 4, 5, 6, 7]
 
 
+def test_windows_are_laid_off_the_diagonals_too(spark):
+    import random
+
+    rng = random.Random(3)
+    items, texts = [], []
+    for i, m in enumerate((50, 45, 59, 40, 12, 6, 3)):
+        w = [f"w{i}x{j}" for j in range(m)]
+        if i == 3:
+            w[20:30] = w[:10]  # repeated shingles
+        items.append((i, " ".join(w)))
+        out = [[f"o{j}" for j in range(70)] for _ in range(2)]
+        for cut in (m // 2, m // 3, m // 5):
+            texts.append([*out[0], *w[cut:], *w[:cut], *out[1]])
+            texts.append([*w[cut:], *w[:cut]])
+        for missing in range(0, 1 + m // 3, 2):
+            texts += [[*w[missing:], *out[1]], [*out[0], *w[: m - missing]], w[missing:]]
+            at = rng.randrange(m)
+            texts.append([*out[0], *w[:at], *out[1][:missing], *w[at:], *out[1]])
+        texts.append([*out[0], *w, *out[1], *w, *w[5:]])
+    texts = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = brute_force_contaminated(texts, items)
+    assert (0, 0) in want and len(want) > 40
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    swapped = next(r for r in got if (r["doc_id"], r["item_id"]) == (0, 0))
+    assert (swapped["start"], swapped["n_words"], swapped["hamming"]) == (70, 50, 0) and 0.8 <= swapped["similarity"] < 0.85
+
+
 def test_simhash_blocks_cover_the_radius(spark):
     from pyspark.sql import functions as F
 

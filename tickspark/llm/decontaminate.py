@@ -2,12 +2,13 @@
 
 Words are lower-cased runs of letters and digits, shingles five words.  An item
 of fewer words is one shingle, and meets every run of as many words.  A window
-of a document has as many words as a benchmark item.  Only windows that share a
-shingle with an item can verify, so windows are laid where a document's shingle
-meets an item's, one for each diagonal and run of hits.  A window's fingerprint
-is a 64-bit SimHash of its words.  Fingerprints are cut into RADIUS + 1 blocks;
-two within RADIUS bits agree in a block, so an equi-join on (item size, block
-number, block bits) finds every item within the radius.  Those are verified by
+of a document has as many words as a benchmark item.  Every window is laid that
+holds enough of one item's shingles to verify, in whatever order: a window that
+shares c shingles has at most the similarity c / (own + item's - c), so others
+can't.  A window's fingerprint is a 64-bit SimHash of its words.  Fingerprints are
+cut into RADIUS + 1 blocks; two within RADIUS bits agree in a block, so an
+equi-join on (item size, block number, block bits) finds every item within the
+radius.  Those are verified by
 the exact weighted Jaccard similarity of the two shingle multisets, a shingle
 weighing as often as it occurs.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import read_table
+from tickspark.llm.common import Scratch, read_table
 
 SHINGLE = 5
 RADIUS = 15
@@ -61,6 +62,33 @@ def words_and_grams(text: Column) -> Column:
     return F.inline(F.transform(F.array(word_hashes(text)), lambda w: F.struct(w.alias("words"), shingles(w).alias("grams"))))
 
 
+def identity() -> Column:
+    """Of a row, by which equal rows are one."""
+    return F.xxhash64("doc_id", "text")
+
+
+def starts(at: Column, k: Column, g: Column, lo: Column, hi: Column) -> Column:
+    """Each start from lo to hi of a window of g shingles that holds k or more of the ascending positions at."""
+
+    def of(i: Column) -> Column:
+        # Windows that hold the position before too are given there; greatest skips the null before the first.
+        first = F.greatest(F.get(at, i + k - 1) - g + 1, F.get(at, i - 1) + 1, lo)
+        last = F.least(F.get(at, i), hi)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(at) >= k, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - k), of))).otherwise(F.array().cast("array<int>"))
+
+
+def window_starts(at: Column, m: Column, size: Column) -> Column:
+    """Starts of all windows of m words that can verify, in a text of size words with an item's shingles at the positions at."""
+    g = F.greatest(m - (SHINGLE - 1), F.lit(1))
+    least = lambda share: F.ceil(g * share - 1e-9).cast("int")
+    whole, part = least(2 * SIMILARITY / (1 + SIMILARITY)), least(SIMILARITY)
+    inside = starts(at, whole, g, F.lit(0), size - m)
+    # A window over a border has fewer shingles than the item, so fewer common ones can do.
+    return F.concat(inside, starts(at, part, g, -m, F.lit(-1)), starts(at, part, g, F.greatest(size - m + 1, F.lit(0)), size))
+
+
 def fingerprint(hashes: Column) -> Column:
     """SimHash: bit b is set if it is set in more than half of the word hashes."""
 
@@ -103,19 +131,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one result.  A window over a document's border is the part inside.
     """
     items = item_table(benchmark)
-    entries = items.select("item_id", "m", "grams", F.posexplode("grams").alias("offset", "gram")).select("gram", "item_id", "m", "offset", F.get("grams", F.col("offset") - 1).alias("before"))
+    entries = items.select("item_id", "m", F.explode("grams").alias("gram")).distinct()
     n, short = items.agg(F.sum(F.size("grams")), F.sort_array(F.collect_set(F.when(F.col("m") < SHINGLE, F.col("m"))))).first()
     n = n or 0
     if n <= BROADCAST_SHINGLES:
         entries = F.broadcast(entries)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", words_and_grams(F.col("text")))
-    grams = F.concat(placed(F.col("grams")), *[placed(short_runs(F.col("words"), m)) for m in short])
-    hits = texts.select("doc_id", "words", "grams", F.inline(grams)).join(entries, "gram")
-    # One row for each run of hits on a diagonal: where the shingle before doesn't hit too.
-    hits = hits.where((F.col("pos") == 0) | (F.col("offset") == 0) | (F.get("grams", F.col("pos") - 1) != F.col("before")))
-    start = F.col("pos") - F.col("offset")
-    hits = hits.select("doc_id", "m", start.alias("start"), F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0))).alias("window"))
-    windows = hits.dropDuplicates(["doc_id", "m", "start", "window"])
+    texts = docs.where(F.col("text").isNotNull())
+    grams = F.posexplode("grams").alias("pos", "gram")
+    if short:
+        grams = F.inline(F.concat(placed(F.col("grams")), *[placed(short_runs(F.col("words"), m)) for m in short]))
+    hits = texts.select("doc_id", identity().alias("key"), words_and_grams(F.col("text"))).select("doc_id", "key", F.size("words").alias("size"), grams).join(entries, "gram")
+    met = hits.groupBy("doc_id", "key", "size", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    spots = met.select("doc_id", "key", "m", F.explode(window_starts(F.col("at"), F.col("m"), F.col("size"))).alias("start"))
+    spots = spots.groupBy("doc_id", "key").agg(F.collect_set(F.struct("m", "start")).alias("spots"))
+    # Written, as its size then decides how it is joined: few texts are cut a second time.
+    spots = Scratch(docs.sparkSession, "decontaminate").save(spots, "spots").withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
+    texts = texts.withColumn("key", identity()).join(spots, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    texts = texts.select("doc_id", "spots", F.explode(F.array(word_hashes(F.col("text")))).alias("words"))
+    windows = texts.select("doc_id", "words", F.inline("spots"))
+    start = F.col("start")
+    windows = windows.select("doc_id", "m", "start", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0))).alias("window"))
     windows = windows.select("*", fingerprint_and_blocks(F.col("window"))).select("doc_id", "m", "start", "window", "fp", F.explode("blocks").alias("block"), F.col("blocks"))
     index = items.select("item_id", "m", "grams", F.col("fp").alias("item_fp"), F.col("blocks").alias("item_blocks"), F.explode("blocks").alias("block"))
     if n <= BROADCAST_SHINGLES:
