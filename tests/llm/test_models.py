@@ -244,6 +244,14 @@ def test_windows_are_laid_off_the_diagonals_too(spark):
     assert (swapped["start"], swapped["n_words"], swapped["hamming"]) == (70, 50, 0) and 0.8 <= swapped["similarity"] < 0.85
 
 
+def test_the_radius_keeps_windows_of_borderline_similarity(spark):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(60))) for i in range(400)]
+    # 50 of 62 shingles, and too far inside for a window over a border.
+    texts = [(i, " ".join([*["before"] * 60, *[f"i{i}w{j}" for j in range(54)], *[f"d{i}w{j}" for j in range(66)]])) for i in range(400)]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(400)]
+
+
 def test_simhash_blocks_cover_the_radius(spark):
     from pyspark.sql import functions as F
 
