@@ -102,6 +102,12 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {200: 200, 201: 200, 205: 200}
 
 
+def test_components_that_are_not_done_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(edges, Scratch(spark, "t"), max_rounds=1).collect()
+
+
 def test_line_dedup(docs, rows):
     every = [list(r) for r in rows]
     line = "This is a rather long line of text that has enough characters in it to be compared, and then some more of it."
@@ -111,8 +117,8 @@ def test_line_dedup(docs, rows):
     ws = " \t\n\x0b\x0c\r"
     lines = [(r[0], k, x.strip(ws)) for r in every for k, x in enumerate((r[1] or "").split("\n")) if x.strip(ws)]
     distinct = list(dict.fromkeys(x for _, _, x in lines))
-    gram = lambda b: frozenset(b[i : i + 9] for i in range(len(b) - 8)) if len(b) >= 9 else frozenset([b])
-    sets = [gram(x.encode()) for x in distinct]
+    gram = lambda b: frozenset(b[i : i + 5] for i in range(len(b) - 4)) if len(b) >= 5 else frozenset([b])
+    sets = [gram(x) for x in distinct]
     root = dict(zip(distinct, groups(sets, lambda a, b: jaccard(a, b)), strict=True))
     first = {}
     for d, k, x in sorted(lines):
@@ -125,5 +131,29 @@ def test_line_dedup(docs, rows):
     assert got == sorted(want)
 
 
+def test_lines_that_share_a_passage_and_large_buckets(spark, monkeypatch):
+    """Many lines of one bucket: the blocks' size decides nothing, and every link is found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = " ".join(word() for _ in range(40))
+    family = [word() for _ in range(40)]
+    lines = [passage + " " + " ".join(word() for _ in range(12)) for _ in range(150)]
+    for _ in range(60):
+        words = list(family)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(40)] = word()
+        lines.append(passage[:80] + " ".join(words))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(6)
+    gram = lambda b: frozenset(b[i : i + 5] for i in range(len(b) - 4))
+    root = groups([gram(x) for x in lines], jaccard)
+    want = len(lines) - len(set(root))
+    assert want > 50
+    for size in (2, 16, 128):
+        monkeypatch.setattr(line_dedup, "BLOCK", size)
+        got = [r["doc_id"] for r in line_dedup.drop_repeated_lines(frame).where("n_removed > 0").collect()]
+        first = {g: i for i, g in reversed(list(enumerate(root)))}
+        assert len(got) == want and not set(got) & set(first.values())
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0

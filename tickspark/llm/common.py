@@ -60,6 +60,12 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def identity(*cols: str) -> tuple[Column, Column]:
+    """Columns k1 and k2, 128 bits by which rows that agree in cols (doc_id and text) are one."""
+    cols = cols or ("doc_id", "text")
+    return F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(1), *cols).alias("k2")
+
+
 def n_words(col: str = "text") -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(F.col(col), F.lit(WORD)), F.lit(0)).cast("long")

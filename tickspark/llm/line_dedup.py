@@ -1,18 +1,21 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is the set of its character shingles.  One hash per shingle, dealt to
-SLOTS slots by its top bits, gives a signature of slot minima; empty slots borrow
-from the next full one.  Lines that agree in a band of ROWS slots are candidates
-(at the threshold similarity a pair is missed about once in two hundred times),
-candidates are verified by their exact Jaccard similarity, and of each connected
-component of verified links one line stays: the one that comes first by document
-and line number.
-
-Equal lines are one node from the start.  The lines of a bucket are
-compared with its centre, one comparison a line.  Lines that still stand apart
-are compared pair by pair in buckets of up to FEW members.  A larger bucket can
-hold thousands of lines that share a passage and nothing else: its lines go
-through the exact prefix-filter join, which finds every link among them.
+SLOTS slots by its top bits, gives a signature of slot minima; an empty slot
+borrows from the next full one.  Lines that agree in a band of ROWS slots share
+a bucket and are candidates: at the threshold similarity a pair is missed about
+once in 250 times, more similar ones hardly ever.  Candidates are verified by
+their exact Jaccard similarity, and of each connected component of verified links
+one line stays: the one that comes first by document and line number.
+
+Which bands are shared is found as in the n-gram join: a task packs the bands of
+a megabyte of lines by hash range, a band held by many of these lines being one
+entry, and hears which of them others hold too.  Equal lines are one node.  The
+members of a bucket are compared with a centre in two rounds, which joins
+families of copies at one comparison a line.  Every pair of a bucket that still
+stands in two components is then compared in blocks of BLOCK members, so that no
+task gets more than two blocks of one bucket, however large it is.  BLOCK decides
+how the work is cut, never which pairs are compared.
 """
 
 from __future__ import annotations
@@ -24,108 +27,152 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.llm.common import Scratch, mix64, read_table, sub_batches
+from tickspark.llm.common import Scratch, identity, mix64, read_table, sub_batches
 from tickspark.llm.components import components
-from tickspark.llm.ngram_join import _BYTE, KEY_BITS, _power_tables, free_shuffles, similarity_classes
+from tickspark.llm.ngram_join import KEY_BITS, _pack, _rank, _unpack, free_shuffles
 
-CHARS, ROWS, BANDS = 9, 4, 10
+CHARS, ROWS, BANDS = 5, 8, 30
 SLOTS = ROWS * BANDS
-#: Buckets of up to so many members are compared pair by pair.
-FEW = 16
+PIECE_BYTES, PIECE_LINES = 1_500_000, 16_384
+BUCKET_ENTRIES = 2_000_000
+#: Members of a bucket that one task compares with each other, or with as many others.
+BLOCK = 128
 
+_NONE = np.iinfo(np.uint64).max
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def line_shingles(line: bytes, chars: int = CHARS) -> np.ndarray:
-    """Sorted distinct hashes of a line's shingles of chars bytes; a shorter line is one shingle."""
-    raw = np.frombuffer(line, np.uint8)
-    if raw.size == 0:
-        return np.zeros(0, np.uint64)
-    size = min(chars, raw.size)
-    up, down = _power_tables(raw.size + 1)
-    sums = np.zeros(raw.size + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: raw.size], out=sums[1:])
-    return np.unique(mix64((sums[size:] - sums[: raw.size - size + 1]) * down[: raw.size - size + 1]))
 
-
-def _hashes(lines: list[bytes], chars: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hash, line) of all lines, repeated shingles included."""
-    raw = np.frombuffer(b"".join(lines), np.uint8)
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(x) for x in lines])
-    up, down = _power_tables(raw.size + 1)
-    sums = np.zeros(raw.size + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: raw.size], out=sums[1:])
-    n = max(0, raw.size - chars + 1)
+    n = max(0, code.size - CHARS + 1)
     line = np.repeat(np.arange(len(lines)), sizes)[:n]
-    inside = np.flatnonzero(np.arange(n) + chars <= np.cumsum(sizes)[line])
-    return mix64((sums[inside + chars] - sums[inside]) * down[inside]), line[inside]
+    inside = np.flatnonzero(np.arange(n) + CHARS <= np.cumsum(sizes)[line])
+    h = code[:n].copy()
+    for k in range(1, CHARS):
+        h *= _STEP
+        h += code[k : k + n]
+    return mix64(h[inside]), line[inside]
 
 
-def signatures(lines: list[bytes], chars: int = CHARS) -> np.ndarray:
-    """(lines, SLOTS) slot minima of lines of at least chars bytes."""
-    h, line = _hashes(lines, chars)
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, SLOTS) slot minima of lines of at least CHARS characters."""
+    h, line = _hashes(lines)
     slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
-    out = np.full(len(lines) * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(lines) * SLOTS, _NONE, np.uint64)
     np.minimum.at(out, line * SLOTS + slot, h)
     out = out.reshape(-1, SLOTS)
-    empty, full = np.iinfo(np.uint64).max, out.copy()
-    for step in range(1, SLOTS):
-        gap = out == empty
-        if not gap.any():
-            break
-        lend = np.roll(full, -step, 1)  # borrow from the nearest full slot to the right, marked by the distance
-        take = gap & (lend != empty)
-        out[take] = lend[take] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    return out
+    # The nearest full slot to the right, around the end; the distance marks what is borrowed.
+    at = np.where(np.concatenate([out, out], 1) != _NONE, np.arange(2 * SLOTS, dtype=np.int16), np.int16(4 * SLOTS))
+    lender = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :SLOTS]
+    far = (lender - np.arange(SLOTS, dtype=np.int16)).astype(np.uint64)
+    return np.take_along_axis(out, lender.astype(np.int64) % SLOTS, 1) + far * _STEP
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) hashes of KEY_BITS bits of the bands."""
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    for a in range(0, len(lines), 2048):
+        part = out[a : a + 2048]
+        s = signatures(lines[a : a + 2048]).reshape(-1, BANDS, ROWS)
+        for r in range(ROWS):
+            part[:] = mix64(part * _STEP + s[:, :, r])
+    out ^= np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix64(out) & np.uint64((1 << KEY_BITS) - 1)
 
 
-def line_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Shingle sets of lines for the exact join, 56 bits of each hash."""
-    mask = np.uint64((1 << KEY_BITS) - 1)
-    return [np.unique(line_shingles((t or "").encode("utf-8", "surrogatepass")) & mask) for t in texts]
+_ROW = "bucket int, uid long, piece boolean, a binary, b binary"
 
 
-def _bands(batches):
-    """(bucket, node) of every band of every line."""
-    import pyarrow as pa
+def _deal(bits: int):
+    """Bands of the distinct lines of each piece, packed by bucket, and one row for each piece that says which lines hold them.
 
-    for batch in sub_batches(batches, 500_000, "line"):
-        lines = [x.encode("utf-8", "surrogatepass") for x in batch.column("line").to_pylist()]
-        long = np.array([i for i, x in enumerate(lines) if len(x) >= CHARS], np.int64)
-        if not long.size:
-            continue
-        s = signatures([lines[i] for i in long]).reshape(long.size, BANDS, ROWS)
-        h = np.zeros((long.size, BANDS), np.uint64)
-        for r in range(ROWS):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
-        h ^= np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0xC2B2AE3D27D4EB4F)
-        node = batch.column("node").take(pa.array(np.repeat(long, BANDS)))
-        yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), node], ["bucket", "node"])
+    A piece is a stretch of consecutive rows of the written table and is named by the first.
+    """
+    low_bits = np.uint64(KEY_BITS - bits)
+    edges, mask = np.arange((1 << bits) + 1, dtype=np.uint64), np.uint64((1 << (KEY_BITS - bits)) - 1)
 
+    def stretches(batches):
+        for batch in sub_batches(batches, PIECE_BYTES, "line"):
+            row = batch.column("row").to_numpy()
+            cuts = np.union1d(np.flatnonzero(np.diff(row) != 1) + 1, np.arange(0, row.size, PIECE_LINES))
+            for a, b in zip(cuts, np.append(cuts[1:], row.size), strict=True):
+                yield batch.slice(a, b - a)
 
-def _shared(batches):
-    """Of rows in the order of bucket those whose bucket the row before or after has too; one row is carried over."""
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("bucket", pa.int32()), ("uid", pa.int64()), ("piece", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+        for batch in stretches(batches):
+            uid = batch.column("row")[0].as_py()
+            lines = batch.column("line").to_pylist()
+            no = np.array([i for i in {x: i for i, x in reversed(list(enumerate(lines)))}.values() if len(lines[i]) >= CHARS], np.uint16)
+            if not no.size:
+                continue
+            key = band_keys([lines[i] for i in no]).ravel()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.append(at, key.size)).astype(np.uint16)
+            key = key[at]
+            rows = [(int(mix64(np.array([uid], np.uint64))[0] & np.uint64((1 << bits) - 1)), uid, True, np.repeat(no, BANDS)[order].tobytes(), times.tobytes())]
+            cut = np.searchsorted(key >> low_bits, edges)
+            for b in np.flatnonzero(np.diff(cut)):
+                s = slice(cut[b], cut[b + 1])
+                rows.append((int(b), uid, False, _pack(key[s] & mask), np.minimum(times[s], 255).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _count(table):
+    """One bucket: back to each piece go a byte for each of its bands, 0 if no other line holds it, and the bands that aren't 0."""
     import pyarrow as pa
 
-    last, last_kept = None, True
-    for batch in batches:
-        bucket, node = batch.column("bucket").to_numpy(), batch.column("node").to_numpy()
-        if not bucket.size:
-            continue
-        same = bucket[1:] == bucket[:-1]
-        keep = np.zeros(bucket.size, bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None and last[0] == bucket[0]:
-            keep[0] = True
-            if not last_kept:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["bucket", "node"])
-        last, last_kept = (bucket[-1], node[-1]), bool(keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], ["bucket", "node"])
-
-
-def grams(line: bytes) -> set[bytes]:
+    rows = table.to_pylist()
+    own = [r for r in rows if not r["piece"]]
+    if own:
+        keys = [_unpack(r["a"]) for r in own]
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([np.frombuffer(r["b"], np.uint8) for r in own]))[inverse]
+        at = 0
+        for r, k in zip(own, keys, strict=True):
+            n = total[at : at + k.size]
+            at += k.size
+            r["a"], r["b"] = _pack(k[n > 1]), np.where(n > 1, _rank(n), 0).astype(np.uint8).tobytes()
+    return pa.Table.from_pylist(rows, schema=table.schema)
+
+
+def _found(bits: int):
+    low_bits = np.uint64(KEY_BITS - bits)
+
+    def run(table):
+        """One piece: the shared bands of its lines, with a byte that grows with the number of their holders."""
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        piece = next(r for r in rows if r["piece"])
+        own = sorted((r for r in rows if not r["piece"]), key=lambda r: r["bucket"])
+        key = np.concatenate([np.uint64(r["bucket"]) << low_bits | _unpack(r["a"]) for r in own])
+        size = np.frombuffer(b"".join(r["b"] for r in own), np.uint8)
+        no, times = np.frombuffer(piece["a"], np.uint16), np.frombuffer(piece["b"], np.uint16)
+        shared = size > 0
+        held = times[shared]
+        return pa.table({"key": pa.array(np.repeat(key, held).astype(np.int64)), "row": pa.array(piece["uid"] + no[np.repeat(shared, times)].astype(np.int64)), "n": pa.array(np.repeat(size[shared], held).astype(np.int32))})
+
+    return run
+
+
+def grams(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(len(line) - CHARS + 1)} or {line}
 
 
+def similar(a: set[str], b: set[str], num: int, den: int) -> bool:
+    small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
+    return den * small >= num * large and (num + den) * len(a & b) >= num * (small + large)
+
+
 def _verify(num: int, den: int):
     def run(batches):
         import pyarrow as pa
@@ -134,76 +181,142 @@ def _verify(num: int, den: int):
             linked, last, b = [], None, set()
             for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
                 if y != last:
-                    last, b = y, grams(y.encode("utf-8", "surrogatepass"))
-                a = grams(x.encode("utf-8", "surrogatepass"))
-                small, large = sorted((len(a), len(b)))
-                linked.append(den * small >= num * large and (num + den) * len(a & b) >= num * (small + large))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                    last, b = y, grams(y)
+                linked.append(similar(grams(x), b, num, den))
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
+
+    return run
+
+
+def _block_links(group: list, num: int, den: int):
+    """Links between members (block, node, comp, line) of one pair of blocks; what already stands in one component isn't compared."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    sets = [grams(r[3]) for r in group]
+    own = len({r[0] for r in group}) == 1
+    for i, (block, node, comp, _) in enumerate(group):
+        for j in range(i):
+            if own or group[j][0] != block:
+                a, b = find(comp), find(group[j][2])
+                if a != b and similar(sets[i], sets[j], num, den):
+                    parent[max(a, b)] = min(a, b)
+                    yield node, group[j][1]
+
+
+def _blocks(num: int, den: int):
+    """Of rows in the order of (key, i, j) the links in each such group; a group has two blocks at most."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ("key", "i", "j", "block", "node", "comp", "line")
+        last, group = None, []
+        for batch in batches:
+            out = []
+            for key, i, j, *member in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (key, i, j) != last:
+                    out += _block_links(group, num, den)
+                    last, group = (key, i, j), []
+                group.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+        out = list(_block_links(group, num, den))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of doc_id and text), no, line (trimmed), for every line with anything but white space."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    """doc_id, k1, k2 (of the row), no, line (trimmed), for every line with anything but white space."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", *identity(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
 
 
-def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """(key, no): the lines that go, because a line that came first is in their component."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "line-dedup")
-    lines = split_lines(docs)
-    # A distinct line is a node.
-    nodes = lines.groupBy("line").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times")).withColumn("node", F.xxhash64("line"))
-    nodes = scratch.save(nodes.select("node", "line", "doc", "times"), "nodes")
-    free_shuffles(spark)
-    banded = nodes.select("node", "line").mapInArrow(_bands, "bucket long, node long").repartition("bucket").sortWithinPartitions("bucket")
-    buckets = scratch.save(banded.mapInArrow(_shared, "bucket long, node long"), "shared")
+def shared_bands(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, row, n): the bands that a line shares with others, for the first of equal lines of a piece."""
+    bits = max(8, int(lines.count() * BANDS // BUCKET_ENTRIES).bit_length())
+    packed = lines.select("row", "line").mapInArrow(_deal(bits), _ROW)
+    return scratch.save(packed.groupBy("bucket").applyInArrow(_count, _ROW).groupBy("uid").applyInArrow(_found(bits), "key long, row long, n int"), "found")
+
+
+def line_links(lines: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """lines: row, digest, line.  ((node, digest) of lines with a candidate, (node, component) of those with a link)."""
+    spark = lines.sparkSession
+    found = shared_bands(lines, scratch)
     free_shuffles(spark)
-    # The text of what shares a bucket, once: all further joins are with these lines only.
-    text = scratch.save(nodes.select("node", "line").join(buckets.select("node").distinct(), "node"), "candidates")
-    slim = scratch.save(nodes.select("node", "doc", "times"), "slim")
-    scratch.drop(nodes)
-    nodes = slim
+    # Equal lines of several pieces are one node.
+    same = lines.select("row", "digest").join(found.select("row").distinct(), "row")
+    nodes = scratch.save(same.withColumn("node", F.min("row").over(_by("digest"))), "nodes")
+    buckets = found.join(nodes.select("row", "node"), "row").groupBy("key", "node").agg(F.max("n").alias("n"))
+    buckets = scratch.save(buckets, "all")
+    lists = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    buckets = scratch.save(buckets.join(lists, "key"), "buckets")
+    # The original of a family meets most others: it makes the best centre.
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    text = scratch.save(lines.select(F.col("row").alias("node"), "line").join(weights, "node"), "text")
+    buckets = scratch.save(buckets.select("key", "node").join(text.select("node", "weight"), "node"), "weighted")
     free_shuffles(spark)
-    # Of a family of lines the original meets most others: it makes the best centre.
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    weight = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
-    buckets = scratch.save(buckets.join(weight, "node"), "buckets")
-    # Against the centre: what links to it needs no other comparison.
-    centre = buckets.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("c")).select("bucket", F.col("c.node").alias("b"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), each once, whose lines are similar."""
         full = pairs.distinct().join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        done = full.select("a", "b", "la", "lb").mapInArrow(_verify(num, den), "a long, b long, linked boolean")
-        return done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return scratch.save(full.select("a", "b", "la", "lb").mapInArrow(_verify(num, den), "u long, v long"), "links")
 
-    edges = scratch.save(links(buckets.join(centre, "bucket").where("node <> b").select(F.col("node").alias("a"), "b")), "edges")
-    free_shuffles(spark)
+    def standing(labels: DataFrame | None) -> DataFrame:
+        """Rows of buckets with two components or more."""
+        rows = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+        return rows.join(apart, "key")
+
+    def against(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(Pairs with the bucket's centre, rows outside its component)."""
+        centre = rows.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node", "comp")).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.comp").alias("c_comp"))
+        rows = rows.join(centre, "key").where("comp <> c_comp")
+        return rows.select(F.col("node").alias("a"), "b"), rows.drop("b", "c_comp")
+
+    edges = links(against(standing(None))[0])
+    labels = scratch.save(components(edges, scratch), "labels")
+    # Once more among those that stand apart from the centre's component.
+    rest = against(scratch.save(standing(labels), "open"))[1]
+    edges = edges.union(links(against(rest)[0]))
     labels = scratch.save(components(edges, scratch), "labels")
-    # What still stands apart: all pairs in buckets of a few members, the exact join for lines of larger ones.
-    rows = buckets.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    lists = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    rows = scratch.save(rows.join(lists, "bucket"), "open")
-    few = rows.where(F.col("n") <= FEW)
-    other = few.select(F.col("bucket").alias("o_bucket"), F.col("node").alias("o_node"), F.col("comp").alias("o_comp"))
-    near = few.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-    edges = edges.union(scratch.save(links(near), "edges"))
-    apart = scratch.save(text.join(rows.where(F.col("n") > FEW).select("node").distinct(), "node"), "apart")
     free_shuffles(spark)
-    found = similarity_classes(apart.select(F.col("node").alias("doc_id"), F.col("line").alias("text")), num, den, line_sets)
-    found = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "links")
-    labels = scratch.save(components(edges.union(found), scratch), "labels")
-    comp = nodes.join(labels, "node", "left").select("node", "doc", "times", F.coalesce("component", "node").alias("comp"))
-    many = comp.groupBy("comp").agg(F.min("doc").alias("kept"), F.sum("times").alias("n")).where("n > 1").select("comp", "kept")
-    going = scratch.save(comp.join(many, "comp").select("node", "comp", "kept"), "going")
-    hit = scratch.save(lines.select("doc_id", "key", "no", F.xxhash64("line").alias("node")).join(going, "node").select("comp", "key", "no", F.col("doc_id").eqNullSafe(F.col("kept")).alias("in_kept")), "hit")
-    # In the first document the first line stays.
-    stay = hit.where("in_kept").groupBy("comp").agg(F.min(F.struct("no", "key")).alias("s"))
-    stay = stay.select("comp", F.col("s.no").alias("s_no"), F.col("s.key").alias("s_key"))
-    return hit.join(stay, "comp", "left").where("s_no is null or no <> s_no or key <> s_key").select("key", "no")
+    rows = standing(labels).withColumn("n", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "n"))
+    rows = rows.select("key", "node", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
+    rows = rows.join(text.select("node", "line"), "node").select("key", "i", "j", "block", "node", "comp", "line").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = scratch.save(rows.mapInArrow(_blocks(num, den), "u long, v long"), "links")
+    labels = scratch.save(components(edges.union(more), scratch), "labels")
+    return nodes.where("row = node").select("node", "digest"), labels
+
+
+def _by(*cols):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*cols)
+
+
+def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(k1, k2, no): the lines that go, because a line that came first is in their component."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "line-dedup")
+    lines = split_lines(docs).select("*", F.unhex(F.md5("line")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    lines = scratch.save(lines, "lines")
+    nodes, labels = line_links(lines.select("row", "digest", "line"), scratch, num, den)
+    linked = nodes.join(labels, "node").select("digest", "component")
+    first = F.min(F.struct("doc_id", "no", "k1", "k2"))
+    distinct = lines.groupBy("digest").agg(first.alias("first"), F.count("*").alias("times")).join(linked, "digest", "left")
+    distinct = scratch.save(distinct.where("times > 1 or component is not null"), "distinct")
+    kept = distinct.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+    going = distinct.where("component is null").select("digest", F.col("first").alias("kept")).union(distinct.join(kept, "component").select("digest", "kept"))
+    going = scratch.save(going.select("digest", F.col("kept.no").alias("s_no"), F.col("kept.k1").alias("s_k1"), F.col("kept.k2").alias("s_k2")), "going")
+    free_shuffles(spark)
+    return lines.select("digest", "k1", "k2", "no").join(going, "digest").where("no <> s_no or k1 <> s_k1 or k2 <> s_k2").select("k1", "k2", "no")
 
 
 def _drop(names):
@@ -232,13 +345,16 @@ def drop_repeated_lines(docs: DataFrame, keep_text: bool = True, num: int = 4, d
     Null and empty texts have no lines.  Blank lines are no lines of text and
     stay; lines shorter than a shingle match equal lines only; white space
     around a line doesn't count.  Rows that agree in doc_id and text are treated
-    alike, as one document.
+    alike, as one document.  Of equal doc_ids the lower line number comes first,
+    then the row's hash decides; a null doc_id comes before all others.  A text
+    is handled in one task, with about 20 bytes of its Python worker for each of
+    the longest text; further columns are ignored.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), num, den).groupBy("key").agg(F.collect_set("no").alias("gone"))
+    gone = repeated_lines(docs.select("doc_id", "text"), num, den).groupBy("k1", "k2").agg(F.collect_set("no").alias("gone"))
     names = ["doc_id", "n_lines", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])]
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.StringType()]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False))])
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).join(gone, "key", "left")
+    keyed = docs.select("doc_id", "text", *identity()).join(gone, ["k1", "k2"], "left")
     return keyed.select("doc_id", "text", "gone").mapInArrow(_drop(names), schema)
 
 
