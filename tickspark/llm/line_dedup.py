@@ -2,7 +2,7 @@
 
 A line is the set of its character shingles.  One hash per shingle, dealt to
 SLOTS slots by its top bits, gives a signature of slot minima; an empty slot
-borrows from the next full one.  Lines that agree in a band of ROWS slots share
+borrows from a full one.  Lines that agree in a band of ROWS slots share
 a bucket and are candidates: at the threshold similarity a pair is missed about
 once in 250 times, more similar ones hardly ever.  Candidates are verified by
 their exact Jaccard similarity, and of each connected component of verified links
@@ -40,6 +40,8 @@ BLOCK = 128
 
 _NONE = np.iinfo(np.uint64).max
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: For each slot a random order of all others, from which it borrows while it is empty.
+LENDERS = np.stack([np.random.default_rng(977 + s).permutation(SLOTS) for s in range(SLOTS)], 1)
 
 
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +64,15 @@ def signatures(lines: list[str]) -> np.ndarray:
     slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
     out = np.full(len(lines) * SLOTS, _NONE, np.uint64)
     np.minimum.at(out, line * SLOTS + slot, h)
-    out = out.reshape(-1, SLOTS)
-    # The nearest full slot to the right, around the end; the distance marks what is borrowed.
-    at = np.where(np.concatenate([out, out], 1) != _NONE, np.arange(2 * SLOTS, dtype=np.int16), np.int16(4 * SLOTS))
-    lender = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :SLOTS]
-    far = (lender - np.arange(SLOTS, dtype=np.int16)).astype(np.uint64)
-    return np.take_along_axis(out, lender.astype(np.int64) % SLOTS, 1) + far * _STEP
+    # Each empty slot borrows from the first full one of a list of its own, so that the rows of a band stay independent.
+    have, gap = out.copy(), np.flatnonzero(out == _NONE)
+    for t in range(LENDERS.shape[0]):
+        if not gap.size:
+            break
+        lent = have[gap // SLOTS * SLOTS + LENDERS[t, gap % SLOTS]]
+        out[gap] = lent
+        gap = gap[lent == _NONE]
+    return out.reshape(-1, SLOTS)
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
