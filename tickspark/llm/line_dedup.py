@@ -87,13 +87,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return mix64(out) & np.uint64((1 << KEY_BITS) - 1)
 
 
-_ROW = "bucket int, uid long, piece boolean, a binary, b binary"
+_ROW = "bucket int, uid long, piece boolean, a binary, b binary, c binary"
 
 
 def _deal(bits: int):
     """Bands of the distinct lines of each piece, packed by bucket, and one row for each piece that says which lines hold them.
 
-    A piece is a stretch of consecutive rows of the written table and is named by the first.
+    A piece is a stretch of consecutive rows of the written table and is named by
+    the first.  A band held once carries 16 bits of its line's digest: lines that
+    agree there are taken for equal ones, which costs one link in 65,536.
     """
     low_bits = np.uint64(KEY_BITS - bits)
     edges, mask = np.arange((1 << bits) + 1, dtype=np.uint64), np.uint64((1 << (KEY_BITS - bits)) - 1)
@@ -108,7 +110,7 @@ def _deal(bits: int):
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("bucket", pa.int32()), ("uid", pa.int64()), ("piece", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("uid", pa.int64()), ("piece", pa.bool_()), *((c, pa.binary()) for c in "abc")])
         for batch in stretches(batches):
             uid = batch.column("row")[0].as_py()
             lines = batch.column("line").to_pylist()
@@ -117,15 +119,16 @@ def _deal(bits: int):
                 continue
             key = band_keys([lines[i] for i in no]).ravel()
             order = np.argsort(key, kind="stable")
-            key = key[order]
+            key, no = key[order], np.repeat(no, BANDS)[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             times = np.diff(np.append(at, key.size)).astype(np.uint16)
             key = key[at]
-            rows = [(int(mix64(np.array([uid], np.uint64))[0] & np.uint64((1 << bits) - 1)), uid, True, np.repeat(no, BANDS)[order].tobytes(), times.tobytes())]
+            tag = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint16)[::8][no[at]]
+            rows = [(int(mix64(np.array([uid], np.uint64))[0] & np.uint64((1 << bits) - 1)), uid, True, no.tobytes(), times.tobytes(), None)]
             cut = np.searchsorted(key >> low_bits, edges)
             for b in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[b], cut[b + 1])
-                rows.append((int(b), uid, False, _pack(key[s] & mask), np.minimum(times[s], 255).astype(np.uint8).tobytes()))
+                rows.append((int(b), uid, False, _pack(key[s] & mask), np.minimum(times[s], 255).astype(np.uint8).tobytes(), tag[s].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -139,13 +142,18 @@ def _count(table):
     own = [r for r in rows if not r["piece"]]
     if own:
         keys = [_unpack(r["a"]) for r in own]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(r["b"], np.uint8) for r in own]))[inverse]
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        times, tag = (np.concatenate([np.frombuffer(r[c], kind) for r in own]) for c, kind in (("b", np.uint8), ("c", np.uint16)))
+        low, high = np.full(distinct.size, 65535, np.uint16), np.zeros(distinct.size, np.uint16)
+        np.minimum.at(low, inverse, tag)
+        np.maximum.at(high, inverse, tag)
+        several = (low != high) | (np.bincount(inverse, times > 1) > 0)
+        total = np.where(several, _rank(np.bincount(inverse, times)), 0).astype(np.uint8)[inverse]
         at = 0
         for r, k in zip(own, keys, strict=True):
             n = total[at : at + k.size]
             at += k.size
-            r["a"], r["b"] = _pack(k[n > 1]), np.where(n > 1, _rank(n), 0).astype(np.uint8).tobytes()
+            r["a"], r["b"], r["c"] = _pack(k[n > 0]), n.tobytes(), None
     return pa.Table.from_pylist(rows, schema=table.schema)
 
 
@@ -245,7 +253,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
 def shared_bands(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, row, n): the bands that a line shares with others, for the first of equal lines of a piece."""
     bits = max(8, int(lines.count() * BANDS // BUCKET_ENTRIES).bit_length())
-    packed = lines.select("row", "line").mapInArrow(_deal(bits), _ROW)
+    packed = lines.select("row", "digest", "line").mapInArrow(_deal(bits), _ROW)
     return scratch.save(packed.groupBy("bucket").applyInArrow(_count, _ROW).groupBy("uid").applyInArrow(_found(bits), "key long, row long, n int"), "found")
 
 
