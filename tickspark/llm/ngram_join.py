@@ -376,9 +376,13 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shi
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that nothing refers to any more."""
+    """Let Spark delete the files of shuffles that nothing refers to any more.
+
+    Spark holds on to the last query that ran, so a small one goes between.
+    """
     import gc
 
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
