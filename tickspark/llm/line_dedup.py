@@ -48,9 +48,12 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hash, line) of all lines, repeated shingles included."""
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(x) for x in lines])
-    n = max(0, code.size - CHARS + 1)
-    line = np.repeat(np.arange(len(lines)), sizes)[:n]
-    inside = np.flatnonzero(np.arange(n) + CHARS <= np.cumsum(sizes)[line])
+    n = code.size - CHARS + 1
+    line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)[:n]
+    inside = np.ones(code.size, bool)
+    for k in range(1, CHARS):
+        inside[np.cumsum(sizes) - k] = False
+    inside = inside[:n]
     h = code[:n].copy()
     for k in range(1, CHARS):
         h *= _STEP
@@ -61,7 +64,7 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, SLOTS) slot minima of lines of at least CHARS characters."""
     h, line = _hashes(lines)
-    slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
+    slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int32)
     out = np.full(len(lines) * SLOTS, _NONE, np.uint64)
     np.minimum.at(out, line * SLOTS + slot, h)
     # Each empty slot borrows from the first full one of a list of its own, so that the rows of a band stay independent.
@@ -78,9 +81,9 @@ def signatures(lines: list[str]) -> np.ndarray:
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) hashes of KEY_BITS bits of the bands."""
     out = np.zeros((len(lines), BANDS), np.uint64)
-    for a in range(0, len(lines), 2048):
-        part = out[a : a + 2048]
-        s = signatures(lines[a : a + 2048]).reshape(-1, BANDS, ROWS)
+    for a in range(0, len(lines), 512):
+        part = out[a : a + 512]
+        s = signatures(lines[a : a + 512]).reshape(-1, BANDS, ROWS)
         for r in range(ROWS):
             part[:] = mix64(part * _STEP + s[:, :, r])
     out ^= np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0xC2B2AE3D27D4EB4F)
