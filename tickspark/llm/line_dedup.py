@@ -225,10 +225,26 @@ def _verify(num: int, den: int):
     return run
 
 
-def _block_links(table, num: int, den: int):
-    """Links between the members of one pair of blocks; what already stands in one component isn't compared."""
-    block, node, comp = (table.column(c).to_numpy() for c in ("block", "node", "comp"))
+def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
+    """Links within groups (key, i, j) that lie together; what already stands in one component isn't compared.
+
+    Rows are compared with those d places further on, for growing d, as long as
+    both are of one group; of two blocks only rows of different blocks meet.
+    """
+    key, i, j, block, node, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "comp"))
+    group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
     sig, line = _slots(table.column("sig")), table.column("line")
+    first, second, at, d = [], [], np.arange(key.size), 0
+    while True:
+        d += 1
+        at = at[: np.searchsorted(at, key.size - d)]
+        at = at[group[at] == group[at + d]]
+        if not at.size:
+            break
+        x = at[(comp[at] != comp[at + d]) & ((i[at] == j[at]) | (block[at] != block[at + d]))]
+        x = x[(sig[x] == sig[x + d]).sum(1) >= PLAUSIBLE * SLOTS]
+        first.append(x)
+        second.append(x + d)
     parent: dict[int, int] = {}
     sets: dict[int, set] = {}
 
@@ -237,52 +253,43 @@ def _block_links(table, num: int, den: int):
             x = parent[x]
         return x
 
-    def of(i):
-        if i not in sets:
-            sets[i] = grams(line[i].as_py())
-        return sets[i]
-
-    one = block.min() == block.max()
-    values, times = np.unique(comp, return_counts=True)
-    # Whoever isn't of the largest component meets all others; each pair once, as later ones skip earlier ones.
-    outside = np.flatnonzero(comp != values[times.argmax()])
-    done = np.zeros(comp.size, bool)
-    for i in outside.tolist():
-        done[i] = True
-        other = np.flatnonzero(~done & (comp != comp[i]) & (one | (block != block[i])))
-        other = other[(sig[other] == sig[i]).sum(1) >= PLAUSIBLE * SLOTS]
-        for j in other.tolist():
-            a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and similar(of(i), of(j), num, den):
-                parent[max(a, b)] = min(a, b)
-                yield int(node[i]), int(node[j])
+    def of(x):
+        if x not in sets:
+            sets[x] = grams(line[x].as_py())
+        return sets[x]
+
+    out = []
+    for x, y in zip(np.concatenate(first).tolist() if first else [], np.concatenate(second).tolist() if second else [], strict=True):
+        a, b = find(int(comp[x])), find(int(comp[y]))
+        if a != b and similar(of(x), of(y), num, den):
+            parent[max(a, b)] = min(a, b)
+            out.append((int(node[x]), int(node[y])))
+    return out
 
 
 def _blocks(num: int, den: int):
-    """Of rows in the order of (key, i, j) the links in each such group; a group has two blocks at most."""
+    """Of rows in the order of (key, i, j) the links in each such group; the last group of a batch waits for the next."""
 
     def run(batches):
         import pyarrow as pa
 
         def links(parts):
-            table = pa.Table.from_batches(parts).combine_chunks()
-            out = list(_block_links(table, num, den)) if table.num_rows > 1 else []
+            out = _block_links(pa.Table.from_batches(parts).combine_chunks(), num, den)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        last, parts = None, []
+        rest = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
-            for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(ids)).tolist(), strict=True):
-                if tuple(ids[a]) != last:
-                    if parts:
-                        yield links(parts)
-                    last, parts = tuple(ids[a]), []
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield links(parts)
+            tail = batch.num_rows - int((ids != ids[-1]).any(1)[::-1].argmax()) if (ids != ids[-1]).any() else 0
+            if tail or (rest and any(rest[-1].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in ("key", "i", "j"))):
+                if rest or tail:
+                    yield links([*rest, batch.slice(0, tail)])
+                rest = []
+            rest.append(batch.slice(tail))
+        if rest:
+            yield links(rest)
 
     return run
 
