@@ -64,6 +64,6 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     out = docs
-    for name in ("key", "row", "size", "rep", "g", "shard", "slot", "lang_pred", "_g", "bucket", "words"):
+    for name in ("key", "row", "size", "rep", "g", "shard", "slot", "lang_pred", "_g", "bucket", "words", "score", "accepted", "_held", "uid", "node", "n", "k1", "digest"):
         out = out.withColumn(name, F.lit("x"))
     return out

@@ -88,6 +88,28 @@ def test_ngram_join(docs, rows):
     assert got == want
 
 
+def test_long_words_that_only_a_sum_takes_for_equal(spark):
+    """A Thue-Morse word and its complement differ; sums modulo a power of two don't tell."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_long_texts_that_share_most_words(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(20_000)]
+    texts = []
+    for k in range(3):
+        words = list(base)
+        a = 6000 * k
+        words[a : a + 1500] = [f"n{rng.randrange(10**9)}" for _ in range(1500)]
+        texts.append((k, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in texts]
+    assert [got[k] for k in range(3)] == [0 if jaccard(sets[0], sets[k]) or k == 0 else k for k in range(3)]
+
+
 def test_keep_one(docs, clashing, empty):
     kept = ngram_join.keep_one_of_each(clashing)
     assert kept.columns == clashing.columns
@@ -155,5 +177,10 @@ def test_lines_that_share_a_passage_and_large_buckets(spark, monkeypatch):
         assert len(got) == want and not set(got) & set(first.values())
 
 
+def test_clashing_columns_change_nothing(docs, clashing):
+    for f in (suffix_dedup.remove_repeats, line_dedup.drop_repeated_lines):
+        assert sorted(map(str, f(clashing).collect())) == sorted(map(str, f(docs).collect()))
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0

@@ -19,8 +19,11 @@ def test_registered():
 @pytest.mark.parametrize("name", ["empty", "clashing"])
 def test_stages_keep_columns(sf, request, name):
     docs = request.getfixturevalue(name)
+    given = {r["doc_id"]: r for r in docs.collect()}
     for stage, f in corpus_pipeline.STAGES[:-1]:
-        assert f(docs.sparkSession, docs, sf).columns == docs.columns, stage
+        out = f(docs.sparkSession, docs, sf)
+        assert out.columns == docs.columns, stage
+        assert all(r == given[r["doc_id"]] for r in out.collect()), stage
 
 
 def test_each_stage_against_brute_force(spark, sf, tmp_path):

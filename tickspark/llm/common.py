@@ -92,7 +92,7 @@ def pair64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sub_batches(batches, max_bytes: int = 4_000_000, column: str = "text"):
-    """Arrow batches cut into slices of about max_bytes of text, one row at least."""
+    """Arrow batches cut into slices of about max_bytes of text, one row at least and 65,535 at most."""
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -104,6 +104,6 @@ def sub_batches(batches, max_bytes: int = 4_000_000, column: str = "text"):
         start = 0
         while start < n:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+            stop = max(start + 1, min(start + 65_535, int(np.searchsorted(ends, before + max_bytes, "right"))))
             yield batch.slice(start, stop - start)
             start = stop

@@ -124,12 +124,8 @@ def item_table(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "m", "grams", fingerprint_and_blocks(F.col("words")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (0-based word), n_words, hamming, similarity: the best window of each document and item it holds.
-
-    Null, empty and wordless texts and items match nothing.  Repeated rows give
-    one result.  A window over a document's border is the part inside.
-    """
+def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key (of the row), item_id, start, window, hamming, similarity of every window that verifies."""
     items = item_table(benchmark)
     entries = items.select("item_id", "m", F.explode("grams").alias("gram")).distinct()
     n, short = items.agg(F.sum(F.size("grams")), F.sort_array(F.collect_set(F.when(F.col("m") < SHINGLE, F.col("m"))))).first()
@@ -137,42 +133,54 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n <= BROADCAST_SHINGLES:
         entries = F.broadcast(entries)
     texts = docs.where(F.col("text").isNotNull())
-    grams = F.posexplode("grams").alias("pos", "gram")
-    if short:
-        grams = F.inline(F.concat(placed(F.col("grams")), *[placed(short_runs(F.col("words"), m)) for m in short]))
-    hits = texts.select("doc_id", identity().alias("key"), words_and_grams(F.col("text"))).select("doc_id", "key", F.size("words").alias("size"), grams).join(entries, "gram")
+    grams = F.concat(placed(F.col("grams")), *[placed(short_runs(F.col("words"), m)) for m in short])
+    # Only the size of the text stays beside each of its shingles.
+    hits = texts.select("doc_id", identity().alias("key"), words_and_grams(F.col("text"))).select("doc_id", "key", F.size("words").alias("size"), grams.alias("placed"))
+    hits = hits.select("doc_id", "key", "size", F.inline("placed")).join(entries, "gram")
     met = hits.groupBy("doc_id", "key", "size", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     spots = met.select("doc_id", "key", "m", F.explode(window_starts(F.col("at"), F.col("m"), F.col("size"))).alias("start"))
     spots = spots.groupBy("doc_id", "key").agg(F.collect_set(F.struct("m", "start")).alias("spots"))
     # Written, as its size then decides how it is joined: few texts are cut a second time.
     spots = Scratch(docs.sparkSession, "decontaminate").save(spots, "spots").withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
     texts = texts.withColumn("key", identity()).join(spots, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = texts.select("doc_id", "spots", F.explode(F.array(word_hashes(F.col("text")))).alias("words"))
-    windows = texts.select("doc_id", "words", F.inline("spots"))
+    texts = texts.select("doc_id", "key", "spots", F.explode(F.array(word_hashes(F.col("text")))).alias("words"))
+    windows = texts.select("doc_id", "key", "words", F.inline("spots"))
     start = F.col("start")
-    windows = windows.select("doc_id", "m", "start", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0))).alias("window"))
-    windows = windows.select("*", fingerprint_and_blocks(F.col("window"))).select("doc_id", "m", "start", "window", "fp", F.explode("blocks").alias("block"), F.col("blocks"))
+    windows = windows.select("doc_id", "key", "m", "start", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0))).alias("window"))
+    windows = windows.select("*", fingerprint_and_blocks(F.col("window"))).select("doc_id", "key", "m", "start", "window", "fp", F.explode("blocks").alias("block"), F.col("blocks"))
     index = items.select("item_id", "m", "grams", F.col("fp").alias("item_fp"), F.col("blocks").alias("item_blocks"), F.explode("blocks").alias("block"))
     if n <= BROADCAST_SHINGLES:
         index = F.broadcast(index)
     near = windows.join(index, ["m", "block"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
     # A pair meets in several blocks: keep it in the first.
     near = near.where(F.array_min(F.transform(F.array_intersect("blocks", "item_blocks"), lambda x: x["no"])) == F.col("block.no"))
-    near = near.select("doc_id", "item_id", "start", "window", "hamming", "grams", F.explode(F.array(shingles(F.col("window")))).alias("own"))
-    verified = near.withColumn("similarity", weighted_jaccard(F.col("own"), F.col("grams"))).where(F.col("similarity") >= SIMILARITY)
+    near = near.select("doc_id", "key", "item_id", "start", "window", "hamming", "grams", F.explode(F.array(shingles(F.col("window")))).alias("own"))
+    return near.withColumn("similarity", weighted_jaccard(F.col("own"), F.col("grams"))).where(F.col("similarity") >= SIMILARITY)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start (0-based word), n_words, hamming, similarity: the best window of each document and item it holds.
+
+    Null, empty and wordless texts and items match nothing.  Repeated rows give
+    one result.  A window over a document's border is the part inside.  Of equally
+    similar windows the nearest fingerprint, then the first start is given.  A
+    text's words are an array of 8 bytes a word and its shingles one of 16 bytes,
+    in one task.  Further columns are ignored.
+    """
     best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"), F.size("window").alias("w"))).alias("b")
-    out = verified.groupBy("doc_id", "item_id").agg(best)
+    out = verified(docs, benchmark).groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.w").cast("long").alias("n_words"), (-F.col("b.h")).cast("int").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (document, item) pairs of all documents and all benchmark items, as contaminated() defines them."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item; rows of one doc_id, null included, go or stay together."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    """docs without the rows that hold an item; rows of one doc_id, null included, are judged each by its own text."""
+    held = verified(docs.select("doc_id", "text"), benchmark).select(F.col("key").alias("_held")).distinct()
+    return docs.join(held, F.xxhash64(docs["doc_id"], docs["text"]) == held["_held"], "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}

@@ -179,17 +179,22 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, per_lang: int, seed: int = 11) -> list[tuple[str, str]]:
-    """At most per_lang (text, language) rows of each language outside the held-out third, the same on every run."""
-    rows = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def labelled_sample(docs: DataFrame, per_lang: int, seed: int = 11, max_langs: int = 200) -> list[tuple[str, str]]:
+    """At most per_lang (text, language) rows of each language outside the held-out third, the same on every run.
+
+    Only the max_langs languages of most rows are learned, ties by name.  Rows
+    are drawn by a hash of doc_id and text, and equal rows count once, so that no
+    more than about per_lang texts a language reach the driver, whatever ids repeat.
+    """
+    rows = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return []
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
     keep = F.lit(False)
     for lang, n in sorted(counts.items()):
         keep = keep | ((F.col("lang") == lang) & (u < min(1.0, 1.2 * per_lang / n)))
-    found = sorted((r["u"], str(r["doc_id"]), r["lang"], r["text"]) for r in rows.where(keep).select(u.alias("u"), "doc_id", "lang", "text").collect())
+    found = sorted((r["u"], str(r["doc_id"]), r["lang"], r["text"]) for r in rows.where(keep).select(u.alias("u"), "doc_id", "lang", "text").distinct().collect())
     out, n = [], dict.fromkeys(counts, 0)
     for _, _, lang, text in found:
         if n[lang] < per_lang and has_letter(text):
@@ -224,7 +229,29 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return keep.mapInArrow(run, schema)
 
 
+def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model accepts, with the columns they came with, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        for batch in sub_batches(batches, 2_000_000):
+            lang, score = m.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and s >= m.threshold for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score of every row.
+
+    Null texts and texts without letters are ``und``; of languages of equal
+    score the first by name wins; repeated rows get equal results.  A text is
+    scored piece by piece in one task, with about 30 bytes of memory for each of
+    the longest text.  An empty table gives an empty result.
+    """
     docs = read_table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text"), fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")

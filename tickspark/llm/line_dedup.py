@@ -39,7 +39,7 @@ BUCKET_ENTRIES = 2_000_000
 #: Members of a bucket that one task compares with each other, or with as many others.
 BLOCK = 4096
 #: Share of equal slots; of 8,000 pairs of similarity 0.80 to 0.83, of lines of 20 to 5,000 characters, the least share was 0.717.
-PLAUSIBLE = 0.65
+PLAUSIBLE = 0.7
 
 _NONE = np.iinfo(np.uint64).max
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -193,12 +193,14 @@ def similar(a: set[str], b: set[str], num: int, den: int) -> bool:
 
 
 def _signed(batches):
-    """The rows with the low byte of each slot of their line's signature."""
+    """The rows with the low byte of each slot of their line's signature, and 32 bits of each band."""
     import pyarrow as pa
 
     for batch in sub_batches(batches, 500_000, "line"):
-        low = (signatures(batch.column("line").to_pylist()) & np.uint64(255)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in low], pa.binary())], [*batch.schema.names, "sig"])
+        lines = batch.column("line").to_pylist()
+        low, bands = (signatures(lines) & np.uint64(255)).astype(np.uint8), band_keys(lines).astype("<u4")
+        more = [pa.array([x.tobytes() for x in a], pa.binary()) for a in (low, bands)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "sig", "bands"])
 
 
 def _slots(column) -> np.ndarray:
@@ -229,11 +231,14 @@ def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
     """Links within groups (key, i, j) that lie together; what already stands in one component isn't compared.
 
     Rows are compared with those d places further on, for growing d, as long as
-    both are of one group; of two blocks only rows of different blocks meet.
+    both are of one group; of two blocks only rows of different blocks meet.  A
+    pair of several buckets is compared in that of its first band.
     """
     key, i, j, block, node, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "comp"))
     group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
     sig, line = _slots(table.column("sig")), table.column("line")
+    bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(-1, BANDS)
+    band = (bands == key.astype(np.uint64).astype(np.uint32)[:, None]).argmax(1)
     first, second, at, d = [], [], np.arange(key.size), 0
     while True:
         d += 1
@@ -242,6 +247,7 @@ def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
         if not at.size:
             break
         x = at[(comp[at] != comp[at + d]) & ((i[at] == j[at]) | (block[at] != block[at + d]))]
+        x = x[(bands[x] == bands[x + d]).argmax(1) == band[x]]
         x = x[(sig[x] == sig[x + d]).sum(1) >= PLAUSIBLE * SLOTS]
         first.append(x)
         second.append(x + d)
@@ -254,9 +260,10 @@ def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
         return x
 
     def of(x):
-        if x not in sets:
-            sets[x] = grams(line[x].as_py())
-        return sets[x]
+        n = int(node[x])
+        if n not in sets:
+            sets[n] = grams(line[x].as_py())
+        return sets[n]
 
     out = []
     for x, y in zip(np.concatenate(first).tolist() if first else [], np.concatenate(second).tolist() if second else [], strict=True):
@@ -322,7 +329,7 @@ def line_links(lines: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[
     # The original of a family meets most others: it makes the best centre.
     weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     text = lines.select(F.col("row").alias("node"), "line").join(weights, "node").select("node", "weight", "line")
-    text = scratch.save(text.mapInArrow(_signed, "node long, weight long, line string, sig binary"), "text")
+    text = scratch.save(text.mapInArrow(_signed, "node long, weight long, line string, sig binary, bands binary"), "text")
     buckets = scratch.save(buckets.select("key", "node").join(text.select("node", "weight"), "node"), "weighted")
     free_shuffles(spark)
     centre = buckets.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("c")).select("key", F.col("c.node").alias("b"))
@@ -338,7 +345,7 @@ def line_links(lines: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[
     rows = rows.join(apart.select("key", F.ceil(F.col("size") / BLOCK).alias("n")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "n"))
     rows = rows.select("key", "node", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
-    rows = rows.join(text.select("node", "line", "sig"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.join(text.select("node", "line", "sig", "bands"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = scratch.save(rows.mapInArrow(_blocks(num, den), "u long, v long"), "links")
     labels = scratch.save(components(edges.union(more), scratch), "labels")
     return nodes.where("row = node").select("node", "digest"), labels

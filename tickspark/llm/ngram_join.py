@@ -16,14 +16,16 @@ sets become one class.
 Posting lists are not expanded to pairs.  The first waves compare members with
 one centre of their list and merge what is similar; the last wave is exact: it
 compares whatever still stands in different components and shares a prefix
-shingle, after length and positional filters, each pair once, at the first
-shingle that both hold.  Components are
+shingle, after length and positional filters, each pair once, whatever number of
+shingles it meets in.  Components are
 then those of the full link graph: a pair that was never compared was already
 connected.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +78,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(raw.size + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: raw.size], out=sums[1:])
     h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    # Sums modulo 2^64 are alike for some long words of two letters: long words get a hash of their own.
+    for i in np.flatnonzero(ends - starts > 64).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     borders = np.cumsum([len(t) + 1 for t in texts])
     return h, np.searchsorted(borders, starts, "right")
 
@@ -355,14 +360,11 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shi
     rows = labelled(postings)
     verify(against(rows, several(rows, F.xxhash64("rep", F.lit(3)))))
     labels = scratch.save(components(edges, scratch), "labels")
-    # Exact: what still stands apart and shares a prefix shingle, at the first one that both hold.
+    # Exact: what still stands apart and shares a prefix shingle; a pair of several shingles is verified once.
     rows = labelled(postings)
     rows = scratch.save(rows.join(several(rows, F.col("pos")).select("token"), "token"), "open")
-    heads = rows.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("head"))
-    rows = scratch.save(rows.join(heads, "rep"), "heads")
-    other = rows.select(F.col("token").alias("o_token"), *(F.col(x).alias(f"o_{x}") for x in ("rep", "n", "pos", "comp", "head")))
-    first = F.element_at(F.array_intersect("head", "o_head"), 1) == F.col("token")
-    crossing = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & fits("n", "pos", "o_n", "o_pos") & first)
+    other = rows.select(F.col("token").alias("o_token"), *(F.col(x).alias(f"o_{x}") for x in ("rep", "n", "pos", "comp")))
+    crossing = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & fits("n", "pos", "o_n", "o_pos"))
     verify(crossing.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
     labels = components(edges, scratch).withColumnRenamed("node", "rep")
     named = reps.select("rep", "low").join(labels, "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("comp"))

@@ -266,6 +266,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = True)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 400-byte strings of every row, and the hash of what is left.
+
+    Null counts as empty.  Repeated rows are occurrences of their own and take
+    each other's bytes.  Overlapping spans are one.  A text is handled in one
+    task, with about 60 bytes of memory for each of the longest text.  An empty
+    table gives an empty result.
+    """
     return remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
