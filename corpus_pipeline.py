@@ -17,7 +17,7 @@ SHARDS = 40
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go: no letters, or a score below its calibrated threshold."""
-    return language_id.identify(docs, language_id.fit(docs)).where("accepted").select(*docs.columns)
+    return language_id.keep_accepted(docs, language_id.fit(docs))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
