@@ -28,6 +28,11 @@ def test_wide(spark, s, shown):
     assert one(spark, decimals.show(decimals.parse_wide(F.lit(s)), decimals.wide_scale(F.lit(s))))[0] == shown
 
 
+def test_vwap_of_fractions(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1.5BD, 0.5BD), (2.5BD, 0.5BD) AS t(px, sz)")
+    assert rows.agg(decimals.vwap(F.col("px"), F.col("sz"))).first()[0] == Decimal("2.0000")
+
+
 def test_vwap_truncates(spark):
     rows = spark.createDataFrame([(Decimal("1.0000"), Decimal(1)), (Decimal("2.0000"), Decimal(2))], "px decimal(18,4), sz decimal(18,4)")
     assert rows.agg(decimals.vwap(F.col("px"), F.col("sz"))).first()[0] == Decimal("1.6666")

@@ -38,12 +38,26 @@ def test_hostile_lines_fail_nothing(spark, fmt):
 
 
 def test_tick_text_round_trip_of_files(spark, tmp_path):
-    lines = ["AB\t2011-03-01T10:00:02.766+00:00\t0001\t01\t77.0560\t1500000.0000", "AB\t2011-03-01T10:00:03.000+00:00\t0001\t0c\t77.0560\t77.1000"]
+    lines = ["AB\t2011-03-01T10:00:02.766+00:00\t1\t1\t77.0560\t1500000", "AB\t2011-03-01T10:00:03.000+00:00\t1\tc\t77.0560\t1.23450000"]
     sinks.write_text(sources.TEXT["ticktext"](frame(spark, lines)), str(tmp_path / "out"))
     back = sources.read(spark, "ticktext", str(tmp_path / "out"))
     assert sorted(r["value"] for r in sinks.tick_text(back).collect()) == sorted(lines)
 
 
+def test_printed_numbers(spark):
+    lines = ["TESJPY\t2012-01-15T22:00:02.998+00:00\t1\t2\t77.1000\t1690000", "AB\t2011-03-01T10:00:02.000+00:00\tff\t11\t4.0000\t1.0000\t2.5000\t3.0000\t4d6cc640|2011-03-01T10:10:08.000+00:00\t00000005|5", "AB\t2011-03-01T10:00:02.000+00:00\ta\t1c\t77.0000\t78.0000\t5.0000\t6.0000\t400bc5a0|77.1488\t40004e20|2.0000"]
+    back = sources.TEXT["ticktext"](frame(spark, lines))
+    got = [r["value"] for r in sinks.tick_text(back.orderBy("seq")).collect()]
+    assert got[0] == lines[0] and got[2] == lines[2]
+    assert got[1].split("\t")[:8] == lines[1].split("\t")[:8]
+
+
+def test_field_list_of_many_and_repeated_cells(spark):
+    line = "01/03/2011|10:00:00:500|Q|SYM|f2=1.5|f2=9|" + "|".join(f"g{i}=0" for i in range(120)) + "|f7=3|f12=8"
+    got = [(r["ttf"], float(r["px"]), float(r["sz"])) for r in sources.TEXT["fieldlist"](frame(spark, [line])).collect()]
+    assert got == [(1, 1.5, 3.0)]
+
+
 def test_ariva(spark):
     out = sources.TEXT["ariva"](frame(spark, ["1300000000.5 SYM@POT p10.5 P3 b10 B1 a11 A2 v100 V1000", "1300000001.0 SYM@POT b10.1", "1300000002.0 SYM@POT b0 B0", "1300000003.0 SYM@POT k9 P1", "bad"]))
     got = [(r["seq"], r["ttf"], None if r["px"] is None else float(r["px"]), None if r["sz"] is None else float(r["sz"])) for r in out.orderBy("seq", "ttf").collect()]

@@ -83,11 +83,14 @@ def truncated(value: Column, places: int) -> Column:
 
 
 def vwap(price: Column, size: Column) -> Column:
-    """Aggregate: volume-weighted price truncated to 4 decimals, from integer mantissas, null without volume."""
-    value = F.sum((price * 10_000).cast("bigint").cast("decimal(38,0)") * size.cast("bigint"))
-    volume = F.sum(size.cast("bigint"))
-    whole = F.when(volume != 0, F.call_function("div", value, volume.cast("decimal(38,0)")))
-    return (whole.cast("decimal(22,0)") / F.lit(10_000)).cast("decimal(18,4)")
+    """Aggregate: volume-weighted price truncated to 4 decimals, null without volume.
+
+    Sums are exact decimals (prices of 8 decimals, sizes of 4) and the division
+    comes last, so neither fractions nor the order of rows change the result.
+    """
+    value = F.sum(price.cast("decimal(19,8)") * size.cast("decimal(18,4)"))
+    unit = F.sum(size.cast("decimal(18,4)")).cast("decimal(30,4)") * F.lit("0.0001").cast("decimal(4,4)")
+    return (F.when(unit != 0, F.call_function("div", value, unit)).cast("decimal(22,0)") / F.lit(10_000)).cast("decimal(18,4)")
 
 
 def feed_points(points: Column) -> Column:

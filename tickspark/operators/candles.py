@@ -78,4 +78,4 @@ def volume_candles(ticks: DataFrame, length: int = 300, modulus: int = 0) -> Dat
 
     rows = ticks.where((F.col("ttf") == TRA) & F.col("px").isNotNull())
     mean = (F.call_function("div", F.sum((F.col("px") * 10_000).cast("bigint")), F.count("*")) / F.lit(10_000)).cast("decimal(18,4)")
-    return rows.groupBy("sym", bucket_end(F.col("ts"), length, modulus).alias("ts")).agg(F.sum(F.col("sz").cast("bigint")).alias("vol"), vwap(F.col("px"), F.col("sz")).alias("vwap"), mean.alias("twap"), F.count("*").alias("cnt"))
+    return rows.groupBy("sym", bucket_end(F.col("ts"), length, modulus).alias("ts")).agg(F.sum(F.col("sz").cast("decimal(18,4)")).alias("vol"), vwap(F.col("px"), F.col("sz")).alias("vwap"), mean.alias("twap"), F.count("*").alias("cnt"))

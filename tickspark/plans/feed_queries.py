@@ -62,7 +62,12 @@ def _(spark, sf):
     return back.select("sym", (F.col("ttf") - 16).alias("side"), "ts", "sta_ts", "o", "h", "l", "c", "cnt")
 
 
-@query("sink_ticktext", f"WITH {TICKS_SQL} SELECT sym || chr(9) || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' || chr(9) || lpad(printf('%x', idx), 4, '0') || chr(9) || lpad(printf('%x', ttf), 2, '0') || chr(9) || CASE WHEN px = 0 THEN '0' ELSE CAST(px AS VARCHAR) END || chr(9) || CASE WHEN sz = 0 THEN '0' ELSE CAST(sz AS VARCHAR) END AS value FROM ticks")
+def _number_sql(x: str) -> str:
+    """A number with the decimals of its scale: 8 below 5 if it has 4 or more, 4 below 50,000, else none."""
+    return f"CASE WHEN coalesce({x}, 0) = 0 THEN '0' WHEN abs({x}) < 5 AND CAST({x} AS DECIMAL(18,3)) <> {x} THEN CAST(CAST({x} AS DECIMAL(21,8)) AS VARCHAR) WHEN abs({x}) < 50000 THEN CAST(CAST({x} AS DECIMAL(18,4)) AS VARCHAR) ELSE CAST(CAST({x} AS DECIMAL(18,0)) AS VARCHAR) END"
+
+
+@query("sink_ticktext", f"WITH {TICKS_SQL} SELECT sym || chr(9) || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' || chr(9) || printf('%x', idx) || chr(9) || printf('%x', ttf) || chr(9) || {_number_sql('px')} || chr(9) || {_number_sql('sz')} AS value FROM ticks")
 def _(spark, sf):
     return sinks.tick_text(full(ticks(spark, sf)))
 

@@ -54,11 +54,11 @@ def candle_cte(name: str, source: str, length: int, modulus: int = 0, closed: bo
 
 OHLC = "sym, side, ts, sta_ts, CAST(o AS DOUBLE) AS o, CAST(h AS DOUBLE) AS h, CAST(l AS DOUBLE) AS l, CAST(c AS DOUBLE) AS c, CAST(cnt AS BIGINT) AS cnt"
 NARROW = "sym, idx, ts, ttf, CAST(px AS DOUBLE) AS px, CAST(sz AS DOUBLE) AS sz, seq"
-VWAP_SQL = "CAST(CAST(sum(CAST({p} * 10000 AS BIGINT)::HUGEINT * CAST({q} AS BIGINT)) // nullif(sum(CAST({q} AS BIGINT)), 0) AS DOUBLE) / 10000 AS DOUBLE)"
+VWAP_SQL = "CAST(CAST(sum(CAST({p} * 10000 AS BIGINT)::HUGEINT * CAST({q} * 10000 AS BIGINT)) // nullif(sum(CAST({q} * 10000 AS BIGINT)), 0) AS DOUBLE) / 10000 AS DOUBLE)"
 
 
 def snap_cte(name: str, source: str, length: int, modulus: int = 0) -> str:
-    v = "sum(CASE WHEN ttf = 3 THEN CAST(px * 10000 AS BIGINT) * CAST(sz AS BIGINT) END) // nullif(sum(CASE WHEN ttf = 3 THEN CAST(sz AS BIGINT) END), 0)"
+    v = "sum(CASE WHEN ttf = 3 THEN CAST(px * 10000 AS BIGINT)::HUGEINT * CAST(sz * 10000 AS BIGINT) END) // nullif(sum(CASE WHEN ttf = 3 THEN CAST(sz * 10000 AS BIGINT) END), 0)"
     return f"""{name} AS (SELECT sym, {bucket(length, modulus)} AS ts, arg_max(px, (ts, seq)) FILTER (WHERE ttf = 1) AS bp, arg_max(sz, (ts, seq)) FILTER (WHERE ttf = 1) AS bq,
  arg_max(px, (ts, seq)) FILTER (WHERE ttf = 2) AS ap, arg_max(sz, (ts, seq)) FILTER (WHERE ttf = 2) AS aq, CAST({v} AS DOUBLE) / 10000 AS tvpr, sum(sz) FILTER (WHERE ttf = 3) AS tq
  FROM {source} WHERE ttf IN (1, 2, 3) AND px IS NOT NULL GROUP BY ALL)"""
@@ -134,7 +134,7 @@ def _(spark, sf):
 
 @query(
     "candle_volume",
-    f"""WITH {TICKS_SQL} SELECT sym, {bucket(DAY)} AS ts, CAST(sum(CAST(sz AS BIGINT)) AS BIGINT) AS vol, {VWAP_SQL.format(p='px', q='sz')} AS vwap,
+    f"""WITH {TICKS_SQL} SELECT sym, {bucket(DAY)} AS ts, CAST(sum(sz) AS DOUBLE) AS vol, {VWAP_SQL.format(p='px', q='sz')} AS vwap,
  CAST(sum(CAST(px * 10000 AS BIGINT)) // count(*) AS DOUBLE) / 10000 AS twap, count(*) AS cnt FROM ticks WHERE ttf = 3 AND px IS NOT NULL GROUP BY 1, 2""",
 )
 def _(spark, sf):
@@ -209,6 +209,12 @@ def _(spark, sf):
     return ticks(spark, sf).where("ttf = 3").groupBy("sym").agg(decimals.vwap(F.col("px"), F.col("sz")).alias("vwap"), F.sum("sz").alias("tq"))
 
 
+@query("vwap_fraction", f"WITH {TICKS_SQL} SELECT sym, {VWAP_SQL.format(p='px', q='(sz * 0.25)')} AS vwap FROM ticks WHERE ttf = 3 GROUP BY sym")
+def _(spark, sf):
+    rows = ticks(spark, sf).where("ttf = 3").withColumn("sz", (F.col("sz") * F.lit("0.25").cast("decimal(3,2)")).cast("decimal(18,4)"))
+    return rows.groupBy("sym").agg(decimals.vwap(F.col("px"), F.col("sz")).alias("vwap"))
+
+
 # ---- info ------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.functions.decimals import mantissa, show
 from tickspark.functions.text import int_to_hex
 from tickspark.functions.times import datenum, seconds, show_candle_width, show_iso
 from tickspark.schema import MIL24, ORDER
@@ -17,22 +18,45 @@ def _show_stamp(ts: Column, msec: Column) -> Column:
     return F.when(msec == MIL24, F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("T24:00:00.000+00:00"))).otherwise(show_iso(ts))
 
 
+def _scale(value: Column) -> Column:
+    """Scale code of a number in the narrow form: as many decimals as 30 bits take, 8 only where it has 4 or more."""
+    size = F.abs(value)
+    return F.when((size < 5) & (value.cast("decimal(21,3)") != value), 0).when(size < 50_000, 1).when(size < 10_000_000, 2).otherwise(3)
+
+
 def _price(c: str) -> Column:
-    """Four decimals, or eight where four don't hold it; nothing and zero are ``0``."""
-    four = F.col(c).cast("decimal(18,4)")
-    return F.coalesce(F.when(F.col(c) == 0, "0").when(four == F.col(c), four.cast("string")).otherwise(F.col(c).cast("decimal(21,8)").cast("string")), F.lit("0"))
+    """A number with the decimals of its own scale; nothing and zero are ``0``."""
+    value = F.col(c).cast("decimal(21,8)")
+    return F.coalesce(show(value, _scale(value)), F.lit("0"))
+
+
+def _encoded(c: str) -> Column:
+    """``hex|number``: the 30-bit mantissa below its scale code, and the number."""
+    value = F.coalesce(F.col(c), F.lit(0)).cast("decimal(21,8)")
+    code = F.when(value == 0, 0).otherwise(_scale(value))
+    word = F.shiftleft(code.cast("bigint"), 30) + mantissa(value, code).bitwiseAND(F.lit((1 << 30) - 1))
+    return F.concat_ws("|", int_to_hex(word, 8), _price(c))
+
+
+def _plain_hex(n: Column) -> Column:
+    return F.lower(F.hex(F.coalesce(n, F.lit(0)).cast("bigint")))
 
 
 def tick_text(ticks: DataFrame) -> DataFrame:
-    """(value): one tab-separated line a tick; candle starts as ``hex|iso``, or ``hex|cNNu`` for a width, counts as ``hex|n``."""
+    """(value): one tab-separated line a tick.
+
+    Index and type are hexadecimal without padding.  Candle starts are
+    ``hex|iso``, or ``hex|cNNu`` for a width, counts ``hex|n``, trade price and
+    quantity of a snapshot ``hex|number``.
+    """
     ttf = F.col("ttf")
-    head = [F.coalesce("sym", F.lit("0")), _show_stamp(F.col("ts"), F.col("msec")), int_to_hex(F.coalesce("idx", F.lit(0)), 4), int_to_hex(ttf, 2)]
+    head = [F.coalesce("sym", F.lit("0")), _show_stamp(F.col("ts"), F.col("msec")), _plain_hex(F.col("idx")), _plain_hex(ttf)]
     sta = seconds(F.col("sta_ts")).cast("bigint")
     start = F.concat_ws("|", int_to_hex(sta, 8), F.when(sta < 100_000, show_candle_width(sta)).otherwise(show_iso(F.col("sta_ts"))))
     count = F.coalesce("cnt", F.lit(0))
     point = [F.when(F.coalesce("is_mkt", F.lit(False)), "mkt").otherwise(_price("px")), _price("sz")]
     candle = [*(_price(c) for c in "hloc"), start, F.concat_ws("|", int_to_hex(count, 8), count.cast("string"))]
-    snap = [_price(c) for c in ("bp", "ap", "bq", "aq", "tvpr", "tq")]
+    snap = [*(_price(c) for c in ("bp", "ap", "bq", "aq")), _encoded("tvpr"), _encoded("tq")]
     wide = F.coalesce(F.col("w").cast("decimal(31,4)").cast("string"), F.lit("0"))
     line = F.when((ttf >= 0x11) & (ttf <= 0x16), F.concat_ws("\t", *head, *candle)).when(ttf == 0x1C, F.concat_ws("\t", *head, *snap)).when(ttf == 12, F.concat_ws("\t", *head, *snap[:2]))
     return ticks.select(line.when(ttf.isin(8, 9, 10, 11, 15, 0x18), F.concat_ws("\t", *head, wide)).otherwise(F.concat_ws("\t", *head, *point)).alias("value"))

@@ -32,7 +32,7 @@ def tick_text(lines: DataFrame) -> DataFrame:
     """Tab-separated ticks: symbol, stamp, index (hex or ?), type (hex), and the payload of the type.
 
     Point ticks have price and size; single-number types one wide number; pairs
-    bid and ask; snapshots bid, ask, their sizes, trade price and size; candles
+    bid and ask; snapshots bid, ask, their sizes, trade price and size (``hex|number`` or plain); candles
     h, l, o, c, start (``hex|iso`` or ``hex|cNNu``) and count (hex).
     """
     # Step by step, so that a line is split and its stamp parsed once.
@@ -41,6 +41,7 @@ def tick_text(lines: DataFrame) -> DataFrame:
     field = lambda i: F.col(f"f{i}")
     ttf, ts, stamp, start = F.col("type"), F.col("at"), field(1), F.col("from")
     number = lambda i: _number(field(i))
+    coded = lambda i: _number(F.regexp_replace(field(i), r"^[0-9A-Fa-f]+\|", ""))
     when = lambda cond, c: F.when(cond, c)
     wide = ttf.isin(VOL, VPR, 10, OI, 15, 0x18)
     candle, snap, pair = (ttf >= 0x11) & (ttf <= 0x16), ttf == SNAPSHOT, ttf == PAIR
@@ -52,7 +53,7 @@ def tick_text(lines: DataFrame) -> DataFrame:
         *tick_columns(
             sym=F.when(field(0) != "", field(0)), idx=index, ts=ts, msec=msec, flow=flow_of(msec), ttf=ttf,
             px=when(point, number(4)), sz=when(point, number(5)), is_mkt=field(4) == "mkt", w=when(wide, number(4)),
-            bp=when(pair | snap, number(4)), ap=when(pair | snap, number(5)), bq=when(snap, number(6)), aq=when(snap, number(7)), tvpr=when(snap, number(8)), tq=when(snap, number(9)),
+            bp=when(pair | snap, number(4)), ap=when(pair | snap, number(5)), bq=when(snap, number(6)), aq=when(snap, number(7)), tvpr=when(snap, coded(8)), tq=when(snap, coded(9)),
             h=when(candle, number(4)), l=when(candle, number(5)), o=when(candle, number(6)), c=when(candle, number(7)), sta_ts=when(candle, sta), cnt=when(candle, hex_to_int(field(9))), seq=F.col("seq"),
         )
     )
@@ -128,9 +129,9 @@ def field_list(lines: DataFrame) -> DataFrame:
     """``dd/mm/YYYY|HH:MM:SS:mmm|Q|SYM|f2=..|f3=..``: f2 bid, f3 ask, f6 trade, f7 f8 f9 their sizes, f16 volume, f21 open interest."""
     p = F.split("value", r"\|")
     field = lambda i: F.get(p, F.lit(i))
-    cells = F.str_to_map(F.array_join(F.slice(p, 5, 100), "|"), F.lit(r"\|"), F.lit("="))
     ts = F.try_to_timestamp(F.concat_ws(" ", field(0), field(1)), F.lit("dd/MM/yyyy HH:mm:ss:SSS")).cast("timestamp_ntz")
-    get = lambda k: _number(F.get(F.array(cells[k]), F.lit(0)))
+    # Of a key that comes twice in a line the first counts.
+    get = lambda k: _number(F.regexp_extract("value", rf"^(?:[^|]*\|){{4}}(?:[^|]*\|)*?{k}=([^|]*)", 1))
     none = F.lit(None).cast("decimal(31,8)")
     tick = lambda t, px, sz, w=none: F.when(px.isNotNull() | sz.isNotNull() | w.isNotNull(), F.struct(F.lit(t).alias("ttf"), px.alias("px"), sz.alias("sz"), w.alias("w")))
     every = F.array(tick(BID, get("f2"), get("f7")), tick(ASK, get("f3"), get("f8")), tick(TRA, get("f6"), get("f9")), tick(VOL, none, none, get("f16")), tick(OI, none, none, get("f21")))
