@@ -52,6 +52,18 @@ def test_printed_numbers(spark):
     assert got[1].split("\t")[:8] == lines[1].split("\t")[:8]
 
 
+def test_summer_time_as_in_sql(spark):
+    import duckdb
+
+    from tickspark.plans.feed_queries import SUMMER
+
+    stamps = [f"{y}-{m:02d}-{d:02d} {h:02d}:30:00" for y in (2023, 2024) for m, d in ((1, 5), (3, 25), (3, 26), (3, 27), (3, 30), (3, 31), (7, 1), (10, 26), (10, 27), (10, 28), (10, 29), (10, 30)) for h in (0, 1, 2, 3, 12)]
+    lines = [f"1700000000.5\tA\t{x}\t1.5\t1.6\t1.5" for x in stamps]
+    got = [r["ts"] for r in sources.TEXT["fxstreet"](frame(spark, lines)).orderBy("seq").collect()]
+    want = [duckdb.sql(f"SELECT ts - CASE WHEN {SUMMER} THEN INTERVAL '2 hours' ELSE INTERVAL '1 hour' END FROM (SELECT TIMESTAMP '{x}' AS ts)").fetchall()[0][0] for x in stamps]
+    assert got == want
+
+
 def test_field_list_of_many_and_repeated_cells(spark):
     line = "01/03/2011|10:00:00:500|Q|SYM|f2=1.5|f2=9|" + "|".join(f"g{i}=0" for i in range(120)) + "|f7=3|f12=8"
     got = [(r["ttf"], float(r["px"]), float(r["sz"])) for r in sources.TEXT["fieldlist"](frame(spark, [line])).collect()]

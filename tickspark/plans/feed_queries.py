@@ -105,9 +105,13 @@ def _(spark, sf):
     return TEXT["truefx"](lines(t, value)).select("sym", "ts", "ttf", "px", "seq")
 
 
-@query("source_fxstreet", f"WITH {PAIRS_SQL} SELECT sym, date_trunc('second', ts) - INTERVAL '1 hour' AS ts, CAST(bp AS DOUBLE) AS bp, CAST(ap AS DOUBLE) AS ap, CAST(bp AS DOUBLE) AS tvpr, seq FROM pairs WHERE ts < TIMESTAMP '2024-03-30'")
+#: Central European summer time begins and ends on the last Sundays of March and October, at 3 on the clock.
+SUMMER = "ts >= {a} AND ts < {b}".format(**{k: f"make_date(year(ts), {m}, 31) - CAST(dayofweek(make_date(year(ts), {m}, 31)) AS INTEGER) + INTERVAL '3 hours'" for k, m in (("a", 3), ("b", 10))})
+
+
+@query("source_fxstreet", f"WITH {PAIRS_SQL} SELECT sym, date_trunc('second', ts) - CASE WHEN {SUMMER} THEN INTERVAL '2 hours' ELSE INTERVAL '1 hour' END AS ts, CAST(bp AS DOUBLE) AS bp, CAST(ap AS DOUBLE) AS ap, CAST(bp AS DOUBLE) AS tvpr, seq FROM pairs")
 def _(spark, sf):
-    p = pairs(ticks(spark, sf)).where(F.col("ts") < F.lit("2024-03-30").cast("timestamp_ntz"))
+    p = pairs(ticks(spark, sf))
     value = F.concat_ws("\t", F.lit("1700000000.5"), "sym", F.date_format("ts", "yyyy-M-d H:m:s"), F.col("bp").cast("string"), F.col("ap").cast("string"), F.col("bp").cast("string"))
     return TEXT["fxstreet"](lines(p, value)).select("sym", "ts", "bp", "ap", "tvpr", "seq")
 
