@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is configured (tests)."""
+    """The folder that all executors share; a local one only where none is configured and there are no other machines (tests)."""
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tickspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -91,6 +94,15 @@ def pair64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
+def bucket_slices(buckets: np.ndarray):
+    """(bucket, slice) of each run of a sorted array: the cost is that of the array, however many buckets there are."""
+    ends = np.flatnonzero(np.append(buckets[1:] != buckets[:-1], True)) + 1 if buckets.size else buckets
+    start = 0
+    for end in ends.tolist():
+        yield int(buckets[start]), slice(start, end)
+        start = end
+
+
 def sub_batches(batches, max_bytes: int = 4_000_000, column: str = "text"):
     """Arrow batches cut into slices of about max_bytes of text, one row at least and 65,535 at most."""
     import pyarrow.compute as pc

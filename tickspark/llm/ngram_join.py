@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import Scratch, mix64, pair64, read_table, sub_batches
+from tickspark.llm.common import Scratch, bucket_slices, mix64, pair64, read_table, sub_batches
 from tickspark.llm.components import components
 
 KEY_BITS = 56
@@ -157,14 +157,13 @@ def _split(bits: int, shingler):
             ids = np.array(batch.column("doc_id").to_pylist(), dtype="<i8") if batch.column("doc_id").null_count == 0 else np.array([-(1 << 63) if x is None else x for x in batch.column("doc_id").to_pylist()], "<i8")
             rows = [(int(uid % (1 << bits)), uid, True, ids.tobytes() + sizes.tobytes(), many.tobytes(), m_times.tobytes(), doc[member].tobytes())]
             s_key, s_doc = key[one], doc[one]
-            s_cut = np.searchsorted(s_key >> np.uint64(low_bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            m_cut = np.searchsorted(many >> np.uint64(low_bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            mask = np.uint64((1 << low_bits) - 1)
-            for b in np.flatnonzero((np.diff(s_cut) > 0) | (np.diff(m_cut) > 0)):
-                s, m = slice(s_cut[b], s_cut[b + 1]), slice(m_cut[b], m_cut[b + 1])
+            mask, none = np.uint64((1 << low_bits) - 1), slice(0, 0)
+            singles, severals = (dict(bucket_slices(x >> np.uint64(low_bits))) for x in (s_key, many))
+            for b in sorted(singles.keys() | severals.keys()):
+                s, m = singles.get(b, none), severals.get(b, none)
                 # documents in order: runs of equal indices compress, and so do sorted low bits
                 o = np.argsort(s_doc[s], kind="stable")
-                rows.append((int(b), uid, False, _pack((s_key[s] & mask)[o]), s_doc[s][o].tobytes(), _pack(many[m] & mask), m_times[m].tobytes()))
+                rows.append((b, uid, False, _pack((s_key[s] & mask)[o]), s_doc[s][o].tobytes(), _pack(many[m] & mask), m_times[m].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -238,7 +237,7 @@ def _assemble(bits: int, num: int, den: int):
 def document_sets(docs: DataFrame, scratch: Scratch, num: int, den: int, shingler=shingle_sets) -> DataFrame:
     """row (unique), doc_id, n (size of the set), shared (binary: its shingles that other documents hold too, rare first, or null if no partner is possible)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(8, min(18, int(total // BUCKET_BYTES).bit_length()))
+    bits = max(8, int(total // BUCKET_BYTES).bit_length())
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(bits, shingler), _ROW)
     counted = packed.groupBy("bucket").applyInArrow(_count, _ROW)
     return scratch.save(counted.groupBy("uid").applyInArrow(_assemble(bits, num, den), "row long, doc_id long, n long, shared binary"), "sets")

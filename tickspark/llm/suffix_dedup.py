@@ -1,22 +1,23 @@
-"""Removal of long repeated byte strings by distributed prefix doubling.
+"""Removal of long repeated byte strings.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere
-else.  Plain doubling would shuffle a row per byte in every round, so the rounds
-run on as few suffixes as stay exact:
-
-1. Of each window of ``length`` bytes the smallest 64-byte hash is its rank at
-   offset 64.  Equal windows have equal ranks, and consecutive windows of one
-   rank form a run of some hundred starts, which is one row.  Spark counts the
-   ranks; runs of a unique rank leave.
-2. Runs of one rank are ranked again over their whole stretch.  A stretch found
-   twice is repeated in all its windows; from here on one run of each stretch
-   stands for all.
-3. Where one rank still has different stretches, their windows are ranked by the
-   pair (rank of the first half, rank of the second half at half the length):
-   the last doubling, past which equal ranks are equal windows.
-
-Ranks are 64-bit hashes of the bytes they stand for.  Hot strings are counted in
-each task before anything is shuffled; nothing depends on the order of rows.
+else.  Prefix doubling would shuffle a row per byte in every round; this names
+windows by samples of their hashes instead, in three steps that stay exact but
+for chance collisions of 64-bit hashes:
+
+1. Of each window of ``length`` bytes the smallest 64-byte hash is its name.
+   Equal windows have equal names, and consecutive windows of one name form a run
+   of some hundred starts, which is one row.  Spark counts the names; runs of a
+   name that occurs once leave.
+2. Runs of one name are compared by the hash of their whole stretch.  A stretch
+   found twice is repeated in all its windows; from here on one run of each
+   stretch stands for all.
+3. Where one name still has different stretches, their windows are compared by
+   the pair of the hashes of their halves.
+
+Hashes aren't compared with bytes.  Hot strings are counted in each task before
+anything is shuffled.  The rows that step 3 packs are sorted, so that a task that
+runs again after a lost executor numbers its pieces as before.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.llm.common import Scratch, mix64, pair64, read_table, sub_batches
+from tickspark.llm.common import Scratch, bucket_slices, mix64, pair64, read_table, sub_batches
 from tickspark.llm.ngram_join import _BYTE, _power_tables, free_shuffles
 
 GRAM = 64
@@ -148,10 +149,8 @@ def _windows(length: int, bits: int):
             head = np.stack([np.array(key, np.int64), first - doc_start, np.array(alone, np.int64), n]).astype("<i8") if key else np.zeros((4, 0), "<i8")
             rows = [(uid % (1 << bits), uid, True, head.tobytes(), np.stack([group[np.argsort(order)]]).astype("<u4").tobytes())]
             distinct, many = ranked[starts], times > 1
-            cut = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            for b in np.flatnonzero(np.diff(cut) > 0):
-                s = slice(cut[b], cut[b + 1])
-                rows.append((int(b), uid, False, distinct[s].astype("<u8").tobytes(), many[s].tobytes()))
+            for b, s in bucket_slices(distinct >> np.uint64(64 - bits)):
+                rows.append((b, uid, False, distinct[s].astype("<u8").tobytes(), many[s].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -207,10 +206,10 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     ranks = stretches.groupBy("rank").agg((F.count("*") > 1).alias("several"), F.max("twice").alias("self"))
     stretches = scratch.save(stretches.join(ranks, "rank").select("rank", "stretch", "n", "r", (F.col("several") | F.col("self")).alias("open")), "stretches")
     whole = live.join(stretches.where("n > 1").select("rank", "stretch"), ["rank", "stretch"]).select("key", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    standing = stretches.where("open").select("r.key", F.struct("r.first", "r.last", (F.col("n") == 1).alias("alone")).alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
+    standing = stretches.where("open").select("r.key", F.struct("r.first", "r.last", (F.col("n") == 1).alias("alone")).alias("run")).groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     total = runs.agg(F.sum(F.col("last") - F.col("first"))).first()[0] or 0
-    bits = max(6, min(18, int(total // 4_000_000).bit_length()))
-    packed = docs.join(standing, "key").select("key", "text", "runs").mapInArrow(_windows(length, bits), _ROW)
+    bits = max(6, int(total // 4_000_000).bit_length())
+    packed = docs.join(standing, "key").select("key", "text", "runs").sortWithinPartitions("key").mapInArrow(_windows(length, bits), _ROW)
     counted = packed.groupBy("bucket").applyInArrow(_count, _ROW)
     part = scratch.save(counted.groupBy("uid").applyInArrow(_spans(length), "key long, a long, b long"), "spans")
     free_shuffles(docs.sparkSession)
