@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.llm.common import Scratch, identity, mix64, read_table, sub_batches
+from tickspark.llm.common import Scratch, bucket_slices, identity, mix64, read_table, sub_batches
 from tickspark.llm.components import components
 from tickspark.llm.ngram_join import KEY_BITS, _pack, _rank, _unpack, free_shuffles
 
@@ -71,26 +71,30 @@ def signatures(lines: list[str]) -> np.ndarray:
     out = np.full(len(lines) * SLOTS, _NONE, np.uint64)
     np.minimum.at(out, line * SLOTS + slot, h)
     # Each empty slot borrows from the first full one of a list of its own, so that the rows of a band stay independent.
-    have, gap = out.copy(), np.flatnonzero(out == _NONE)
-    for t in range(LENDERS.shape[0]):
+    gap = np.flatnonzero(out == _NONE)
+    slot = gap % SLOTS
+    start, have = gap - slot, out.copy()
+    for lender in LENDERS:
         if not gap.size:
             break
-        lent = have[gap // SLOTS * SLOTS + LENDERS[t, gap % SLOTS]]
+        lent = have.take(start + lender.take(slot))
         out[gap] = lent
-        gap = gap[lent == _NONE]
+        still = np.flatnonzero(lent == _NONE)
+        gap, slot, start = gap.take(still), slot.take(still), start.take(still)
     return out.reshape(-1, SLOTS)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) hashes of KEY_BITS bits of the bands."""
-    out = np.zeros((len(lines), BANDS), np.uint64)
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """((lines, SLOTS) low bytes of the signatures, (lines, BANDS) hashes of KEY_BITS bits of the bands)."""
+    low, out = np.zeros((len(lines), SLOTS), np.uint8), np.zeros((len(lines), BANDS), np.uint64)
     for a in range(0, len(lines), 512):
-        part = out[a : a + 512]
-        s = signatures(lines[a : a + 512]).reshape(-1, BANDS, ROWS)
+        sig, part = signatures(lines[a : a + 512]), out[a : a + 512]
+        low[a : a + 512] = sig
+        s = sig.reshape(-1, BANDS, ROWS)
         for r in range(ROWS):
             part[:] = mix64(part * _STEP + s[:, :, r])
     out ^= np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix64(out) & np.uint64((1 << KEY_BITS) - 1)
+    return low, mix64(out) & np.uint64((1 << KEY_BITS) - 1)
 
 
 _ROW = "bucket int, uid long, piece boolean, a binary, b binary, c binary"
@@ -104,7 +108,7 @@ def _deal(bits: int):
     agree there are taken for equal ones, which costs one link in 65,536.
     """
     low_bits = np.uint64(KEY_BITS - bits)
-    edges, mask = np.arange((1 << bits) + 1, dtype=np.uint64), np.uint64((1 << (KEY_BITS - bits)) - 1)
+    mask = np.uint64((1 << (KEY_BITS - bits)) - 1)
 
     def stretches(batches):
         for batch in sub_batches(batches, PIECE_BYTES, "line"):
@@ -123,7 +127,7 @@ def _deal(bits: int):
             no = np.array([i for i in {x: i for i, x in reversed(list(enumerate(lines)))}.values() if len(lines[i]) >= CHARS], np.uint16)
             if not no.size:
                 continue
-            key = band_keys([lines[i] for i in no]).ravel()
+            key = sketches([lines[i] for i in no])[1].ravel()
             order = np.argsort(key, kind="stable")
             key, no = key[order], np.repeat(no, BANDS)[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -131,10 +135,8 @@ def _deal(bits: int):
             key = key[at]
             tag = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint16)[::8][no[at]]
             rows = [(int(mix64(np.array([uid], np.uint64))[0] & np.uint64((1 << bits) - 1)), uid, True, no.tobytes(), times.tobytes(), None)]
-            cut = np.searchsorted(key >> low_bits, edges)
-            for b in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[b], cut[b + 1])
-                rows.append((int(b), uid, False, _pack(key[s] & mask), np.minimum(times[s], 255).astype(np.uint8).tobytes(), tag[s].tobytes()))
+            for b, s in bucket_slices(key >> low_bits):
+                rows.append((b, uid, False, _pack(key[s] & mask), np.minimum(times[s], 255).astype(np.uint8).tobytes(), tag[s].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -198,8 +200,8 @@ def _signed(batches):
 
     for batch in sub_batches(batches, 500_000, "line"):
         lines = batch.column("line").to_pylist()
-        low, bands = (signatures(lines) & np.uint64(255)).astype(np.uint8), band_keys(lines).astype("<u4")
-        more = [pa.array([x.tobytes() for x in a], pa.binary()) for a in (low, bands)]
+        low, bands = sketches(lines)
+        more = [pa.array([x.tobytes() for x in a], pa.binary()) for a in (low, bands.astype("<u4"))]
         yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "sig", "bands"])
 
 
@@ -303,7 +305,9 @@ def _blocks(num: int, den: int):
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (of the row), no, line (trimmed), for every line with anything but white space."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", *identity(), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    # The identity is that of the row: taken before the lines are dealt out, so that each text is hashed and split once; outer, as then no filter repeats the split, and no text is without a line.
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", *identity(), F.split("text", "\n").alias("lines"))
+    rows = rows.select("doc_id", "k1", "k2", F.posexplode_outer("lines").alias("no", "line"))
     return rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
 
 
