@@ -34,6 +34,8 @@ from tickspark.llm.ngram_join import KEY_BITS, _pack, _rank, _unpack, free_shuff
 
 CHARS, ROWS, BANDS = 5, 8, 30
 SLOTS = ROWS * BANDS
+#: CHARS characters of so many bits fit into 64.
+PACKED_BITS = 64 // CHARS
 PIECE_BYTES, PIECE_LINES = 1_500_000, 16_384
 BUCKET_ENTRIES = 2_000_000
 #: Members of a bucket that one task compares with each other, or with as many others.
@@ -45,42 +47,42 @@ _NONE = np.iinfo(np.uint64).max
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: For each slot a random order of all others, from which it borrows while it is empty.
 LENDERS = np.stack([np.random.default_rng(977 + s).permutation(SLOTS) for s in range(SLOTS)], 1)
+#: How far the lenders lie from the slots that borrow.
+STEPS = LENDERS - np.arange(SLOTS)
 
 
 def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hash, line) of all lines, repeated shingles included."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """(shingle hash, line) of all lines, repeated shingles included; a window that crosses the end of a line belongs to none, len(lines)."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(x) for x in lines])
     n = code.size - CHARS + 1
-    line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)[:n]
-    inside = np.ones(code.size, bool)
-    for k in range(1, CHARS):
-        inside[np.cumsum(sizes) - k] = False
-    inside = inside[:n]
-    h = code[:n].copy()
+    h = code[:n].astype(np.uint64)
     for k in range(1, CHARS):
         h *= _STEP
         h += code[k : k + n]
-    return mix64(h[inside]), line[inside]
+    line = np.repeat(np.arange(len(lines)), sizes)[:n]
+    line[(np.cumsum(sizes)[:-1, None] - np.arange(1, CHARS)).ravel()] = len(lines)
+    return mix64(h), line
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, SLOTS) slot minima of lines of at least CHARS characters."""
     h, line = _hashes(lines)
-    slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int32)
-    out = np.full(len(lines) * SLOTS, _NONE, np.uint64)
-    np.minimum.at(out, line * SLOTS + slot, h)
+    at = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).view(np.int64)
+    at += line * SLOTS
+    out = np.full((len(lines) + 1) * SLOTS, _NONE, np.uint64)
+    np.minimum.at(out, at, h)
+    out = out[: len(lines) * SLOTS]
     # Each empty slot borrows from the first full one of a list of its own, so that the rows of a band stay independent.
     gap = np.flatnonzero(out == _NONE)
-    slot = gap % SLOTS
-    start, have = gap - slot, out.copy()
-    for lender in LENDERS:
+    slot, have = gap % SLOTS, out.copy()
+    for step in STEPS:
         if not gap.size:
             break
-        lent = have.take(start + lender.take(slot))
+        lent = have.take(gap + step.take(slot))
         out[gap] = lent
         still = np.flatnonzero(lent == _NONE)
-        gap, slot, start = gap.take(still), slot.take(still), start.take(still)
+        gap, slot = gap.take(still), slot.take(still)
     return out.reshape(-1, SLOTS)
 
 
@@ -189,9 +191,47 @@ def grams(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(len(line) - CHARS + 1)} or {line}
 
 
-def similar(a: set[str], b: set[str], num: int, den: int) -> bool:
-    small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-    return den * small >= num * large and (num + den) * len(a & b) >= num * (small + large)
+def packed(line: str) -> np.ndarray | None:
+    """The distinct shingles in order, each as one number: exact, so only for lines whose characters take PACKED_BITS bits; else None."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = code.size - CHARS + 1
+    if n < 1 or code.max() >> PACKED_BITS:
+        return None
+    out = code[:n].astype(np.uint64)
+    for k in range(1, CHARS):
+        out <<= np.uint64(PACKED_BITS)
+        out |= code[k : k + n]
+    out.sort()
+    new = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
+class Shingles:
+    """The shingles of one line: packed numbers, and strings only where a line of the pair can't be packed."""
+
+    def __init__(self, line: str):
+        self.line, self.numbers, self.strings = line, packed(line), None
+
+    def set(self) -> set[str]:
+        if self.strings is None:
+            self.strings = grams(self.line)
+        return self.strings
+
+    def similar(self, other: Shingles, num: int, den: int) -> bool:
+        """Whether the exact Jaccard similarity is num / den or more."""
+        numeric = self.numbers is not None and other.numbers is not None
+        a, b = (self.numbers, other.numbers) if numeric else (self.set(), other.set())
+        small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
+        if den * small < num * large:
+            return False
+        if numeric:
+            both = np.concatenate([a, b])
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+        else:
+            common = len(a & b)
+        return (num + den) * common >= num * (small + large)
 
 
 def _signed(batches):
@@ -218,11 +258,11 @@ def _verify(num: int, den: int):
                 continue
             keep = (_slots(batch.column("sa")) == _slots(batch.column("sb"))).sum(1) >= PLAUSIBLE * SLOTS
             batch = batch.filter(pa.array(keep))
-            linked, last, b = [], None, set()
+            linked, last, b = [], None, None
             for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
                 if y != last:
-                    last, b = y, grams(y)
-                linked.append(similar(grams(x), b, num, den))
+                    last, b = y, Shingles(y)
+                linked.append(Shingles(x).similar(b, num, den))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
 
@@ -254,7 +294,7 @@ def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
         first.append(x)
         second.append(x + d)
     parent: dict[int, int] = {}
-    sets: dict[int, set] = {}
+    sets: dict[int, Shingles] = {}
 
     def find(x):
         while parent.get(x, x) != x:
@@ -264,13 +304,13 @@ def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
     def of(x):
         n = int(node[x])
         if n not in sets:
-            sets[n] = grams(line[x].as_py())
+            sets[n] = Shingles(line[x].as_py())
         return sets[n]
 
     out = []
     for x, y in zip(np.concatenate(first).tolist() if first else [], np.concatenate(second).tolist() if second else [], strict=True):
         a, b = find(int(comp[x])), find(int(comp[y]))
-        if a != b and similar(of(x), of(y), num, den):
+        if a != b and of(x).similar(of(y), num, den):
             parent[max(a, b)] = min(a, b)
             out.append((int(node[x]), int(node[y])))
     return out
