@@ -57,3 +57,29 @@ def test_specs_and_buckets(spark):
 def test_text(spark):
     line = F.lit("1.5 SYM@X b12.5 B7 kx")
     assert tuple(one(spark, text.hex_to_int(F.lit("1f|x")), text.hex_to_int(F.lit("?")), text.cell(line, "b"), text.cell(line, "B"), text.cell(line, "a"), text.leading_int(F.lit("12ab")))) == (31, None, "12.5", "7", None, 12)
+
+
+def test_vwap_over_the_whole_range(spark):
+    import decimal
+    import random
+
+    from tickspark.operators import snapshots
+
+    rng, rows = random.Random(3), []
+    for g in range(60):
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            number = lambda low: Decimal(rng.choice([rng.randint(low, 10**8), rng.randint(0, 5 * 10**20), rng.randint(0, 10**12)])) / 10**8
+            rows.append((f"g{g}", number(-(10**8) if g % 3 else 0), number(1)))
+    rows += [("top", Decimal(5 * 10**12), Decimal(5 * 10**12))] * 500 + [("top", Decimal("0.00000001"), Decimal("4999999999999.99999999"))]
+    rows += [("none", Decimal(1), Decimal(0)), ("null", None, None), ("below", Decimal("-1.00005"), Decimal(3))]
+    df = spark.createDataFrame(rows, "sym string, px decimal(21,8), sz decimal(21,8)")
+    want = {}
+    with decimal.localcontext() as c:
+        c.prec = 100
+        for g in {r[0] for r in rows}:
+            own = [(p, s) for n, p, s in rows if n == g and p is not None]
+            size = sum((s for _, s in own), Decimal(0))
+            want[g] = (sum(p * s for p, s in own) / size).quantize(Decimal("0.0001"), rounding=decimal.ROUND_DOWN) if size else None
+    assert {r[0]: r[1] for r in df.groupBy("sym").agg(decimals.vwap(F.col("px"), F.col("sz")).alias("v")).collect()} == want
+    ticks = df.where("sym = 'top'").withColumns({"ts": F.lit("2024-01-01").cast("timestamp_ntz"), "ttf": F.lit(3), "seq": F.lit(0)})
+    assert snapshots.snapshots(ticks).first()["tvpr"] == want["top"]

@@ -70,6 +70,12 @@ def test_field_list_of_many_and_repeated_cells(spark):
     assert got == [(1, 1.5, 3.0)]
 
 
+def test_field_list_of_a_hundred_thousand_cells(spark):
+    long = "01/03/2011|10:00:00:500|Q|SYM|" + "|".join(f"g{i}=0" for i in range(100_000)) + "|f2=1.5|f7=3|x"
+    got = [(r["seq"], r["ttf"], float(r["px"]), float(r["sz"])) for r in sources.TEXT["fieldlist"](frame(spark, [long, "|" * 100_000, "f2=1|f2=2|f2=3|f2=4|f2=5"])).collect()]
+    assert got == [(0, 1, 1.5, 3.0)]
+
+
 def test_ariva(spark):
     out = sources.TEXT["ariva"](frame(spark, ["1300000000.5 SYM@POT p10.5 P3 b10 B1 a11 A2 v100 V1000", "1300000001.0 SYM@POT b10.1", "1300000002.0 SYM@POT b0 B0", "1300000003.0 SYM@POT k9 P1", "bad"]))
     got = [(r["seq"], r["ttf"], None if r["px"] is None else float(r["px"]), None if r["sz"] is None else float(r["sz"])) for r in out.orderBy("seq", "ttf").collect()]

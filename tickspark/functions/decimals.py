@@ -82,15 +82,47 @@ def truncated(value: Column, places: int) -> Column:
     return F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled)).cast("decimal(31,8)") / unit
 
 
+def _limbs(x: Column, digits: int) -> tuple[Column, Column]:
+    """A number of so many digits and 8 decimals as its integer and the rest."""
+    x = x.cast(f"decimal({digits + 8},8)")
+    whole = F.floor(x).cast(f"decimal({digits},0)")
+    return whole, (x - whole).cast("decimal(9,8)")
+
+
 def vwap(price: Column, size: Column) -> Column:
     """Aggregate: volume-weighted price truncated to 4 decimals, null without volume.
 
-    Sums are exact decimals (prices of 8 decimals, sizes of 4) and the division
-    comes last, so neither fractions nor the order of rows change the result.
+    Holds for the whole range of either number: products of integers and of
+    fractions are summed apart, since no decimal takes all their digits, and the
+    sums are divided one after the other, each with the remainder before it.
+    So neither fractions nor the order of rows change the result.
     """
-    value = F.sum(price.cast("decimal(19,8)") * size.cast("decimal(18,4)"))
-    unit = F.sum(size.cast("decimal(18,4)")).cast("decimal(30,4)") * F.lit("0.0001").cast("decimal(4,4)")
-    return (F.when(unit != 0, F.call_function("div", value, unit)).cast("decimal(22,0)") / F.lit(10_000)).cast("decimal(18,4)")
+    given = price.isNotNull() & size.isNotNull()
+    (p, pf), (s, sf) = _limbs(F.when(given, price), 13), _limbs(F.when(given, size), 19)
+    units = F.sum((size.cast("decimal(27,8)") * 100_000_000).cast("decimal(27,0)")).cast("decimal(34,0)")
+    sign = F.when(units < 0, -1).otherwise(1).cast("decimal(1,0)")
+    by = F.abs(units)
+    # In units of 1, 1e-8 and 1e-16.
+    ones = (F.sum((p * s).cast("decimal(32,0)")) * sign).cast("decimal(38,0)")
+    mixed = (F.sum((p * sf + pf * s).cast("decimal(28,8)")) * sign * 100_000_000).cast("decimal(38,0)")
+    small = (F.sum((pf * sf).cast("decimal(17,16)")).cast("decimal(27,16)") * 10_000_000_000_000_000).cast("decimal(34,0)") * sign
+    big = "decimal(38,0)"
+    # Long division: each step divides what is pending, then shifts the remainder and takes in the next sum.
+    shift = [(10_000, F.lit(0)), (10_000, mixed), (10_000, _floor_div(small, F.lit(10_000).cast("decimal(5,0)"))), (1, F.lit(0))]
+    steps = F.array(*(F.struct(F.lit(by_).cast("decimal(5,0)").alias("shift"), more.cast(big).alias("more")) for by_, more in shift))
+
+    def divide(done: Column, x: Column) -> Column:
+        rest = F.pmod(done["pending"], by)
+        quotient = (done["quotient"] + F.call_function("div", done["pending"] - rest, by)) * x["shift"].cast("bigint")
+        return F.struct(quotient.alias("quotient"), (rest.cast("decimal(33,0)") * x["shift"] + x["more"]).cast(big).alias("pending"))
+
+    out = F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("quotient"), ones.cast(big).alias("pending")), divide, lambda x: F.when((x["quotient"] < 0) & ((x["pending"] != 0) | (small % 10_000 != 0)), x["quotient"] + 1).otherwise(x["quotient"]))
+    return F.when(by != 0, out.cast("decimal(22,0)") / F.lit(10_000)).cast("decimal(18,4)")
+
+
+def _floor_div(a: Column, b: Column) -> Column:
+    """Integer quotient, rounded down, of decimals without fraction; b is positive."""
+    return (a - F.pmod(a, b)).cast("decimal(38,0)") / b
 
 
 def feed_points(points: Column) -> Column:

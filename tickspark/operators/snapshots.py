@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions.decimals import vwap
 from tickspark.functions.times import bucket_end
-from tickspark.schema import ASK, BID, PRICE, TRA, key
+from tickspark.schema import ASK, BID, PRICE, TRA, VOLUME, key
 
 
 def snapshots(ticks: DataFrame, length: int = 300, modulus: int = 0) -> DataFrame:
@@ -18,7 +18,7 @@ def snapshots(ticks: DataFrame, length: int = 300, modulus: int = 0) -> DataFram
     rows = ticks.where(F.col("ttf").isin(BID, ASK, TRA) & F.col("px").isNotNull())
     return rows.groupBy("sym", bucket_end(F.col("ts"), length, modulus).alias("ts")).agg(
         last("px", BID).alias("bp"), last("sz", BID).alias("bq"), last("px", ASK).alias("ap"), last("sz", ASK).alias("aq"),
-        vwap(trade("px"), trade("sz")).alias("tvpr"), F.sum(trade("sz")).cast(PRICE).alias("tq"),
+        vwap(trade("px"), trade("sz")).alias("tvpr"), F.sum(trade("sz")).cast(VOLUME).alias("tq"),
     )
 
 
@@ -38,7 +38,7 @@ def resnap(rows: DataFrame, length: int, modulus: int = 0) -> DataFrame:
     """Snapshots of longer buckets from snapshots: the last quotes, and prices and volumes of trades carried into their sums."""
     end = bucket_end(F.col("ts"), length, modulus, closed_end=True)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts")))
-    return rows.groupBy("sym", end.alias("end")).agg(last("bp").alias("bp"), last("bq").alias("bq"), last("ap").alias("ap"), last("aq").alias("aq"), vwap(F.col("tvpr"), F.col("tq")).alias("tvpr"), F.sum("tq").cast(PRICE).alias("tq")).withColumnRenamed("end", "ts")
+    return rows.groupBy("sym", end.alias("end")).agg(last("bp").alias("bp"), last("bq").alias("bq"), last("ap").alias("ap"), last("aq").alias("aq"), vwap(F.col("tvpr"), F.col("tq")).alias("tvpr"), F.sum("tq").cast(VOLUME).alias("tq")).withColumnRenamed("end", "ts")
 
 
 def merge_halves(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRICE = T.DecimalType(18, 4)
+#: Sums of sizes.
+VOLUME = T.DecimalType(27, 4)
 LOSSLESS = T.DecimalType(21, 8)
 WIDE = T.DecimalType(31, 8)
 

@@ -130,8 +130,9 @@ def field_list(lines: DataFrame) -> DataFrame:
     p = F.split("value", r"\|")
     field = lambda i: F.get(p, F.lit(i))
     ts = F.try_to_timestamp(F.concat_ws(" ", field(0), field(1)), F.lit("dd/MM/yyyy HH:mm:ss:SSS")).cast("timestamp_ntz")
+    cells = F.slice(p, 5, F.greatest(F.size(p) - 4, F.lit(0)))
     # Of a key that comes twice in a line the first counts.
-    get = lambda k: _number(F.regexp_extract("value", rf"^(?:[^|]*\|){{4}}(?:[^|]*\|)*?{k}=([^|]*)", 1))
+    get = lambda k: _number(F.substring_index(F.get(F.filter(cells, lambda x: x.startswith(f"{k}=")), F.lit(0)), "=", -1))
     none = F.lit(None).cast("decimal(31,8)")
     tick = lambda t, px, sz, w=none: F.when(px.isNotNull() | sz.isNotNull() | w.isNotNull(), F.struct(F.lit(t).alias("ttf"), px.alias("px"), sz.alias("sz"), w.alias("w")))
     every = F.array(tick(BID, get("f2"), get("f7")), tick(ASK, get("f3"), get("f8")), tick(TRA, get("f6"), get("f9")), tick(VOL, none, none, get("f16")), tick(OI, none, none, get("f21")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.adapters import events_to_ticks
-from tickspark.schema import ASK, BID, PRICE, TRA, key
+from tickspark.schema import ASK, BID, TRA, VOLUME, key
 
 
 def read_ticks(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def stream_snapshots(ticks: DataFrame, length: int = 300, modulus: int = 0, dela
     last = lambda c, t: F.max_by(F.when(F.col("ttf") == t, F.col(c)), F.when(F.col("ttf") == t, key()))
     trade = lambda c: F.when(F.col("ttf") == TRA, F.col(c))
     rows = _timed(ticks.where(F.col("ttf").isin(BID, ASK, TRA) & F.col("px").isNotNull()), delay)
-    out = rows.groupBy("sym", window.alias("w")).agg(last("px", BID).alias("bp"), last("sz", BID).alias("bq"), last("px", ASK).alias("ap"), last("sz", ASK).alias("aq"), vwap(trade("px"), trade("sz")).alias("tvpr"), F.sum(trade("sz")).cast(PRICE).alias("tq"))
+    out = rows.groupBy("sym", window.alias("w")).agg(last("px", BID).alias("bp"), last("sz", BID).alias("bq"), last("px", ASK).alias("ap"), last("sz", ASK).alias("aq"), vwap(trade("px"), trade("sz")).alias("tvpr"), F.sum(trade("sz")).cast(VOLUME).alias("tq"))
     return out.select("sym", F.col("w.end").cast("timestamp_ntz").alias("ts"), "bp", "bq", "ap", "aq", "tvpr", "tq")
 
 
