@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickspark.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts
+from tickspark.llm import conversation_repair, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts
 
-MODULES = (mixing, suffix_dedup, language_id, decontaminate, line_dedup, pii, token_counts, quality, ngram_join, sharding)
+MODULES = (mixing, suffix_dedup, language_id, decontaminate, line_dedup, pii, token_counts, quality, ngram_join, sharding, conversation_repair)
 
 
 def queries() -> dict:
