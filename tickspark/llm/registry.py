@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickspark.llm import conversation_repair, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts, warc
+from tickspark.llm import collocations, conversation_repair, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts, warc
 
-MODULES = (mixing, suffix_dedup, language_id, decontaminate, line_dedup, pii, token_counts, quality, ngram_join, sharding, warc, conversation_repair)
+MODULES = (mixing, suffix_dedup, language_id, decontaminate, line_dedup, pii, token_counts, quality, ngram_join, sharding, warc, collocations, conversation_repair)
 
 
 def queries() -> dict:
