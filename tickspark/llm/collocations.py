@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tickspark.llm.common import Scratch, bucket_slices, mix64, pair64, read_table, sub_batches
 
 #: Text of a chunk, and of what is split at a time; pairs of a bucket.
-CHUNK_BYTES, SLICE_BYTES, BUCKET_PAIRS = 32_000_000, 4_000_000, 1_000_000
+CHUNK_BYTES, SLICE_BYTES, BUCKET_PAIRS = 16_000_000, 4_000_000, 1_000_000
 #: Of each language so many groups send their best to the last sort.
 TOP_GROUPS = 256
 
@@ -81,7 +81,17 @@ class _Chunk:
     def row(self, at: int, lang: str) -> dict:
         seq = np.concatenate(self.parts) - 2
         counts = np.bincount(seq[seq >= 0], minlength=len(self.numbers) - 2)
-        return {"chunk": at, "lang": lang, "seq": _closed(np.maximum(seq, -1)).tobytes(), "size": len(self.numbers) - 2, "words": list(self.numbers)[2:], "counts": counts, "total": int(counts.sum())}
+        return {"chunk": at, "lang": lang, "seq": _planes(_closed(np.maximum(seq, -1))), "size": len(self.numbers) - 2, "words": list(self.numbers)[2:], "counts": counts, "total": int(counts.sum())}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array as all its lowest bytes, then the next ones: numbers mostly differ in few of them, so that exchanges pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _closed(seq: np.ndarray) -> np.ndarray:
@@ -134,8 +144,8 @@ def _pairs(buckets: int, schema) -> Callable:
                 x = batch.slice(k, 1).to_pylist()[0]
                 names = np.full(x["size"] + 1, -1, np.int64)
                 for local, ids in zip(x["locals"] or (), x["ids"] or (), strict=True):
-                    names[np.frombuffer(local, np.int32)] = np.frombuffer(ids, np.int64)
-                seq = np.frombuffer(x["seq"], np.int32)
+                    names[_of_planes(local, np.int32)] = _of_planes(ids, np.int64)
+                seq = _of_planes(x["seq"], np.int32)
                 seq = _closed(np.where(names[seq] >= 0, seq, -1))  # the last name, of number -1, is no name
                 first, second = seq[:-1].astype(np.int64), seq[1:]
                 both = (first >= 0) & (second >= 0)
@@ -148,7 +158,7 @@ def _pairs(buckets: int, schema) -> Callable:
                 out = np.full(first.size, -1, np.int32)
                 out[both] = number[place]
                 cut = [(b, s) for b, s in bucket_slices(bucket[order])]
-                yield _batch([{"chunk": x["chunk"], "seq": _closed(out).tobytes() if out.size else b"", "size": order.size, "parts": [{"bucket": b, "start": s.start, "pairs": np.stack([left[order[s]], right[order[s]], counts[order[s]]]).tobytes()} for b, s in cut]}], schema)
+                yield _batch([{"chunk": x["chunk"], "seq": _planes(_closed(out)), "size": order.size, "parts": [{"bucket": b, "start": s.start, "pairs": _planes(np.concatenate([left[order[s]], right[order[s]], counts[order[s]]]))} for b, s in cut]}], schema)
 
     return run
 
@@ -160,7 +170,7 @@ def _named(least: int) -> Callable:
         import pandas as pd
 
         bucket = int(part["bucket"].iloc[0])
-        pairs = [np.frombuffer(p, np.int64).reshape(3, -1) for p in part["pairs"]]
+        pairs = [_of_planes(p, np.int64).reshape(3, -1) for p in part["pairs"]]
         left, right, counts = np.concatenate(pairs, axis=1)
         order = np.lexsort((right, left))
         fresh = np.append(True, (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1]))
@@ -176,7 +186,7 @@ def _named(least: int) -> Callable:
             at += p.shape[1]
             kept = np.flatnonzero(mine >= 0)
             if kept.size:
-                rows.append((chunk, (kept + start).astype(np.int32).tobytes(), None, None, mine[kept].tobytes()))
+                rows.append((chunk, _planes((kept + start).astype(np.int32)), None, None, _planes(mine[kept])))
         return pd.DataFrame(rows, columns=["chunk", "a", "b", "c", "ids"])
 
     return run
@@ -196,7 +206,7 @@ def _packed_names(names: DataFrame) -> DataFrame:
     def pack(part):
         import pandas as pd
 
-        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "local": [part["local"].to_numpy(np.int32).tobytes()], "ids": [part["id"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "local": [_planes(part["local"].to_numpy(np.int32))], "ids": [_planes(part["id"].to_numpy(np.int64))]})
 
     return names.groupBy("chunk").applyInPandas(pack, "chunk long, local binary, ids binary")
 
