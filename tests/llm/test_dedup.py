@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickspark.llm import line_dedup, ngram_join, suffix_dedup
 from tickspark.llm.common import Scratch
@@ -118,6 +119,49 @@ def test_keep_one(docs, clashing, empty):
     assert ngram_join.similarity_classes(empty).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(None, text), (None, text), (7, other), (7, other), (7, "else"), (3, text + " more"), (None, None), (None, None), (9, "")]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(3, text + " more"), (7, other), (7, "else"), (None, None), (None, None), (9, "")], key=repr)
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_lists_in_classes_and_blocks(spark, monkeypatch, block):
+    """Families around one template, with links and without, of sizes that filters keep and drop."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(90)]
+    texts = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(rng.randint(4, 34))]
+        if i % 3 == 0:
+            own[: len(own) // 2] = [f"f{i % 4}x{j}" for j in range(len(own) // 2)]
+        texts.append((i, " ".join(own + template[rng.randint(0, 3) : 90 - rng.randint(0, 3)])))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    root = groups([shingles(t) for _, t in texts], jaccard)
+    low = {}
+    for (i, _), g in zip(texts, root, strict=True):
+        low.setdefault(g, i)
+    assert got == {i: low[g] for (i, _), g in zip(texts, root, strict=True)}
+    assert 1 < len(set(got.values())) < 150
+
+
+def test_crossing_gives_each_fitting_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 3), r, rng.randint(20, 60), rng.randint(0, 8), rng.randint(0, 5)) for r in range(120)]
+    df = spark.createDataFrame(rows, "token long, rep long, n long, pos long, comp long").selectExpr("*", f"cast(floor(ln(n) / ln({ngram_join.CLASS})) as int) AS class")
+
+    def fits(na, pa, nb, pb):
+        a, b = F.col(na), F.col(nb)
+        return (a * 4 <= b * 5) & (b * 4 <= a * 5) & (F.least(a - F.col(pa), b - F.col(pb)) >= F.ceil((a + b) * 4 / 9 - 1e-9))
+
+    got = [tuple(sorted(r)) for r in ngram_join._crossing(df, Scratch(spark, "t"), fits, 4, 5).collect()]
+    want = [(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[4] != b[4] and a[2] * 4 <= b[2] * 5 and b[2] * 4 <= a[2] * 5 and min(a[2] - a[3], b[2] - b[3]) >= -(-4 * (a[2] + b[2]) // 9)]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (None, 3), (200, 205), (205, 201)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import Scratch, read_table
+from tickspark.llm.common import Scratch, identity, read_table
 
 SHINGLE = 5
 RADIUS = 15
@@ -62,11 +62,6 @@ def words_and_grams(text: Column) -> Column:
     return F.inline(F.transform(F.array(word_hashes(text)), lambda w: F.struct(w.alias("words"), shingles(w).alias("grams"))))
 
 
-def identity() -> Column:
-    """Of a row, by which equal rows are one."""
-    return F.xxhash64("doc_id", "text")
-
-
 def starts(at: Column, k: Column, g: Column, lo: Column, hi: Column) -> Column:
     """Each start from lo to hi of a window of g shingles that holds k or more of the ascending positions at."""
 
@@ -125,7 +120,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key (of the row), item_id, start, window, hamming, similarity of every window that verifies."""
+    """doc_id, k1 and k2 (of the row), item_id, start, window, hamming, similarity of every window that verifies."""
     items = item_table(benchmark)
     entries = items.select("item_id", "m", F.explode("grams").alias("gram")).distinct()
     n, short = items.agg(F.sum(F.size("grams")), F.sort_array(F.collect_set(F.when(F.col("m") < SHINGLE, F.col("m"))))).first()
@@ -135,26 +130,26 @@ def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull())
     grams = F.concat(placed(F.col("grams")), *[placed(short_runs(F.col("words"), m)) for m in short])
     # Only the size of the text stays beside each of its shingles.
-    hits = texts.select("doc_id", identity().alias("key"), words_and_grams(F.col("text"))).select("doc_id", "key", F.size("words").alias("size"), grams.alias("placed"))
-    hits = hits.select("doc_id", "key", "size", F.inline("placed")).join(entries, "gram")
-    met = hits.groupBy("doc_id", "key", "size", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    spots = met.select("doc_id", "key", "m", F.explode(window_starts(F.col("at"), F.col("m"), F.col("size"))).alias("start"))
-    spots = spots.groupBy("doc_id", "key").agg(F.collect_set(F.struct("m", "start")).alias("spots"))
+    hits = texts.select("doc_id", *identity(), words_and_grams(F.col("text"))).select("doc_id", "k1", "k2", F.size("words").alias("size"), grams.alias("placed"))
+    hits = hits.select("doc_id", "k1", "k2", "size", F.inline("placed")).join(entries, "gram")
+    met = hits.groupBy("doc_id", "k1", "k2", "size", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    spots = met.select("doc_id", "k1", "k2", "m", F.explode(window_starts(F.col("at"), F.col("m"), F.col("size"))).alias("start"))
+    spots = spots.groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("m", "start")).alias("spots"))
     # Written, as its size then decides how it is joined: few texts are cut a second time.
-    spots = Scratch(docs.sparkSession, "decontaminate").save(spots, "spots").withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
-    texts = texts.withColumn("key", identity()).join(spots, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = texts.select("doc_id", "key", "spots", F.explode(F.array(word_hashes(F.col("text")))).alias("words"))
-    windows = texts.select("doc_id", "key", "words", F.inline("spots"))
+    spots = Scratch(docs.sparkSession, "decontaminate").save(spots, "spots").withColumnsRenamed({"doc_id": "_doc", "k1": "_k1", "k2": "_k2"})
+    texts = texts.select("doc_id", "text", *identity()).join(spots, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    texts = texts.select("doc_id", "k1", "k2", "spots", F.explode(F.array(word_hashes(F.col("text")))).alias("words"))
+    windows = texts.select("doc_id", "k1", "k2", "words", F.inline("spots"))
     start = F.col("start")
-    windows = windows.select("doc_id", "key", "m", "start", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0))).alias("window"))
-    windows = windows.select("*", fingerprint_and_blocks(F.col("window"))).select("doc_id", "key", "m", "start", "window", "fp", F.explode("blocks").alias("block"), F.col("blocks"))
+    windows = windows.select("doc_id", "k1", "k2", "m", "start", F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("m") + F.least(start, F.lit(0))).alias("window"))
+    windows = windows.select("*", fingerprint_and_blocks(F.col("window"))).select("doc_id", "k1", "k2", "m", "start", "window", "fp", F.explode("blocks").alias("block"), F.col("blocks"))
     index = items.select("item_id", "m", "grams", F.col("fp").alias("item_fp"), F.col("blocks").alias("item_blocks"), F.explode("blocks").alias("block"))
     if n <= BROADCAST_SHINGLES:
         index = F.broadcast(index)
     near = windows.join(index, ["m", "block"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
     # A pair meets in several blocks: keep it in the first.
     near = near.where(F.array_min(F.transform(F.array_intersect("blocks", "item_blocks"), lambda x: x["no"])) == F.col("block.no"))
-    near = near.select("doc_id", "key", "item_id", "start", "window", "hamming", "grams", F.explode(F.array(shingles(F.col("window")))).alias("own"))
+    near = near.select("doc_id", "k1", "k2", "item_id", "start", "window", "hamming", "grams", F.explode(F.array(shingles(F.col("window")))).alias("own"))
     return near.withColumn("similarity", weighted_jaccard(F.col("own"), F.col("grams"))).where(F.col("similarity") >= SIMILARITY)
 
 
@@ -179,8 +174,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item; rows of one doc_id, null included, are judged each by its own text."""
-    held = verified(docs.select("doc_id", "text"), benchmark).select(F.col("key").alias("_held")).distinct()
-    return docs.join(held, F.xxhash64(docs["doc_id"], docs["text"]) == held["_held"], "left_anti").select(*(docs[c] for c in docs.columns))
+    held = verified(docs.select("doc_id", "text"), benchmark).select(F.col("k1").alias("_held1"), F.col("k2").alias("_held2")).distinct()
+    of_row = F.xxhash64(docs["doc_id"], docs["text"]), F.xxhash64(F.lit(1), docs["doc_id"], docs["text"])
+    return docs.join(held, (of_row[0] == held["_held1"]) & (of_row[1] == held["_held2"]), "left_anti").select(*(docs[c] for c in docs.columns))
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}

@@ -20,6 +20,12 @@ shingle, after length and positional filters, each pair once, whatever number of
 shingles it meets in.  Components are
 then those of the full link graph: a pair that was never compared was already
 connected.
+
+Before each wave members leave a list in which they can't fit: a member's place
+in its set and its size bound how large a partner may be, and no member may be
+that small.  So texts of one template that are no links leave at once.  What is
+left of a list is compared by classes of size, and classes in blocks, so that no
+task gets all pairs of a list.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from tickspark.llm.components import components
 
 KEY_BITS = 56
 PIECE_BYTES = 1_500_000
+#: Members of a list in one block of the last wave; sizes of one class differ by less than this ratio.
+BLOCK, CLASS = 256, 1.05
 BUCKET_BYTES = 16_000_000
 
 _RNG = np.random.default_rng(1234567)
@@ -285,6 +293,26 @@ def _verify(num: int, den: int):
     return run
 
 
+def _crossing(rows: DataFrame, scratch: Scratch, fits, num: int, den: int) -> DataFrame:
+    """(a, b) of members of one list and different components that pass the filters.
+
+    A member meets those of its own size class and of larger ones as far as a
+    partner may be larger, class by class and block by block: of n members of a
+    class each comes n / BLOCK times, and a task gets BLOCK times BLOCK pairs at
+    once.
+    """
+    steps = int(np.ceil(np.log(den / num) / np.log(CLASS))) + 1
+    blocks = scratch.save(rows.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = scratch.save(rows.join(blocks, ["token", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "blocked")
+    # The larger one stays in its block; the smaller one goes to all blocks of its class and of the classes above.
+    larger = rows.select("token", F.col("class").alias("c"), F.col("block").alias("k"), *(F.col(x).alias(f"o_{x}") for x in ("rep", "n", "pos", "comp")))
+    ahead = rows.select("token", "rep", "n", "pos", "comp", F.explode(F.sequence("class", F.col("class") + steps)).alias("c"))
+    ahead = ahead.join(blocks.withColumnRenamed("class", "c"), ["token", "c"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    once = (F.col("n") < F.col("o_n")) | (F.col("n") == F.col("o_n")) & (F.col("rep") < F.col("o_rep"))
+    pairs = ahead.join(larger, ["token", "c", "k"]).where(once & (F.col("comp") != F.col("o_comp")) & fits("n", "pos", "o_n", "o_pos"))
+    return pairs.select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))
+
+
 def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shingle_sets) -> DataFrame:
     """doc_id, n_shingles, component_id for every row, at similarity num/den of the sets that shingler makes of texts.
 
@@ -306,8 +334,11 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shi
     scratch.drop(sets)
     free_shuffles(spark)
     postings = reps.mapInArrow(_postings(num, den), "token long, rep long, n long, pos long")
-    shared = postings.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    postings = scratch.save(postings.join(shared, "token"), "postings")
+    need = lambda a, b: F.ceil((a + b) * num / (num + den) - 1e-9)
+    # Lists of two or more, without members that even a partner as small as the list has one asks too much of.
+    lists = postings.groupBy("token").agg(F.count("*").alias("_c"), F.min("n").alias("_m")).where("_c > 1")
+    room = need(F.col("n"), F.greatest("_m", F.ceil(F.col("n") * num / den - 1e-9))) <= F.col("n") - F.col("pos")
+    postings = scratch.save(postings.join(lists, "token").where(room).drop("_c", "_m"), "postings")
 
     edges = tested = labels = None
 
@@ -334,8 +365,22 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shi
     def fits(na: str, pa: str, nb: str, pb: str):
         """Length filter and positional filter; the first shingle that a similar pair shares passes both."""
         a, b = F.col(na), F.col(nb)
-        need = F.ceil((a + b) * num / (num + den) - 1e-9)
-        return (a * num <= b * den) & (b * num <= a * den) & (F.least(a - F.col(pa), b - F.col(pb)) >= need)
+        return (a * num <= b * den) & (b * num <= a * den) & (F.least(a - F.col(pa), b - F.col(pb)) >= need(a, b))
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        """Members that some member of their list may fit: the smallest partner asks for the least overlap."""
+        n, left = F.col("n"), F.col("n") - F.col("pos")
+        size = F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS))).cast("int")
+        rows = rows.withColumn("class", size)
+        # The least size of each class, written so that a long list's members can meet it in several tasks.
+        least = scratch.save(rows.groupBy("token", "class").agg(F.min("n").alias("m")), "sizes")
+        lists = scratch.save(least.groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("sizes")), "lists")
+        smallest = F.get(F.filter("sizes", lambda m: m * den >= n * num), F.lit(0))  # of the classes that are large enough
+        floor = F.ceil(n * num / den - 1e-9)  # the class that holds this bound may begin below it
+        below = F.exists("sizes", lambda m: (m < floor) & (m * CLASS * CLASS >= floor))
+        partner = F.when(below, F.least(floor, F.coalesce(smallest, floor))).otherwise(smallest)
+        out = rows.join(lists, "token").where(partner.isNotNull() & (need(n, partner) <= left))
+        return out.drop("sizes")
 
     def against(rows: DataFrame, centre: DataFrame) -> DataFrame:
         """Each list's members against its centre, if they stand in another component."""
@@ -346,25 +391,31 @@ def similarity_classes(docs: DataFrame, num: int = 4, den: int = 5, shingler=shi
     def several(rows: DataFrame, order: Column) -> DataFrame:
         """The first member by order of each list that spans two components or more."""
         lists = rows.groupBy("token").agg(F.min(F.struct(order.alias("h"), "rep", "n", "pos", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return lists.where("lo <> hi").select("token", "c")
+        return scratch.save(lists.where("lo <> hi").select("token", "c"), "centres")
+
+    def united() -> DataFrame:
+        """Labels of the links so far; then a star of each component stands for all its links."""
+        nonlocal edges
+        out = scratch.save(components(edges, scratch), "labels")
+        edges = out.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return out
 
     # The member with the fewest shingles rarer than the list's is the least changed of a family: most others link to it.
     verify(against(rows := labelled(postings), several(rows, F.col("pos"))))
-    labels = scratch.save(components(edges, scratch), "labels")
+    labels = united()
     # The same among those that stand apart from it.
     rows = labelled(postings)
     apart = rows.join(several(rows, F.col("pos")).select("token", F.col("c.comp").alias("c_comp")), "token").where("comp <> c_comp").drop("c_comp")
     verify(against(apart, several(apart, F.col("pos"))))
-    labels = scratch.save(components(edges, scratch), "labels")
+    labels = united()
     rows = labelled(postings)
     verify(against(rows, several(rows, F.xxhash64("rep", F.lit(3)))))
-    labels = scratch.save(components(edges, scratch), "labels")
+    labels = united()
     # Exact: what still stands apart and shares a prefix shingle; a pair of several shingles is verified once.
     rows = labelled(postings)
-    rows = scratch.save(rows.join(several(rows, F.col("pos")).select("token"), "token"), "open")
-    other = rows.select(F.col("token").alias("o_token"), *(F.col(x).alias(f"o_{x}") for x in ("rep", "n", "pos", "comp")))
-    crossing = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & fits("n", "pos", "o_n", "o_pos"))
-    verify(crossing.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
+    rows = fitting(rows.join(several(rows, F.col("pos")).select("token"), "token"))
+    rows = scratch.save(rows, "open")
+    verify(_crossing(rows, scratch, fits, num, den))
     labels = components(edges, scratch).withColumnRenamed("node", "rep")
     named = reps.select("rep", "low").join(labels, "rep", "left").select("rep", "low", F.coalesce("component", "rep").alias("comp"))
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -394,9 +445,22 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that link, directly or through others, to a document of smaller doc_id; rows of one doc_id go or stay together."""
-    gone = similarity_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of linked ones: that of the smallest doc_id (nulls last), of several the first one.
+
+    Rows are told apart by their place, so rows that share a doc_id or have none
+    are judged each by its own text.  docs must give the same rows in the same
+    order when read again, as tables do.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    classes = similarity_classes(placed.select(F.col("_place").alias("doc_id"), "text"))
+    classes = scratch.save(classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "classes")
+    several = scratch.save(classes.groupBy("_group").agg(F.count("*").alias("n")).where("n > 1").select("_group"), "groups")
+    members = scratch.save(classes.join(several, "_group"), "members")
+    known = placed.select("_place", "doc_id").join(members, F.col("_place") == F.col("_row"))
+    kept = scratch.save(known.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row")), "kept")
+    gone = scratch.save(members.join(kept, "_row", "left_anti").select("_row"), "gone")
+    return placed.join(gone, placed["_place"] == gone["_row"], "left_anti").select(*(placed[c] for c in docs.columns))
 
 
 _SQL = r"""
