@@ -1,12 +1,10 @@
-import struct
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickspark import sinks, sources
 from tickspark.operators import dictionary, shape
-from tickspark.sources import binary, container, xml
+from tickspark.sources import binary, xml
 
 
 def frame(spark, lines):
@@ -114,26 +112,6 @@ def test_xml(spark, tmp_path):
     assert sorted((r["sym"], float(r["px"]), str(r["ts"])) for r in rates) == [("EURJPY", 155.68, "2024-01-02 23:59:59"), ("EURUSD", 1.0956, "2024-01-02 23:59:59")]
 
 
-def cell(sec, msec, idx, ttf, payload):
-    return struct.pack("<QQ", sec << 32 | msec << 22 | idx << 6 | ttf, payload)
-
-
-def m30(mant, code):
-    return (code << 30) | (mant & 0x3FFFFFFF)
-
-
-def test_container(spark, tmp_path):
-    quote = cell(1300000000, 250, 1, 1, m30(770560, 1) | m30(5, 2) << 32)
-    candle = cell(1300000060, 0, 2, 0x11, m30(40000, 1) | m30(10000, 1) << 32) + struct.pack("<QQ", m30(20000, 1) | m30(-30000, 1) << 32, 60 | 7 << 32)
-    head = struct.pack("<4s4sHBBIIHHII", b"TICK", b"v0.2", container.MARK, 0, 0, 64, 0, 0, 0, 0, 0).ljust(64, b"\0")
-    (tmp_path / "c.bin").write_bytes(head + quote + candle)
-    names = spark.createDataFrame([(1, "AB"), (2, "CD")], "idx int, sym string")
-    got = sources.read(spark, "container", str(tmp_path / "c.bin"), dictionary=names).orderBy("seq").collect()
-    assert [(r["sym"], r["ttf"], str(r["ts"])) for r in got] == [("AB", 1, "2011-03-13 07:06:40.250000"), ("CD", 0x11, "2011-03-13 07:07:40")]
-    assert (float(got[0]["px"]), float(got[0]["sz"])) == (77.056, 5.0)
-    assert (float(got[1]["h"]), float(got[1]["c"]), got[1]["cnt"], str(got[1]["sta_ts"])) == (4.0, -3.0, 7, "2011-03-13 07:06:40")
-
-
 def test_registry_and_dictionary(spark):
     sources.register_source("own", lambda lines: lines.withColumn("ttf", F.lit(1)))
     assert "own" in sources.TEXT

@@ -7,11 +7,15 @@ what remains is which scale a text gets, and the printed form that follows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Decimals printed and units, by scale code.
 SCALE = {0: 8, 1: 4, 2: 0, 3: -4}
+UNIT = {0: "0.00000001", 1: "0.0001", 2: "1", 3: "10000"}
+NARROW_MOST, WIDE_MOST = (1 << 29) - 1, (1 << 61) - 1
 NUMBER = r"^\s*[+-]?[0-9]*\.?[0-9]*"
 
 
@@ -67,6 +71,44 @@ def mantissa(value: Column, code: Column) -> Column:
     return F.when(code == 3, (value / 10_000).cast("bigint")).otherwise((value * unit).cast("bigint"))
 
 
+def _of_parts(mant: Column, code: Column, digits: int) -> Column:
+    out = F.lit(None).cast(f"decimal({digits},8)")
+    for c, unit in UNIT.items():
+        out = F.when(code == c, (mant.cast("decimal(19,0)") * F.lit(Decimal(unit))).cast(f"decimal({digits},8)")).otherwise(out)
+    return out
+
+
+def narrow_value(word: Column) -> Column:
+    """The number of a 32-bit word (a bigint of its bits): mantissa in the low 30 bits, scale code above, exactly."""
+    return _of_parts(F.shiftright(F.shiftleft(word.cast("bigint"), 34), 34), F.shiftright(word, 30).bitwiseAND(F.lit(3)), 21)
+
+
+def wide_value(word: Column) -> Column:
+    """The number of a 64-bit word."""
+    return _of_parts(F.shiftright(F.shiftleft(word, 2), 2), F.shiftrightunsigned(word, 62), 31)
+
+
+def _word(value: Column, bits: int, most: int) -> Column:
+    """The finest scale that takes the number, 4 decimals before 8 where they are enough; half goes up."""
+    fits = lambda c: F.abs(value) <= F.lit(Decimal(most) * Decimal(UNIT[c]))
+    code = F.when(fits(1) & (value == F.round(value, 4)), 1).when(fits(0), 0).when(fits(1), 1).when(fits(2), 2).when(fits(3), 3)
+    mant = F.lit(None).cast("bigint")
+    for c, unit in UNIT.items():
+        mant = F.when(code == c, F.round(value / F.lit(Decimal(unit)), 0).cast("bigint")).otherwise(mant)
+    word = F.shiftleft(code.cast("bigint"), bits).bitwiseOR(mant.bitwiseAND(F.lit((1 << bits) - 1)))
+    return F.when(F.coalesce(value == 0, F.lit(True)), F.lit(0).cast("bigint")).when(code.isNull(), F.raise_error(F.concat(F.lit("number out of range: "), value.cast("string"))).cast("bigint")).otherwise(word)
+
+
+def narrow_word(value: Column) -> Column:
+    """The 32 bits of a number as a bigint; null and zero are 0, beyond 5.36870911e12 is an error."""
+    return _word(value.cast("decimal(21,8)"), 30, NARROW_MOST)
+
+
+def wide_word(value: Column) -> Column:
+    """The 64 bits of a number as a bigint."""
+    return _word(value.cast("decimal(31,8)"), 62, WIDE_MOST)
+
+
 def show(value: Column, code: Column) -> Column:
     """Printed form: 8, 4 or no decimals by scale; zero is ``0``."""
     out = value.cast("decimal(31,8)").cast("string")

@@ -13,7 +13,9 @@ from tickspark.operators import candles as C
 from tickspark.operators import snapshots as S
 from tickspark.plans.tick_queries import DAY, NARROW, OHLC, PAIRS_SQL, SNAP, TICKS_SQL, bucket, candle_cte, plain, snap_cte
 from tickspark.schema import tick_columns
-from tickspark.sources import TEXT
+from tickspark.sinks import container as container_sink
+from tickspark.sources import TEXT, container
+from tickspark.work import shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -148,14 +150,38 @@ def _(spark, sf):
     return TEXT["rtdump"](lines(t, value)).select("sym", "ts", "ttf", "px", "sz", "seq")
 
 
+@query("container_ticks", f"WITH {TICKS_SQL} SELECT sym, idx, {MS} AS ts, ttf, CAST(px AS DOUBLE) AS px, CAST(sz AS DOUBLE) AS sz FROM ticks")
+def _(spark, sf):
+    at = f"{shared_folder(spark, 'container')}/ticks"
+    container_sink.write_container(full(ticks(spark, sf)), at, packed=True)
+    return container.container(spark, at).select("sym", "idx", "ts", "ttf", "px", "sz")
+
+
+@query("container_candles", f"WITH {TICKS_SQL}, {candle_cte('k', 'ticks', DAY)} SELECT {OHLC} FROM k")
+def _(spark, sf):
+    k = C.candles(ticks(spark, sf), DAY)
+    rows = k.select(*tick_columns(sym=F.col("sym"), idx=F.substring("sym", 2, 9).cast("int") + 1, ts=F.col("ts"), msec=F.lit(0), ttf=F.col("side") + 16, o=F.col("o"), h=F.col("h"), l=F.col("l"), c=F.col("c"), sta_ts=F.col("sta_ts"), cnt=F.col("cnt"), seq=F.lit(0)))
+    at = f"{shared_folder(spark, 'container')}/candles"
+    container_sink.write_container(rows, at, order="big")
+    return container.container(spark, at).select("sym", (F.col("ttf") - 16).alias("side"), "ts", "sta_ts", "o", "h", "l", "c", "cnt")
+
+
+@query("container_stream", f"WITH {TICKS_SQL} SELECT sym, idx, {MS} AS ts, ttf, CAST(px AS DOUBLE) AS px, CAST(sz AS DOUBLE) AS sz FROM ticks")
+def _(spark, sf):
+    at = shared_folder(spark, "container")
+    container_sink.write_container(full(ticks(spark, sf)), f"{at}/ticks", pages=1)
+    streaming.run_to_parquet(container.stream(spark, f"{at}/ticks"), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").select("sym", "idx", "ts", "ttf", "px", "sz")
+
+
 @query("stream_candles", f"WITH {TICKS_SQL}, {candle_cte('k', 'ticks', DAY)} SELECT {OHLC} FROM k")
 def _(spark, sf):
-    return streaming.run_to_table(streaming.stream_candles(streaming.read_events(spark, sf), DAY), f"stream_candles_{uuid.uuid4().hex}")
+    return streaming.closed(spark, streaming.stream_candles(streaming.read_events(spark, sf), DAY), shared_folder(spark, "stream"))
 
 
 @query("stream_snapshots", f"WITH {TICKS_SQL}, {snap_cte('s', 'ticks', DAY)} SELECT {SNAP} FROM s")
 def _(spark, sf):
-    return streaming.run_to_table(streaming.stream_snapshots(streaming.read_events(spark, sf), DAY), f"stream_snapshots_{uuid.uuid4().hex}")
+    return streaming.closed(spark, streaming.stream_snapshots(streaming.read_events(spark, sf), DAY), shared_folder(spark, "stream"))
 
 
 @query("stream_clean", f"WITH {TICKS_SQL}, c AS (SELECT sym, ttf, ts, round(px / 50, 0) AS px, CAST(CAST(sz AS BIGINT) % 2 AS DECIMAL(18,4)) AS sz, seq FROM ticks), p AS (SELECT *, lag(px) OVER w AS lp, lag(sz) OVER w AS ls, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY sym, ttf ORDER BY ts, seq)) SELECT sym, ttf, ts, CAST(px AS DOUBLE) AS px, CAST(sz AS DOUBLE) AS sz, seq FROM p WHERE n = 1 OR px <> lp OR sz <> ls")
