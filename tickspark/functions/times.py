@@ -62,6 +62,8 @@ LEAP_SECONDS = (
     362793600, 394329600, 425865600, 489024000, 567993600, 631152000, 662688000, 709948800, 741484800, 773020800,
     820454400, 867715200, 915148800, 1136073600, 1230768000, 1341100800, 1435708800, 1483228800,
 )
+#: Fixed value: UTC second at which GPS time began.
+GPS_START = 315_964_800
 
 
 def tai_offset(sec: Column) -> Column:
@@ -76,6 +78,34 @@ def gps_offset(sec: Column) -> Column:
     return tai_offset(sec) - 19
 
 
+def to_tai(sec: Column) -> Column:
+    """TAI second of a UTC second."""
+    return sec + tai_offset(sec)
+
+
+def from_tai(sec: Column) -> Column:
+    """UTC second of a TAI second; an inserted second, 23:59:60, repeats the one before it (is_leap tells)."""
+    out = sec - 9
+    for k, s in enumerate(LEAP_SECONDS):
+        before = 9 + k
+        out = F.when(sec >= s + before, F.when(sec == s + before, F.lit(s - 1)).otherwise(sec - before - 1)).otherwise(out)
+    return out
+
+
+def is_leap(sec: Column) -> Column:
+    """Whether a TAI second is an inserted one."""
+    return F.coalesce(sec.isin([s + 9 + k for k, s in enumerate(LEAP_SECONDS)]), F.lit(False))
+
+
+def to_gps(sec: Column) -> Column:
+    """GPS second (since 1980-01-06) of a UTC second."""
+    return to_tai(sec) - 19 - GPS_START
+
+
+def from_gps(sec: Column) -> Column:
+    return from_tai(sec + 19 + GPS_START)
+
+
 def datenum(ts: Column) -> Column:
     """Days since year 0, 719529 at 1970-01-01."""
     return micros(ts).cast("double") / 86_400e6 + 719_529

@@ -92,16 +92,30 @@ def repair_stamps(ticks: DataFrame, second: str = "ts2") -> DataFrame:
     return s.done(rows.withColumn("ts", F.coalesce("ts", F.greatest(F.col(second), F.col("_last")))).drop("_last"))
 
 
+#: With weights 2 ** -k so many lags, or slices, decide a running mean to a float's precision.
+HALVINGS = 62
+
+
 def receive_lag(ticks: DataFrame, lag: str = "lag_us") -> DataFrame:
     """Running offset per symbol: half of the last offset and half of the lag.
 
-    With weights 2 ** -k the last 62 lags decide the result to a float's
-    precision, so a bounded frame gives the recursion without state.  This frame
-    reaches over slices; a symbol's series is one group here.
+    Each tick maps an offset x to (x + lag) / 2, and a slice of n ticks to
+    x / 2 ** n + b.  So a slice starts from nothing, the maps of the slices before
+    it give what it should have started from, and that halves with each tick: a
+    symbol's ticks are one task nowhere.  Ticks without lag leave the offset.
     """
-    w = Window.partitionBy("sym").orderBy("ts", "seq").rowsBetween(-62, 0)
-    recent = F.collect_list(F.col(lag).cast("double")).over(w)
-    return ticks.withColumn("offset_us", F.aggregate(recent, F.lit(0.0), lambda acc, x: (acc + x) / 2))
+    by = ("sym", "_slice")
+    rows = ticks.withColumn("_slice", _by_day())
+    within = Window.partitionBy(*by).orderBy("ts", "seq")
+    halve = lambda acc, x: (acc + x) / 2
+    recent = F.collect_list(F.col(lag).cast("double")).over(within.rowsBetween(-HALVINGS, 0))
+    rows = rows.withColumns({"_own": F.aggregate(recent, F.lit(0.0), halve), "_n": F.count(lag).over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    ends = rows.groupBy(*by).agg(F.max_by("_own", F.struct("ts", "seq")).alias("b"), F.max("_n").alias("n"))
+    earlier = Window.partitionBy("sym").orderBy("_slice").rowsBetween(-HALVINGS, -1)
+    maps = F.collect_list(F.struct("n", "b")).over(earlier)
+    start = F.aggregate(maps, F.lit(0.0), lambda acc, m: m["b"] + acc * F.pow(F.lit(2.0), -m["n"]))
+    rows = rows.join(ends.select(*by, start.alias("_start")), list(by), "left")
+    return rows.withColumn("offset_us", F.col("_own") + F.coalesce("_start", F.lit(0.0)) * F.pow(F.lit(2.0), -F.col("_n"))).drop("_slice", "_own", "_n", "_start")
 
 
 def route_auctions(ticks: DataFrame, opens: str = "opens_auction", closes: str = "closes_auction") -> DataFrame:

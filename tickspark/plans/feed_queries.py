@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark import sinks, streaming
 from tickspark.adapters import pairs, ticks
+from tickspark.functions import times
+from tickspark.operators import asof, planned_sort
 from tickspark.operators import candles as C
 from tickspark.operators import snapshots as S
 from tickspark.plans.tick_queries import DAY, NARROW, OHLC, PAIRS_SQL, SNAP, TICKS_SQL, bucket, candle_cte, plain, snap_cte
@@ -176,16 +176,63 @@ def _(spark, sf):
 
 @query("stream_candles", f"WITH {TICKS_SQL}, {candle_cte('k', 'ticks', DAY)} SELECT {OHLC} FROM k")
 def _(spark, sf):
-    return streaming.closed(spark, streaming.stream_candles(streaming.read_events(spark, sf), DAY), shared_folder(spark, "stream"))
+    at = shared_folder(spark, "stream")
+    streaming.maintain(streaming.read_events(spark, sf), lambda t: C.candles(t, DAY), at, DAY)
+    return streaming.maintained(spark, at)
 
 
 @query("stream_snapshots", f"WITH {TICKS_SQL}, {snap_cte('s', 'ticks', DAY)} SELECT {SNAP} FROM s")
 def _(spark, sf):
-    return streaming.closed(spark, streaming.stream_snapshots(streaming.read_events(spark, sf), DAY), shared_folder(spark, "stream"))
+    at = shared_folder(spark, "stream")
+    streaming.maintain(streaming.read_events(spark, sf), lambda t: S.snapshots(t, DAY), at, DAY)
+    return streaming.maintained(spark, at)
 
 
 @query("stream_clean", f"WITH {TICKS_SQL}, c AS (SELECT sym, ttf, ts, round(px / 50, 0) AS px, CAST(CAST(sz AS BIGINT) % 2 AS DECIMAL(18,4)) AS sz, seq FROM ticks), p AS (SELECT *, lag(px) OVER w AS lp, lag(sz) OVER w AS ls, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY sym, ttf ORDER BY ts, seq)) SELECT sym, ttf, ts, CAST(px AS DOUBLE) AS px, CAST(sz AS DOUBLE) AS sz, seq FROM p WHERE n = 1 OR px <> lp OR sz <> ls")
 def _(spark, sf):
     coarse = streaming.read_events(spark, sf).withColumns({"px": F.round(F.col("px").cast("double") / 50, 0).cast("decimal(18,4)"), "sz": (F.col("sz").cast("bigint") % 2).cast("decimal(18,4)")})
-    out = streaming.run_to_table(streaming.stream_clean(coarse), f"stream_clean_{uuid.uuid4().hex}", "append")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    at = shared_folder(spark, "stream")
+    streaming.run_to_parquet(streaming.stream_clean(coarse), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("asof_join", f"WITH {TICKS_SQL}, q AS (SELECT sym, ts, arg_max(px, seq) AS px FROM ticks WHERE ttf = 1 GROUP BY sym, ts) SELECT t.sym, t.ts, t.seq, CAST(t.px AS DOUBLE) AS px, q.ts AS q_ts, CAST(q.px AS DOUBLE) AS q_px FROM (SELECT * FROM ticks WHERE ttf = 3) t ASOF LEFT JOIN q ON t.sym = q.sym AND t.ts >= q.ts")
+def _(spark, sf):
+    t = ticks(spark, sf)
+    return asof.as_of(t.where("ttf = 3"), t.where("ttf = 1")).select("sym", "ts", "seq", "px", "q_ts", "q_px")
+
+
+def _spans(cte: str) -> str:
+    return f"{cte} SELECT sym, sta_ts, ts, CAST(arg_min(px, (t, seq)) AS DOUBLE) AS o, CAST(max(px) AS DOUBLE) AS h, CAST(min(px) AS DOUBLE) AS l, CAST(arg_max(px, (t, seq)) AS DOUBLE) AS c, count(*) AS cnt FROM s GROUP BY sym, sta_ts, ts"
+
+
+GAP = 6 * 3600
+
+
+@query("session_candles", _spans(f"WITH {TICKS_SQL}, b AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= {GAP}000000 THEN 0 ELSE 1 END AS new FROM ticks WHERE px IS NOT NULL WINDOW w AS (PARTITION BY sym ORDER BY ts, seq)), n AS (SELECT *, sum(new) OVER (PARTITION BY sym ORDER BY ts, seq) AS k FROM b), s AS (SELECT sym, seq, px, ts AS t, min(ts) OVER (PARTITION BY sym, k) AS sta_ts, max(ts) OVER (PARTITION BY sym, k) + INTERVAL '{GAP} seconds' AS ts FROM n)"))
+def _(spark, sf):
+    return asof.sessions(ticks(spark, sf), GAP)
+
+
+@query("sliding_candles", _spans(f"WITH {TICKS_SQL}, s AS (SELECT sym, seq, px, ts AS t, to_timestamp(0)::TIMESTAMP + INTERVAL (k * 43200) SECONDS AS sta_ts, to_timestamp(0)::TIMESTAMP + INTERVAL (k * 43200 + {DAY}) SECONDS AS ts FROM (SELECT *, CAST(floor(epoch_us(ts) / 43200000000.0) AS BIGINT) - j AS k FROM ticks, range(0, 2) AS r(j) WHERE px IS NOT NULL))"))
+def _(spark, sf):
+    return asof.sliding(ticks(spark, sf), DAY, DAY // 2)
+
+
+@query("sort_store", f"WITH {TICKS_SQL} SELECT sym, idx, ts, ttf, CAST(px AS DOUBLE) AS px, CAST(sz AS DOUBLE) AS sz, seq FROM ticks")
+def _(spark, sf):
+    at = f"{shared_folder(spark, 'store')}/ticks"
+    ticks(spark, sf).repartition(8, F.pmod(F.hash("seq"), F.lit(3)), F.date_trunc("week", "ts")).write.parquet(at)
+    planned_sort.sort_store(spark, at)
+    return spark.read.parquet(at).select("sym", "idx", "ts", "ttf", "px", "sz", "seq")
+
+
+_LEAPS = ", ".join(f"({s}, {10 + k})" for k, s in enumerate(times.LEAP_SECONDS))
+
+
+@query("leap_seconds", f"WITH leaps(since, tai) AS (VALUES {_LEAPS}), o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - o_orderkey % 3 AS sec FROM orders), t AS (SELECT o_orderkey, sec, sec + (SELECT coalesce(max(tai), 9) FROM leaps WHERE since <= sec) AS tai FROM o) SELECT o_orderkey, sec, tai, tai - 19 - 315964800 AS gps, sec AS back, false AS leap FROM t")
+def _(spark, sf):
+    sec = times.seconds(F.col("o_orderdate").cast("timestamp_ntz")) - F.col("o_orderkey") % 3
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", sec.cast("bigint").alias("sec"))
+    rows = rows.withColumn("tai", times.to_tai(F.col("sec")).cast("bigint"))
+    return rows.select("o_orderkey", "sec", "tai", times.to_gps(F.col("sec")).cast("bigint").alias("gps"), times.from_tai(F.col("tai")).cast("bigint").alias("back"), times.is_leap(F.col("tai")).alias("leap"))

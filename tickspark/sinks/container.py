@@ -37,7 +37,8 @@ def raw_of(ticks: DataFrame) -> DataFrame:
     ttf = F.col("ttf")
     candle, volume, snap, pair = (ttf >= 0x11) & (ttf <= 0x16), ttf == 0x18, ttf == 0x1C, ttf == 12
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    msec = F.coalesce(F.col("msec"), F.floor(F.pmod(us, F.lit(1_000_000)) / 1000).cast("int"))
+    # From 1000 on the field is a marker; else the stamp has the milliseconds.
+    msec = F.when(F.col("msec") >= 1000, F.col("msec")).otherwise(F.floor(F.pmod(us, F.lit(1_000_000)) / 1000).cast("int"))
     start, count = seconds(F.col("sta_ts")).cast("bigint"), F.coalesce(F.col("cnt"), F.lit(0))
     none = F.lit(None).cast("decimal(21,8)")
 
