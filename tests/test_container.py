@@ -45,7 +45,7 @@ def by_hand(order="<", old=False):
 
 
 def seen(df):
-    columns = [c for c in TICKS.names if c != "seq"]
+    columns = [c for c in TICKS.names if c not in ("seq", "codes")]
     return [tuple(r) for r in df.orderBy("ts", "msec", "idx", "ttf", "seq").select(*columns).collect()]
 
 

@@ -42,12 +42,36 @@ def test_tick_text_round_trip_of_files(spark, tmp_path):
     assert sorted(r["value"] for r in sinks.tick_text(back).collect()) == sorted(lines)
 
 
-def test_printed_numbers(spark):
-    lines = ["TESJPY\t2012-01-15T22:00:02.998+00:00\t1\t2\t77.1000\t1690000", "AB\t2011-03-01T10:00:02.000+00:00\tff\t11\t4.0000\t1.0000\t2.5000\t3.0000\t4d6cc640|2011-03-01T10:10:08.000+00:00\t00000005|5", "AB\t2011-03-01T10:00:02.000+00:00\ta\t1c\t77.0000\t78.0000\t5.0000\t6.0000\t400bc5a0|77.1488\t40004e20|2.0000"]
-    back = sources.TEXT["ticktext"](frame(spark, lines))
-    got = [r["value"] for r in sinks.tick_text(back.orderBy("seq")).collect()]
-    assert got[0] == lines[0] and got[2] == lines[2]
-    assert got[1].split("\t")[:8] == lines[1].split("\t")[:8]
+PRINTED = [
+    # What is read and what is printed: numbers keep the scale of their text.
+    ("TESJPY\t2012-01-15T22:00:02.998+00:00\t1\t2\t77.1000\t1690000", None),
+    ("A\t2011-03-01T10:00:02.000+00:00\tff\t11\t4.0000\t1\t2.5\t3.00\t4d6cc640|2011-03-01T10:11:12.000+00:00\t00000005|5", "4.00000000\t1.0000\t2.5000\t3.0000\t4d6cc640|2011-03-01T10:11:12.000+00:00\t00000005|5"),
+    ("A\t2011-03-01T10:00:02.000+00:00\ta\t1c\t77.0000\t78.0000\t5.0000\t6.0000\t400bc5a0|77.1488\t40004e20|2.0", "77.0000\t78.0000\t5.0000\t6.0000\t400bc5a0|77.1488\t40004e20|2.0000"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t1\t4.9800\t4.98", "4.98000000\t4.9800"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t1\t12345678\t-12349999", "12340000\t-12340000"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t3\t93211.99\t43211.01999", "93211\t43211.0200"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t3\tmkt\t0.00", "mkt\t0"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t18\t1234.5\t1.5000\t2.5\t00000708|c30m\t0000000a|10", "1234.5000\t1.50000000\t2.5000\t4d6cbc9a|2011-03-01T09:30:02.000+00:00\t0000000a|10"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t8\t12.0210", "12.02100000"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t9\t123456789012345678901", "123456789012345670000"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\tf\t-12345678", "-12345678.0000"),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\t0\t", ""),
+    ("A\t2011-03-01T10:00:02.000+00:00\t1\tc\t1.0956\t1.1", "1.09560000\t1.1000"),
+]
+
+
+def test_printed_numbers(spark, tmp_path):
+    from tickspark.sinks import container as sink
+
+    back = sources.TEXT["ticktext"](frame(spark, [line for line, _ in PRINTED]))
+    want = [line if shown is None else "\t".join([*line.split("\t")[:4], shown]) for line, shown in PRINTED]
+    assert [r["value"] for r in sinks.tick_text(back.orderBy("seq")).collect()] == want
+    # The container keeps the scales too; without them the size of a number decides.
+    rows = back.withColumn("idx", F.when(F.col("sym") == "A", 1).otherwise(2)).where("ttf <> 24").withColumn("sta_ts", F.when(F.col("ttf") == 17, F.col("sta_ts")))
+    sink.write_container(rows, str(tmp_path / "c"))
+    again = sinks.tick_text(sources.read(spark, "container", str(tmp_path / "c"))).collect()
+    assert sorted(r["value"] for r in again) == sorted(r["value"] for r in sinks.tick_text(rows).collect())
+    assert sinks.tick_text(back.where("seq = 3").drop("codes")).first()["value"].endswith("\t4.9800\t4.9800")
 
 
 def test_summer_time_as_in_sql(spark):

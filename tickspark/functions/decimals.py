@@ -45,19 +45,25 @@ def wide_scale(s: Column) -> Column:
 
 
 def _at(value: Column, code: Column) -> Column:
-    out = F.round(value, 8)
-    for c, places in ((1, 4), (2, 0), (3, -4)):
-        out = F.when(code == c, F.round(value, places).cast("decimal(38,8)")).otherwise(out)
-    return out.cast("decimal(31,8)")
+    """Rounded half up where the scale has decimals, else cut: digits beyond it aren't read."""
+    out = F.round(value, 8).cast("decimal(38,8)")
+    for c, unit in ((2, 1), (3, 10_000)):
+        out = F.when(code == c, (value - value % unit).cast("decimal(38,8)")).otherwise(out)
+    return F.when(code == 1, F.round(value, 4).cast("decimal(38,8)")).otherwise(out).try_cast("decimal(31,8)")
+
+
+def _exact(s: Column) -> Column:
+    """To the ninth decimal: the one behind the last that is kept decides how it is rounded."""
+    return F.regexp_extract(number_text(s), r"^[+-]?[0-9]*(?:\.[0-9]{0,9})?", 0).try_cast("decimal(38,9)")
 
 
 def parse_narrow(s: Column) -> Column:
-    """Leading number of a text, rounded half up to its narrow scale."""
-    return _at(number_text(s).try_cast("decimal(38,18)").cast("decimal(38,8)"), narrow_scale(s)).cast("decimal(21,8)")
+    """Leading number of a text at its narrow scale."""
+    return _at(_exact(s), narrow_scale(s)).try_cast("decimal(21,8)")
 
 
 def parse_wide(s: Column) -> Column:
-    return _at(number_text(s).try_cast("decimal(38,18)").cast("decimal(38,8)"), wide_scale(s))
+    return _at(_exact(s), wide_scale(s))
 
 
 def parse_whole(s: Column) -> Column:
@@ -88,10 +94,11 @@ def wide_value(word: Column) -> Column:
     return _of_parts(F.shiftright(F.shiftleft(word, 2), 2), F.shiftrightunsigned(word, 62), 31)
 
 
-def _word(value: Column, bits: int, most: int) -> Column:
-    """The finest scale that takes the number, 4 decimals before 8 where they are enough; half goes up."""
+def _word(value: Column, bits: int, most: int, known: Column | None) -> Column:
+    """At a known scale if it takes the number, else at the finest that does, 4 decimals before 8 where they are enough; half goes up."""
     fits = lambda c: F.abs(value) <= F.lit(Decimal(most) * Decimal(UNIT[c]))
-    code = F.when(fits(1) & (value == F.round(value, 4)), 1).when(fits(0), 0).when(fits(1), 1).when(fits(2), 2).when(fits(3), 3)
+    code = F.when(F.lit(False), 0) if known is None else F.when((known == 0) & fits(0) | (known == 1) & fits(1) | (known == 2) & fits(2) | (known == 3) & fits(3), known)
+    code = code.when(fits(1) & (value == F.round(value, 4)), 1).when(fits(0), 0).when(fits(1), 1).when(fits(2), 2).when(fits(3), 3)
     mant = F.lit(None).cast("bigint")
     for c, unit in UNIT.items():
         mant = F.when(code == c, F.round(value / F.lit(Decimal(unit)), 0).cast("bigint")).otherwise(mant)
@@ -99,24 +106,34 @@ def _word(value: Column, bits: int, most: int) -> Column:
     return F.when(F.coalesce(value == 0, F.lit(True)), F.lit(0).cast("bigint")).when(code.isNull(), F.raise_error(F.concat(F.lit("number out of range: "), value.cast("string"))).cast("bigint")).otherwise(word)
 
 
-def narrow_word(value: Column) -> Column:
+def narrow_word(value: Column, known: Column | None = None) -> Column:
     """The 32 bits of a number as a bigint; null and zero are 0, beyond 5.36870911e12 is an error."""
-    return _word(value.cast("decimal(21,8)"), 30, NARROW_MOST)
+    return _word(value.cast("decimal(21,8)"), 30, NARROW_MOST, known)
 
 
-def wide_word(value: Column) -> Column:
+def wide_word(value: Column, known: Column | None = None) -> Column:
     """The 64 bits of a number as a bigint."""
-    return _word(value.cast("decimal(31,8)"), 62, WIDE_MOST)
+    return _word(value.cast("decimal(31,8)"), 62, WIDE_MOST, known)
 
 
 def show(value: Column, code: Column) -> Column:
-    """Printed form: 8, 4 or no decimals by scale; zero is ``0``."""
+    """Printed form: 8, 4 or no decimals by scale, ten thousands only at the largest; zero is ``0``."""
     out = value.cast("decimal(31,8)").cast("string")
     out = F.when(code == 1, value.cast("decimal(31,4)").cast("string")).otherwise(out)
-    out = F.when(code >= 2, value.cast("decimal(31,0)").cast("string")).otherwise(out)
+    out = F.when(code == 2, (value - value % 1).cast("decimal(31,0)").cast("string")).otherwise(out)
+    out = F.when(code == 3, (value - value % 10_000).cast("decimal(31,0)").cast("string")).otherwise(out)
     return F.when(value == 0, F.lit("0")).otherwise(out)
 
 
+def narrow_parts(s: Column) -> Column:
+    """Struct of v, the leading number of a text in the narrow form, and code, its scale; null without a digit."""
+    return F.when(number_text(s).rlike("[0-9]"), F.struct(parse_narrow(s).alias("v"), narrow_scale(s).alias("code")))
+
+
+def wide_parts(s: Column) -> Column:
+    return F.when(number_text(s).rlike("[0-9]"), F.struct(parse_wide(s).alias("v"), wide_scale(s).alias("code")))
+
+
 def truncated(value: Column, places: int) -> Column:
     """Towards zero, as a cast of a float."""
     unit = F.lit(10**places)

@@ -24,6 +24,10 @@ FLOWS = {MIL24: "mil24", PADDING: "padding", HALT: "halt", CONT: "cont", NEXIST:
 #: Order of ticks; seq, the order of arrival, makes it total.
 ORDER = ("ts", "msec", "idx", "ttf", "seq")
 
+#: codes has the scale codes of a tick's numbers where they are known, two bits
+#: each: of the n-th number of its type from bit 2 n on, of a wide one from bit 12 on.
+WIDE_CODE = 12
+
 TICKS = T.StructType(
     [
         T.StructField("sym", T.StringType()),
@@ -40,6 +44,7 @@ TICKS = T.StructType(
         T.StructField("sta_ts", T.TimestampNTZType()),
         T.StructField("cnt", T.LongType()),
         T.StructField("vol", LOSSLESS),
+        T.StructField("codes", T.LongType()),
         T.StructField("seq", T.LongType()),
     ]
 )

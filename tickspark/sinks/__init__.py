@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tickspark.functions.decimals import mantissa, show
 from tickspark.functions.text import int_to_hex
 from tickspark.functions.times import datenum, seconds, show_candle_width, show_iso
-from tickspark.schema import MIL24, ORDER
+from tickspark.schema import MIL24, ORDER, PAIR, SNAPSHOT, VOL_CANDLE, WIDE_CODE
+from tickspark.sources.text import WIDE
 
 
 def _show_stamp(ts: Column, msec: Column) -> Column:
@@ -19,25 +20,11 @@ def _show_stamp(ts: Column, msec: Column) -> Column:
 
 
 def _scale(value: Column) -> Column:
-    """Scale code of a number in the narrow form: as many decimals as 30 bits take, 8 only where it has 4 or more."""
+    """Scale code of a number of unknown one: as many decimals as 30 bits take, 8 only where it has 4 or more."""
     size = F.abs(value)
     return F.when((size < 5) & (value.cast("decimal(21,3)") != value), 0).when(size < 50_000, 1).when(size < 10_000_000, 2).otherwise(3)
 
 
-def _price(c: str) -> Column:
-    """A number with the decimals of its own scale; nothing and zero are ``0``."""
-    value = F.col(c).cast("decimal(21,8)")
-    return F.coalesce(show(value, _scale(value)), F.lit("0"))
-
-
-def _encoded(c: str) -> Column:
-    """``hex|number``: the 30-bit mantissa below its scale code, and the number."""
-    value = F.coalesce(F.col(c), F.lit(0)).cast("decimal(21,8)")
-    code = F.when(value == 0, 0).otherwise(_scale(value))
-    word = F.shiftleft(code.cast("bigint"), 30) + mantissa(value, code).bitwiseAND(F.lit((1 << 30) - 1))
-    return F.concat_ws("|", int_to_hex(word, 8), _price(c))
-
-
 def _plain_hex(n: Column) -> Column:
     return F.lower(F.hex(F.coalesce(n, F.lit(0)).cast("bigint")))
 
@@ -45,21 +32,42 @@ def _plain_hex(n: Column) -> Column:
 def tick_text(ticks: DataFrame) -> DataFrame:
     """(value): one tab-separated line a tick.
 
-    Index and type are hexadecimal without padding.  Candle starts are
-    ``hex|iso``, or ``hex|cNNu`` for a width, counts ``hex|n``, trade price and
-    quantity of a snapshot ``hex|number``.
+    Numbers have the decimals of their scale, from codes or else from their size;
+    zero and nothing are ``0``.  Index and type are hexadecimal without padding.
+    Candle starts are ``hex|iso``, or ``hex|cNNu`` for a width, counts ``hex|n``, trade price and
+    quantity of a snapshot ``hex|number``.  Ticks of other types have no numbers.
     """
+    if "codes" not in ticks.columns:
+        ticks = ticks.withColumn("codes", F.lit(None).cast("bigint"))
     ttf = F.col("ttf")
-    head = [F.coalesce("sym", F.lit("0")), _show_stamp(F.col("ts"), F.col("msec")), _plain_hex(F.col("idx")), _plain_hex(ttf)]
+    candle, snap, pair, volume = (ttf >= 0x11) & (ttf <= 0x16), ttf == SNAPSHOT, ttf == PAIR, ttf == VOL_CANDLE
+    head = F.concat_ws("\t", F.coalesce("sym", F.lit("0")), _show_stamp(F.col("ts"), F.col("msec")), _plain_hex(F.col("idx")), _plain_hex(ttf))
     sta = seconds(F.col("sta_ts")).cast("bigint")
     start = F.concat_ws("|", int_to_hex(sta, 8), F.when(sta < 100_000, show_candle_width(sta)).otherwise(show_iso(F.col("sta_ts"))))
     count = F.coalesce("cnt", F.lit(0))
-    point = [F.when(F.coalesce("is_mkt", F.lit(False)), "mkt").otherwise(_price("px")), _price("sz")]
-    candle = [*(_price(c) for c in "hloc"), start, F.concat_ws("|", int_to_hex(count, 8), count.cast("string"))]
-    snap = [*(_price(c) for c in ("bp", "ap", "bq", "aq")), _encoded("tvpr"), _encoded("tq")]
-    wide = F.coalesce(F.col("w").cast("decimal(31,4)").cast("string"), F.lit("0"))
-    line = F.when((ttf >= 0x11) & (ttf <= 0x16), F.concat_ws("\t", *head, *candle)).when(ttf == 0x1C, F.concat_ws("\t", *head, *snap)).when(ttf == 12, F.concat_ws("\t", *head, *snap[:2]))
-    return ticks.select(line.when(ttf.isin(8, 9, 10, 11, 15, 0x18), F.concat_ws("\t", *head, wide)).otherwise(F.concat_ws("\t", *head, *point)).alias("value"))
+    # The numbers of a type, shown by one function over them.
+    of = lambda *cs: F.array(*(F.coalesce(F.col(c), F.lit(0)).cast("decimal(21,8)") for c in cs))
+    point = ttf.isin(1, 2, 3, 4, 5, 6, 7, 13, 14)
+    numbers = F.when(candle, of("h", "l", "o", "c")).when(snap, of("bp", "ap", "bq", "aq", "tvpr", "tq")).when(pair, of("bp", "ap")).when(volume, of("vwap", "twap")).when(point, of("px", "sz")).otherwise(of())
+    # Behind a wide number the codes of the narrow ones begin with the second.
+    first = F.when(volume, 1).otherwise(0)
+    coded = F.transform("numbers", lambda v, i: F.struct(v.alias("v"), F.coalesce(F.call_function("shiftright", F.col("codes"), (i + F.col("first")) * 2).bitwiseAND(F.lit(3)).cast("int"), F.when(v == 0, 0).otherwise(_scale(v))).alias("code")))
+
+    def shown(x: Column, i: Column) -> Column:
+        text = F.coalesce(show(x["v"], x["code"]), F.lit("0"))
+        word = F.call_function("shiftleft", x["code"].cast("bigint"), F.lit(30)) + mantissa(x["v"], x["code"]).bitwiseAND(F.lit((1 << 30) - 1))
+        return F.when(F.col("snap") & (i >= 4), F.concat_ws("|", int_to_hex(word, 8), text)).otherwise(text)
+
+    rows = ticks.select(head.alias("head"), numbers.alias("numbers"), first.alias("first"), snap.alias("snap"), "codes", F.col("w"), ttf.alias("ttf"), start.alias("start"), count.alias("count"), (point & F.coalesce("is_mkt", F.lit(False))).alias("mkt"))
+    rows = rows.withColumn("texts", F.transform(coded, shown))
+    wide_code = F.coalesce(F.shiftright("codes", WIDE_CODE).bitwiseAND(F.lit(3)).cast("int"), F.lit(1))
+    wide = F.coalesce(show(F.col("w"), wide_code), F.lit("0"))
+    texts = F.when(F.col("mkt"), F.concat(F.array(F.lit("mkt")), F.slice("texts", 2, 1))).otherwise(F.col("texts"))
+    texts = F.when(F.col("ttf").isin(*WIDE), F.concat(F.array(wide), texts)).otherwise(texts)
+    spans = F.array(F.col("start"), F.concat_ws("|", int_to_hex(F.col("count"), 8), F.col("count").cast("string")))
+    texts = F.when(((F.col("ttf") >= 0x11) & (F.col("ttf") <= 0x16)) | (F.col("ttf") == VOL_CANDLE), F.concat(texts, spans)).otherwise(texts)
+    # A tick without numbers ends behind its type.
+    return rows.select(F.concat(F.col("head"), F.lit("\t"), F.array_join(texts, "\t")).alias("value"))
 
 
 def candle_matrix(candles: DataFrame, sides: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

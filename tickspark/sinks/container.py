@@ -18,12 +18,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from tickspark.functions.decimals import narrow_word, wide_word
 from tickspark.functions.times import seconds
+from tickspark.schema import WIDE_CODE
 from tickspark.sources import cells
 from tickspark.sources import container as source
 
@@ -42,20 +43,23 @@ def raw_of(ticks: DataFrame) -> DataFrame:
     start, count = seconds(F.col("sta_ts")).cast("bigint"), F.coalesce(F.col("cnt"), F.lit(0))
     none = F.lit(None).cast("decimal(21,8)")
 
-    def pick(**at) -> object:
-        """The word of the column that counts for the type."""
+    codes = F.col("codes") if "codes" in ticks.columns else F.lit(None).cast("bigint")
+
+    def pick(place: int, **at) -> Column:
+        """The word of the column that counts for the type, at its scale where that is known."""
         value = none
         for c, cond in at.items():
             value = F.when(cond, F.col(c).cast("decimal(21,8)")).otherwise(value)
-        return narrow_word(value)
+        known = F.call_function("shiftright", codes, 2 * (F.lit(place) - F.when(volume, 1).otherwise(0))).bitwiseAND(F.lit(3)).cast("int")
+        return narrow_word(value, known)
 
     point = ~(candle | volume | snap | pair)
-    first = F.when(point & F.coalesce("is_mkt", F.lit(False)), F.lit(0xE0000000)).otherwise(pick(px=point, bp=snap | pair, h=candle))
+    first = F.when(point & F.coalesce("is_mkt", F.lit(False)), F.lit(0xE0000000)).otherwise(pick(0, px=point, bp=snap | pair, h=candle))
     return ticks.select(
         F.floor(us / 1_000_000).cast("bigint").alias("sec"), msec.cast("int").alias("msec"), F.coalesce("idx", F.lit(0)).alias("idx"), F.col("sym"), ttf.alias("ttf"),
-        first.alias("a"), pick(sz=point, ap=snap | pair, l=candle).alias("b"), pick(bq=snap, o=candle, vwap=volume).alias("c"), pick(aq=snap, c=candle, twap=volume).alias("d"),
-        F.when(candle | volume, F.coalesce(start, F.lit(0))).otherwise(pick(tvpr=snap)).alias("e"), F.when(candle | volume, count).otherwise(pick(tq=snap)).alias("f"),
-        wide_word(F.col("w")).alias("w"), F.col("seq").cast("bigint").alias("seq"), F.lit("").alias("file"),
+        first.alias("a"), pick(1, sz=point, ap=snap | pair, l=candle).alias("b"), pick(2, bq=snap, o=candle, vwap=volume).alias("c"), pick(3, aq=snap, c=candle, twap=volume).alias("d"),
+        F.when(candle | volume, F.coalesce(start, F.lit(0))).otherwise(pick(4, tvpr=snap)).alias("e"), F.when(candle | volume, count).otherwise(pick(5, tq=snap)).alias("f"),
+        wide_word(F.col("w"), F.shiftright(codes, WIDE_CODE).bitwiseAND(F.lit(3)).cast("int")).alias("w"), F.col("seq").cast("bigint").alias("seq"), F.lit("").alias("file"),
     )
 
 

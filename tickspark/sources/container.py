@@ -13,7 +13,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tickspark.functions.decimals import narrow_value, wide_value
-from tickspark.schema import flow_of, tick_columns
+from tickspark.schema import WIDE_CODE, flow_of, tick_columns
 from tickspark.sources import cells
+from tickspark.sources.text import WIDE
 
 NAME = "tickcontainer"
 RAW = "sec long, msec int, idx int, sym string, ttf int, a long, b long, c long, d long, e long, f long, w long, seq long, file string"
@@ -255,11 +256,15 @@ def ticks_of(raw: DataFrame) -> DataFrame:
     ts = F.timestamp_micros(F.col("sec") * 1_000_000 + F.when(F.col("msec") < 1000, F.col("msec") * 1000).otherwise(0)).cast("timestamp_ntz")
     start: Column = F.when(F.col("e") < 100_000, ts - F.make_dt_interval(secs=F.col("e"))).otherwise(F.timestamp_seconds("e").cast("timestamp_ntz"))
     market = point & (F.col("a") == 0xE0000000)
+    # Scale codes: of each narrow word its top bits; a volume candle's narrow numbers are its second and third.
+    code = lambda c, at: F.shiftleft(F.shiftright(c, 30).bitwiseAND(F.lit(3)), 2 * at)
+    codes = F.when(volume, code("c", 1) + code("d", 2) + F.shiftleft(F.shiftrightunsigned("w", 62), WIDE_CODE)).when(ttf.isin(*WIDE), F.shiftleft(F.shiftrightunsigned("w", 62), WIDE_CODE))
+    codes = codes.when(snap, reduce(lambda x, y: x + y, (code(c, k) for k, c in enumerate("abcdef")))).when(candle, reduce(lambda x, y: x + y, (code(c, k) for k, c in enumerate("abcd")))).otherwise(code("a", 0) + code("b", 1))
     return raw.where("ttf < 48").select(
         *tick_columns(
-            sym=F.col("sym"), idx=F.col("idx"), ts=ts, msec=F.col("msec"), flow=flow_of(F.col("msec")), ttf=ttf, px=narrow(point & ~market, "a"), sz=narrow(point, "b"), is_mkt=market, w=F.when(ttf.isin(8, 9, 10, 11, 15, 0x18), wide_value(F.col("w"))),
+            sym=F.col("sym"), idx=F.col("idx"), ts=ts, msec=F.col("msec"), flow=flow_of(F.col("msec")), ttf=ttf, px=narrow(point & ~market, "a"), sz=narrow(point, "b"), is_mkt=market, w=F.when(ttf.isin(*WIDE), wide_value(F.col("w"))),
             bp=narrow(pair | snap, "a"), ap=narrow(pair | snap, "b"), bq=narrow(snap, "c"), aq=narrow(snap, "d"), tvpr=narrow(snap, "e"), tq=narrow(snap, "f"),
-            h=narrow(candle, "a"), l=narrow(candle, "b"), o=narrow(candle, "c"), c=narrow(candle, "d"), vwap=narrow(volume, "c"), twap=narrow(volume, "d"), sta_ts=F.when(candle | volume, start), cnt=F.when(candle | volume, F.col("f")), seq=F.col("seq"),
+            h=narrow(candle, "a"), l=narrow(candle, "b"), o=narrow(candle, "c"), c=narrow(candle, "d"), vwap=narrow(volume, "c"), twap=narrow(volume, "d"), sta_ts=F.when(candle | volume, start), cnt=F.when(candle | volume, F.col("f")), codes=codes, seq=F.col("seq"),
         )
     )
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.functions.decimals import number_text
+from tickspark.functions.decimals import narrow_parts, number_text, wide_parts
 from tickspark.functions.text import cell, hex_to_int, json_value
 from tickspark.functions.times import from_seconds, is_date_only, parse_iso, to_utc
 from tickspark.operators import clean
-from tickspark.schema import ASK, AUC, BID, FIX, HALT, MIL24, OI, PAIR, SNAPSHOT, TRA, VOL, VPR, flow_of, tick_columns
+from tickspark.schema import ASK, AUC, BID, FIX, HALT, MIL24, OI, PAIR, SNAPSHOT, TRA, VOL, VOL_CANDLE, VPR, WIDE_CODE, flow_of, tick_columns
+
+#: Types of one wide number.
+WIDE = (VOL, VPR, 10, OI, 15, VOL_CANDLE)
 
 
 def _number(s: Column) -> Column:
@@ -33,28 +36,40 @@ def tick_text(lines: DataFrame) -> DataFrame:
 
     Point ticks have price and size; single-number types one wide number; pairs
     bid and ask; snapshots bid, ask, their sizes, trade price and size (``hex|number`` or plain); candles
-    h, l, o, c, start (``hex|iso`` or ``hex|cNNu``) and count (hex).
+    h, l, o, c, start (``hex|iso`` or ``hex|cNNu``) and count (hex); a volume
+    candle its volume for h and l.  Numbers take the scale that their text says,
+    and codes keeps it.
     """
-    # Step by step, so that a line is split and its stamp parsed once.
-    rows = lines.select("seq", F.split("value", "\t").alias("p")).select("seq", *(F.get("p", F.lit(i)).alias(f"f{i}") for i in range(10)))
+    # Numbers are parsed by a function over their fields: once in the code, however many there are.
+    rows = lines.select("seq", F.split("value", "\t").alias("p"))
+    rows = rows.select("seq", *(F.get("p", F.lit(i)).alias(f"f{i}") for i in (0, 1, 2, 3, 4, 7, 8, 9)), F.slice("p", 5, 6).alias("numbers"))
     rows = rows.withColumns({"at": parse_iso(F.col("f1")), "type": hex_to_int(F.col("f3")).try_cast("int"), "from": hex_to_int(F.col("f8"))}).where("at is not null and type is not null")
+    rows = rows.withColumn("numbers", F.transform("numbers", lambda x: narrow_parts(F.regexp_replace(x, r"^[0-9A-Fa-f]+\|", ""))))
+    rows = rows.withColumn("wide", F.when(F.col("type").isin(*WIDE), wide_parts(F.col("f4"))))
     field = lambda i: F.col(f"f{i}")
     ttf, ts, stamp, start = F.col("type"), F.col("at"), field(1), F.col("from")
-    number = lambda i: _number(field(i))
-    coded = lambda i: _number(F.regexp_replace(field(i), r"^[0-9A-Fa-f]+\|", ""))
+    number = lambda i: F.get("numbers", F.lit(i - 4))["v"]
     when = lambda cond, c: F.when(cond, c)
-    wide = ttf.isin(VOL, VPR, 10, OI, 15, 0x18)
-    candle, snap, pair = (ttf >= 0x11) & (ttf <= 0x16), ttf == SNAPSHOT, ttf == PAIR
+    candle, volume, snap, pair = (ttf >= 0x11) & (ttf <= 0x16), ttf == VOL_CANDLE, ttf == SNAPSHOT, ttf == PAIR
     point = ttf.isin(1, 2, 3, 4, 5, 6, 7, 13, 14)
-    sta = F.when(start < 100_000, ts - F.make_dt_interval(secs=start)).when(start.isNotNull(), from_seconds(F.when(start < 1 << 33, start))).otherwise(parse_iso(F.get(F.split(field(8), r"\|"), F.lit(1))))
+    sta = F.when(start < 100_000, ts - F.make_dt_interval(secs=start)).when(start.isNotNull(), from_seconds(F.when(start < 1 << 33, start)))
+    sta = sta.otherwise(parse_iso(F.get(F.split(field(8), r"\|"), F.lit(1))))
+    # A volume candle has one wide number where others have high and low, so all behind it stand one field before.
+    early = hex_to_int(field(7))
+    early = F.when(early < 100_000, ts - F.make_dt_interval(secs=early)).otherwise(from_seconds(F.when(early < 1 << 33, early)))
     msec = F.when(is_date_only(stamp), MIL24).otherwise(_millis(ts)).cast("int")
     index = F.when(field(2) == "?", None).otherwise(hex_to_int(field(2)).try_cast("int"))
+    many = F.when(candle | snap, 6).when(pair | point, 2).when(volume, 3).otherwise(0)
+    # Of a number that isn't there the code is 0.
+    codes = F.aggregate(F.slice("numbers", 1, many), F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("at")), lambda acc, x: F.struct((acc["sum"] + F.call_function("shiftleft", F.coalesce(x["code"], F.lit(0)).cast("bigint"), acc["at"])).alias("sum"), (acc["at"] + 2).alias("at")), lambda acc: acc["sum"])
+    codes = codes + F.coalesce(F.shiftleft(F.col("wide.code").cast("bigint"), WIDE_CODE), F.lit(0))
     return rows.select(
         *tick_columns(
             sym=F.when(field(0) != "", field(0)), idx=index, ts=ts, msec=msec, flow=flow_of(msec), ttf=ttf,
-            px=when(point, number(4)), sz=when(point, number(5)), is_mkt=field(4) == "mkt", w=when(wide, number(4)),
-            bp=when(pair | snap, number(4)), ap=when(pair | snap, number(5)), bq=when(snap, number(6)), aq=when(snap, number(7)), tvpr=when(snap, coded(8)), tq=when(snap, coded(9)),
-            h=when(candle, number(4)), l=when(candle, number(5)), o=when(candle, number(6)), c=when(candle, number(7)), sta_ts=when(candle, sta), cnt=when(candle, hex_to_int(field(9))), seq=F.col("seq"),
+            px=when(point, number(4)), sz=when(point, number(5)), is_mkt=field(4) == "mkt", w=F.col("wide.v"),
+            bp=when(pair | snap, number(4)), ap=when(pair | snap, number(5)), bq=when(snap, number(6)), aq=when(snap, number(7)), tvpr=when(snap, number(8)), tq=when(snap, number(9)),
+            h=when(candle, number(4)), l=when(candle, number(5)), o=when(candle, number(6)), c=when(candle, number(7)), vwap=when(volume, number(5)), twap=when(volume, number(6)),
+            sta_ts=F.when(candle, sta).when(volume, early), cnt=F.when(candle, hex_to_int(field(9))).when(volume, hex_to_int(field(8))), codes=codes, seq=F.col("seq"),
         )
     )
 
