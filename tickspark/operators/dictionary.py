@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.work import shared_folder
+
+
+def _numbered(symbols: DataFrame) -> DataFrame:
+    """(n, sym), n from 1 in the order of symbols: ranges are numbered in their tasks, and the driver adds up a count a task."""
+    at = f"{shared_folder(symbols.sparkSession, 'dictionary')}/symbols"
+    ranged = symbols.select("sym").repartitionByRange("sym").sortWithinPartitions("sym")
+    ranged.select(F.monotonically_increasing_id().alias("_id"), "sym").write.parquet(at)
+    rows = symbols.sparkSession.read.parquet(at)
+    task = F.shiftright("_id", 33)
+    total, starts = 0, []
+    for k, n in sorted((r["k"], r["count"]) for r in rows.groupBy(task.alias("k")).count().collect()):
+        starts.append((k, total))
+        total += n
+    first = symbols.sparkSession.createDataFrame(starts, "_task long, _first long")
+    place = F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(first), task == F.col("_task")).select(place.cast("int").alias("n"), "sym")
+
 
 def assign(ticks: DataFrame) -> DataFrame:
     """A fresh dictionary: distinct symbols, numbered in their order."""
-    return ticks.select("sym").where(F.col("sym").isNotNull()).distinct().select(F.row_number().over(Window.orderBy("sym")).alias("idx"), "sym")
+    return _numbered(ticks.select("sym").where(F.col("sym").isNotNull()).distinct()).withColumnRenamed("n", "idx")
 
 
 def lookup_symbol(ticks: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -25,7 +43,7 @@ def extend(dictionary: DataFrame, ticks: DataFrame) -> DataFrame:
     """The dictionary with the symbols of ticks that it lacks, numbered on from its end."""
     new = ticks.select("sym").where(F.col("sym").isNotNull()).distinct().join(dictionary, "sym", "left_anti")
     top = dictionary.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("top"))
-    numbered = new.select(F.row_number().over(Window.orderBy("sym")).alias("n"), "sym").join(F.broadcast(top))
+    numbered = _numbered(new).join(F.broadcast(top))
     return dictionary.select("idx", "sym").unionByName(numbered.select((F.col("top") + F.col("n")).alias("idx"), "sym"))
 
 

@@ -82,14 +82,17 @@ def snapshot_matrix(snapshots: DataFrame) -> DataFrame:
 
 
 def write_grouped(rows: DataFrame, path: str, mode: str = "errorifexists", kind: str = "side") -> None:
-    """A folder for each symbol and in it one for each kind: the layout of a grouped array file."""
-    rows.repartition("sym").sortWithinPartitions("sym", kind, "ts").write.mode(mode).partitionBy("sym", kind).parquet(path)
+    """A folder for each symbol and in it one for each kind: the layout of a grouped array file.
+
+    Tasks get ranges of (symbol, kind, stamp), so a symbol of any size is several files, one after the other in time.
+    """
+    rows.repartitionByRange("sym", kind, "ts").sortWithinPartitions("sym", kind, "ts").write.mode(mode).partitionBy("sym", kind).parquet(path)
 
 
 def write_ticks(ticks: DataFrame, path: str, append: bool = False, codec: str = "zstd", by: tuple[str, ...] = ()) -> None:
     """Native storage: Parquet in chronological order; by, for instance ("sym",) or ("bucket",), splits it into folders."""
     order = [c for c in ORDER if c in ticks.columns]
-    rows = ticks.repartition(*by) if by else ticks.repartitionByRange("ts")
+    rows = ticks.repartitionByRange(*by, "ts")
     writer = rows.sortWithinPartitions(*by, *order).write.mode("append" if append else "overwrite").option("compression", codec)
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
