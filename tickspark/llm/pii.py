@@ -4,8 +4,9 @@ The model is a bidirectional LSTM over character classes with CRF transitions,
 trained in numpy from labelled spans: stretches of a bounded sample of documents
 labelled by the base rules, and the same stretches with synthetic items in the
 looser forms people write.  Texts are read whole.  A span must hold a digit or
-an at-sign, so stretches around these are all that can hold one; they are tiled
-by overlapping windows, each window is decoded by Viterbi with posterior
+an at-sign (the last test before it counts asks for one), so stretches around
+these are all that can hold one.  They are tiled by overlapping windows, so that a
+span of up to 48 characters is whole in one of them; each window is decoded by Viterbi with posterior
 confidences, and the spans of all windows of a text are reconciled together:
 the more confident first, then the longer, none overlapping another or a base span.
 """
@@ -30,7 +31,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 
-WINDOW, STRIDE, MARGIN = 96, 48, 24
+WINDOW, STRIDE, MARGIN = 96, 24, 24
+#: A trigger gets the windows in which it stands neither here nor as near to the end.
+EDGE = 12
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and further characters of each kind
 CLASSES = 24
 
@@ -346,19 +349,13 @@ def training_windows(texts: list[str], synthetic: int = 1200, seed: int = 17) ->
 
 
 def _windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that tile the stretches around triggers."""
-    starts, until = [], -1
+    """Starts, multiples of STRIDE, of the windows around triggers: any 48 characters with one lie within such a window."""
+    out, after = [], 0
     for m in _TRIGGER.finditer(text):
-        p = m.start()
-        if p + MARGIN < until:
-            continue
-        a = max(0, p - WINDOW // 2) if not starts or p - WINDOW // 2 > starts[-1] + STRIDE else starts[-1] + STRIDE
-        while a + WINDOW <= p + MARGIN and a + STRIDE <= p:
-            starts.append(a)
-            a += STRIDE
-        starts.append(a)
-        until = a + WINDOW
-    return starts
+        first = max(0, -(-(m.start() - WINDOW + EDGE) // STRIDE), after)
+        after = max(after, max(0, (m.start() - EDGE) // STRIDE) + 1)
+        out += range(first, after)
+    return [STRIDE * k for k in out]
 
 
 def _plausible(kind: int, s: str) -> bool:

@@ -138,6 +138,12 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdicts of every row.
+
+    Null, empty and blank texts have zeros everywhere and fail for having few
+    words; repeated rows are measured each, and nothing depends on their order.  A
+    text is measured whole in one task.  An empty table gives an empty result.
+    """
     rows = ledger(read_table(spark, sf_dir, "documents"))
     rows = apply_policy(apply_policy(rows, PRODUCTION), BASE, "base_kept")
     return rows.select("doc_id", *MEASURES[:5], (~F.col("base_kept")).alias("base_failed"), "kept", "failed")

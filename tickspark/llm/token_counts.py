@@ -133,6 +133,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, sample_rows: int
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """Bytes and tokens of every row as the library gives them, and whether there are over 1,024 tokens.
+
+    Null and empty texts have none; special strings inside a text are single
+    tokens, the library's default; repeated rows are counted each.  A text is
+    encoded whole in one task, with some ten times its size of memory.  An empty
+    table gives an empty result.  There are no ties to settle.
+    """
     import public_tokenizers
 
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
