@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark import sinks, streaming
@@ -14,7 +14,7 @@ from tickspark.operators import snapshots as S
 from tickspark.plans.tick_queries import DAY, NARROW, OHLC, PAIRS_SQL, SNAP, TICKS_SQL, bucket, candle_cte, plain, snap_cte
 from tickspark.schema import tick_columns
 from tickspark.sinks import container as container_sink
-from tickspark.sources import TEXT, container
+from tickspark.sources import TEXT, binary, container, xml
 from tickspark.work import shared_folder
 
 QUERIES: dict = {}
@@ -236,3 +236,68 @@ def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", sec.cast("bigint").alias("sec"))
     rows = rows.withColumn("tai", times.to_tai(F.col("sec")).cast("bigint"))
     return rows.select("o_orderkey", "sec", "tai", times.to_gps(F.col("sec")).cast("bigint").alias("gps"), times.from_tai(F.col("tai")).cast("bigint").alias("back"), times.is_leap(F.col("tai")).alias("leap"))
+
+
+SIX = "translate(lpad(substr(sym, 2), 6, '0'), '0123456789', 'ABCDEFGHIJ')"
+
+
+def six_letters() -> Column:
+    """Symbols as the paths of binary feeds have them."""
+    return F.translate(F.lpad(F.substring("sym", 2, 9), 6, "0"), "0123456789", "ABCDEFGHIJ")
+
+
+def hour_path(hour: Column, kind: str) -> Column:
+    return F.concat_ws("/", six_letters(), F.date_format(hour, "yyyy"), F.lpad((F.month(hour) - 1).cast("string"), 2, "0"), F.date_format(hour, "dd"), F.concat(F.date_format(hour, "HH"), F.lit(f"h_{kind}.bi5")))
+
+
+def _quote_file(part):
+    import numpy as np
+    import pandas as pd
+
+    part = part.sort_values(["ms", "seq"])
+    records = np.zeros(len(part), binary.QUOTE)
+    for c in ("ms", "bid", "ask"):
+        records[c] = part[c]
+    records["bq"] = records["aq"] = part["millions"]
+    return pd.DataFrame({"path": part["path"].iloc[:1], "content": [records.tobytes()]})
+
+
+@query("source_dukas", f"WITH {PAIRS_SQL} SELECT {SIX} AS sym, {MS} AS ts, 1 AS ttf, CAST(bp AS DOUBLE) AS px, CAST(t.sz AS DOUBLE) AS sz FROM pairs JOIN (SELECT seq, sz FROM ticks) t USING (seq) UNION ALL SELECT {SIX}, {MS}, 2, CAST(ap AS DOUBLE), CAST(t.sz AS DOUBLE) FROM pairs JOIN (SELECT seq, sz FROM ticks) t USING (seq)")
+def _(spark, sf):
+    points = lambda c: (c * 100_000).cast("bigint")
+    hour = F.date_trunc("hour", "ts")
+    ms = ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(hour.cast("timestamp"))) / 1000).cast("bigint")
+    t = ticks(spark, sf)
+    rows = t.select(hour_path(hour, "ticks").alias("path"), ms.alias("ms"), points(F.col("px")).alias("bid"), points((F.col("px") + F.col("sz") / 100).cast("decimal(18,4)")).alias("ask"), (F.col("sz").cast("double") / 1_000_000).alias("millions"), "seq")
+    files = rows.groupBy("path").applyInPandas(_quote_file, "path string, content binary")
+    return binary.quotes(spark, files, every=True).select("sym", "ts", "ttf", "px", "sz")
+
+
+def _bar_file(batches):
+    import numpy as np
+    import pandas as pd
+
+    for part in batches:
+        records = np.zeros(len(part), binary.BAR)
+        for c in "oclh":
+            records[c] = part[c]
+        yield pd.DataFrame({"path": part["path"], "content": [r.tobytes() for r in records]})
+
+
+@query("source_dukas_bars", f"WITH {TICKS_SQL}, {candle_cte('k', 'ticks', DAY)} SELECT {SIX} AS sym, ts, sta_ts, CAST(o AS DOUBLE) AS o, CAST(h AS DOUBLE) AS h, CAST(l AS DOUBLE) AS l, CAST(c AS DOUBLE) AS c FROM k WHERE side = 1")
+def _(spark, sf):
+    k = C.candles(ticks(spark, sf), DAY, sides=(1,))
+    rows = k.select(hour_path(F.col("sta_ts"), "bars").alias("path"), *((F.col(c) * 100_000).cast("bigint").alias(c) for c in "ohlc"))
+    return binary.bars(spark, rows.mapInPandas(_bar_file, "path string, content binary")).select("sym", "ts", "sta_ts", "o", "h", "l", "c")
+
+
+@query("source_ibhist", f"WITH {TICKS_SQL}, {candle_cte('k', 'ticks', DAY)} SELECT sym, side, ts, sta_ts, CAST(o AS DOUBLE) AS o, CAST(h AS DOUBLE) AS h, CAST(l AS DOUBLE) AS l, CAST(c AS DOUBLE) AS c FROM k")
+def _(spark, sf):
+    k = C.candles(ticks(spark, sf), DAY)
+    side = F.element_at(F.array(F.lit("BID"), F.lit("ASK"), F.lit("TRADES")), F.col("side"))
+    second = F.floor(F.unix_micros(F.col("sta_ts").cast("timestamp")) / 1_000_000).cast("string")
+    attr = lambda n, c: F.concat(F.lit(f' {n}="'), c.cast("string"), F.lit('"'))
+    doc = F.concat(F.lit("<r><query"), attr("whatToShow", side), F.lit(' barSizeSetting="1 day"/><reqContract'), attr("symbol", F.col("sym")), F.lit("/><row"), attr("date", second), *(attr(n, F.col(n[0])) for n in ("open", "high", "low", "close")), F.lit("/></r>"))
+    at = f"{shared_folder(spark, 'history')}/docs"
+    k.select(doc.alias("value")).write.option("lineSep", "\f").text(at)
+    return xml.history(spark, at).select("sym", (F.col("ttf") - 16).alias("side"), "ts", "sta_ts", "o", "h", "l", "c")

@@ -69,11 +69,14 @@ def bar_rows(data: bytes, offset: int, multiplier: int = 1, magnifier: int = 100
     return np.stack([sec * 1e6, width, *(np.asarray(c, np.float64) for c in cols)])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(path, content) of files, or of a table that has them already."""
+    if isinstance(path, DataFrame):
+        return path.select("path", "content")
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def quotes(spark: SparkSession, path: str, name: str | None = None, refdate: int | None = None, every: bool = False, multiplier: int = 1, magnifier: int = 100_000) -> DataFrame:
+def quotes(spark: SparkSession, path: str | DataFrame, name: str | None = None, refdate: int | None = None, every: bool = False, multiplier: int = 1, magnifier: int = 100_000) -> DataFrame:
     """Bid and ask ticks of quote files; repeats of a side are dropped unless every.
 
     name and refdate (epoch second) come from the path where they aren't given.
@@ -94,7 +97,7 @@ def quotes(spark: SparkSession, path: str, name: str | None = None, refdate: int
     return rows.select(*tick_columns(sym=F.col("sym"), ts=F.col("ts"), msec=(F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1_000_000)) / 1000).cast("int"), ttf=F.col("ttf"), px=F.col("px"), sz=F.col("sz"), seq=F.col("seq")))
 
 
-def bars(spark: SparkSession, path: str, flavour: str = "b", name: str | None = None, refdate: int | None = None, multiplier: int = 1, magnifier: int = 100_000) -> DataFrame:
+def bars(spark: SparkSession, path: str | DataFrame, flavour: str = "b", name: str | None = None, refdate: int | None = None, multiplier: int = 1, magnifier: int = 100_000) -> DataFrame:
     """Candles of bar files, of bids (flavour b) or asks (a), stamped at their end."""
     import pandas as pd
 
