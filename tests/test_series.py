@@ -104,3 +104,11 @@ def test_time_scales_over_each_leap_second(spark):
     rows = spark.createDataFrame(tai, "t long").select("t", times.from_tai(F.col("t")).alias("u"), times.is_leap(F.col("t")).alias("leap")).collect()
     for k, s in enumerate(times.LEAP_SECONDS):
         assert [(r["u"], r["leap"]) for r in rows[3 * k : 3 * k + 3]] == [(s - 1, False), (s - 1, True), (s, False)]
+
+
+def test_patterns_of_stamps(spark):
+    cases = [("2024-3-05", "%Y-%m-%d", dt.datetime(2024, 3, 5)), ("5-03-2024", "%d-%m-%Y", dt.datetime(2024, 3, 5)), ("2024-03-05 at 7:08:09", "%Y-%m-%d at %H:%M:%S", dt.datetime(2024, 3, 5, 7, 8, 9)), ("2024-13-05", "%Y-%m-%d", None), ("x", "%Y", None), (None, "%Y-%m-%d", None)]
+    for text, pattern, want in cases:
+        assert spark.createDataFrame([(text,)], "s string").select(times.parse_as(F.col("s"), pattern)).first()[0] == want
+    with pytest.raises(ValueError, match="pattern"):
+        times.parse_as(F.lit("x"), "%q")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,28 @@ def parse_compact(s: Column) -> Column:
     return F.try_to_timestamp(s, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
+def parse_as(s: Column, pattern: str) -> Column:
+    """By a pattern of ``%Y %m %d %H %M %S`` and other characters, one or two digits each but for the year; null where it doesn't fit."""
+    letters = {"Y": "yyyy", "m": "M", "d": "d", "H": "H", "M": "m", "S": "s"}
+    out = ""
+    for k, part in enumerate(pattern.split("%")):
+        if k and part[:1] not in letters:
+            raise ValueError(f"pattern {pattern!r}")
+        rest = part[1:] if k else part
+        out += (letters[part[0]] if k else "") + (f"'{rest}'" if re.search("[A-Za-z]", rest) else rest)
+    return F.try_to_timestamp(s, F.lit(out)).cast("timestamp_ntz")
+
+
+def is_leap_year(ts: Column) -> Column:
+    year = F.year(ts)
+    return ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+
+
+def day_of_year(ts: Column) -> Column:
+    """1 to 366."""
+    return F.dayofyear(ts)
+
+
 def show_iso(ts: Column, sep: str = "T") -> Column:
     return F.concat(F.date_format(ts, f"yyyy-MM-dd'{sep}'HH:mm:ss.SSS"), F.lit("+00:00"))
 

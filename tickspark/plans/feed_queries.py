@@ -301,3 +301,10 @@ def _(spark, sf):
     at = f"{shared_folder(spark, 'history')}/docs"
     k.select(doc.alias("value")).write.option("lineSep", "\f").text(at)
     return xml.history(spark, at).select("sym", (F.col("ttf") - 16).alias("side"), "ts", "sta_ts", "o", "h", "l", "c")
+
+
+@query("calendar", "SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS yday, dayofyear(make_date(year(o_orderdate), 12, 31)) = 366 AS leap, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey % 86400) AS ts FROM orders")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet")
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey") % 86_400)
+    return rows.select("o_orderkey", times.day_of_year(F.col("o_orderdate")).alias("yday"), times.is_leap_year(F.col("o_orderdate")).alias("leap"), times.parse_as(F.date_format(at, "d-M-yyyy H:m:s"), "%d-%m-%Y %H:%M:%S").alias("ts"))
