@@ -21,3 +21,19 @@ def test_commands(spark, tmp_path):
     assert spark.read.parquet(at("x")).count() == 2
     assert spark.read.text(at("p")).count() == 6
     assert [r["sym"] for r in spark.read.parquet(at("symbols")).orderBy("idx").collect()] == ["A", "B"]
+
+
+def test_containers(spark, tmp_path):
+    from tickspark.sources import cells, container
+
+    (tmp_path / "in.txt").write_text("\n".join(LINES))
+    at = lambda n: str(tmp_path / n)
+    assert main(["mux", at("in.txt"), "-o", at("folder"), "--as", "container"], spark) == 0
+    assert main(["mux", "-f", "container", at("folder"), "-o", at("big"), "--as", "file", "--order", "big", "--packed"], spark) == 0
+    header, _ = container.header_of(at("big"))
+    assert header.order == ">" and header.flags & cells.PACKED
+    assert main(["mux", "-f", "container", at("big"), "-o", at("plain"), "--as", "file"], spark) == 0
+    assert main(["mux", "-f", "container", at("plain"), "-o", at("t")], spark) == 0
+    assert sorted((r["sym"], r["ttf"], float(r["px"])) for r in spark.read.parquet(at("t")).collect()) == [("A", 1, 10.0), ("A", 2, 11.0), ("B", 3, 7.0)]
+    assert main(["mux", at("in.txt"), "--into", at("folder"), "--as", "container"], spark) == 0
+    assert container.container(spark, at("folder")).count() == 6

@@ -1,4 +1,8 @@
-"""Command line: ``python -m tickspark COMMAND IN... -o OUT``; tick tables are Parquet folders."""
+"""Command line: ``python -m tickspark COMMAND IN... -o OUT``; tick tables are Parquet folders.
+
+``mux``, ``slab`` and ``sort`` also write containers, so ``mux -f container`` turns
+one into another byte order, the present layout, or packed and plain pages.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,11 @@ from pyspark.sql import functions as F
 
 from tickspark import sinks, sources
 from tickspark.operators import candles, dictionary, filters, info, sets, shape, snapshots, validate
+from tickspark.sinks import container
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tickspark", description=__doc__)
+    p = argparse.ArgumentParser(prog="tickspark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *, interval: int | None = None) -> argparse.ArgumentParser:
@@ -22,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
         where = c.add_mutually_exclusive_group()
         where.add_argument("-o", "--output", help="write here, in place of what is there")
         where.add_argument("--into", help="append to this")
+        if name in ("mux", "slab", "sort"):
+            c.add_argument("--as", dest="kind", choices=("parquet", "container", "file"), default="parquet", help="a folder of Parquet or of containers, or one container file")
+            c.add_argument("--order", choices=("little", "big"), default="little", help="byte order of containers")
+            c.add_argument("--packed", action="store_true", help="pack pages of containers")
         if interval is not None:
             c.add_argument("-i", "--interval", type=int, default=interval, help="seconds")
             c.add_argument("-m", "--modulus", type=int, default=0, help="offset of intervals in seconds")
@@ -92,7 +101,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         mode = "overwrite" if a.output else "append"
         by = {"sym": ["sym"], "interval": ["bucket"]}.get(getattr(a, "explode", None) or "", [])
-        if a.command == "print" and out.columns == ["value"]:
+        kind = getattr(a, "kind", "parquet")
+        if kind == "container":
+            container.write_container(out, to, append=a.into is not None, order=a.order, packed=a.packed)
+        elif kind == "file":
+            container.write_single(out, to, order=a.order, packed=a.packed)
+        elif a.command == "print" and out.columns == ["value"]:
             out.write.mode(mode).text(to)
         else:
             writer = out.write.mode(mode)
