@@ -67,3 +67,17 @@ def clashing(docs):
     for name in ("key", "row", "size", "rep", "g", "shard", "slot", "lang_pred", "_g", "bucket", "words", "score", "accepted", "_held", "uid", "node", "n", "k1", "digest"):
         out = out.withColumn(name, F.lit("x"))
     return out
+
+
+@pytest.fixture(scope="session")
+def tagger(docs):
+    from tickspark.llm import pii
+
+    return pii.fit(docs)
+
+
+@pytest.fixture(scope="session")
+def languages(docs):
+    from tickspark.llm import language_id
+
+    return language_id.fit(docs)

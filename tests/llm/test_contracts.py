@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from tickspark.llm import language_id, pii, quality, sharding, suffix_dedup, token_counts
 
@@ -42,11 +41,6 @@ def personal(seed):
     return "".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 12)))
 
 
-@pytest.fixture(scope="module")
-def tagger(docs):
-    return pii.fit(docs)
-
-
 def test_base_columns_of_whole_documents(spark, docs, rows, tagger):
     texts = [*[r[1] for r in rows], *map(personal, range(400)), "pad " * 30_000 + "mail q@w.er and 10.0.0.1 " + "x " * 450_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -81,8 +75,8 @@ def test_no_span_is_cut_by_its_windows():
         assert whole and (inside or n > 46), (before, n, at, starts)
 
 
-def test_folded_scores_are_those_of_the_embeddings(docs):
-    model = language_id.fit(docs)
+def test_folded_scores_are_those_of_the_embeddings(languages):
+    model = languages
     rng = random.Random(1)
     texts = ["the of und die", "Ä", "über " * 50, "日本語 text", *("".join(rng.choice("abcdeäöü \n.") for _ in range(rng.randint(1, 200))) for _ in range(50))]
     texts = [t for t in texts if language_id.has_letter(t)]

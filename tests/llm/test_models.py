@@ -8,8 +8,8 @@ import pytest
 from tickspark.llm import decontaminate, language_id, pii, quality, token_counts
 
 
-def test_language_id(docs, rows, empty, clashing):
-    model = language_id.fit(docs)
+def test_language_id(docs, rows, empty, clashing, languages):
+    model = languages
     out = language_id.identify(clashing, model)
     assert set(clashing.columns) | {"score", "accepted"} == set(out.columns)
     got = {r["doc_id"]: r for r in out.collect()}
@@ -66,8 +66,8 @@ def test_pii_gradients():
             assert (losses[0] - losses[1]) / 2e-3 == pytest.approx(g[k][at], abs=1e-4)
 
 
-def test_pii_model(docs, rows, empty):
-    model = pii.fit(docs)
+def test_pii_model(docs, rows, empty, tagger):
+    model = tagger
     rng = np.random.default_rng(5)
     hit = total = false = 0
     for _ in range(150):
