@@ -228,3 +228,59 @@ def test_clashing_columns_change_nothing(docs, clashing):
 
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
+
+
+def test_shingle_comparison_is_exact_in_any_alphabet():
+    """Numbers of 12 bits a character, and sets where characters are too many, give the links of plain sets."""
+    rng = random.Random(4)
+    kinds = ("abcdef", "aéß日本語😀", [chr(c) for c in range(0x4E00, 0x4E00 + 9000)])
+    for letters in kinds:
+        lines = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 400))) for _ in range(40)]
+        lines += [x[: len(x) // 2] + rng.choice(letters) + x[len(x) // 2 + 1 :] for x in lines] + [x + x for x in lines]
+        sets = line_dedup.shingle_sets(lines)
+        plain = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+        assert [len(x) for x in sets] == [len(x) for x in plain]
+        pairs = [(i, j) for i in range(120) for j in range(i)]
+        assert [line_dedup.similar(sets[i], sets[j], 4, 5) for i, j in pairs] == [jaccard(plain[i], plain[j]) for i, j in pairs]
+
+
+def test_exact_comparisons_need_no_strings():
+    """The cost of op5: a pair's shingles are numbers, and a signature takes 32-bit hashes (before, sets of strings and 64 bits)."""
+    assert all(isinstance(x, np.ndarray) for x in line_dedup.shingle_sets(["Größe und Maß der Zeile", "ещё одна строка", "and one more"]))
+    assert line_dedup.signatures(["a line of text", "another line of text"]).dtype == np.uint32
+
+
+def test_similar_lines_share_a_band():
+    """Of pairs of similarity 0.80 to 0.83 at most 1 in 100 shares no band, and all agree in enough slots."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    a, b = [], []
+    while len(a) < 1500:
+        words = [word() for _ in range(rng.choice((12, 30, 80, 250)))]
+        other = list(words)
+        for k in rng.sample(range(len(words)), max(1, len(words) // rng.randint(10, 25))):
+            other[k] = word()
+        x, y = " ".join(words), " ".join(other)
+        one, two = line_dedup.grams(x), line_dedup.grams(y)
+        if 0.8 <= len(one & two) / len(one | two) <= 0.83:
+            a.append(x)
+            b.append(y)
+    (low_a, bands_a), (low_b, bands_b) = line_dedup.sketches(a), line_dedup.sketches(b)
+    assert (bands_a == bands_b).any(1).mean() > 0.99
+    assert (low_a == low_b).mean(1).min() >= line_dedup.PLAUSIBLE
+
+
+def test_lines_joined_by_a_chain_of_buckets(spark):
+    """A line that links two families which centres leave apart, copies of all of them, and the first line stays."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    lines = []
+    for k in range(24):
+        words[(k * 7) % 60] = "".join(rng.choice("klmnopqrst") for _ in range(6))
+        lines.append(" ".join(words))
+    gram = lambda b: frozenset(b[i : i + 5] for i in range(len(b) - 4))
+    root = groups([gram(x) for x in lines], jaccard)
+    docs = [(i, lines[i % 24]) for i in range(48)] + [(5, lines[5])]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    first = {g: i for i, g in reversed(list(enumerate(root)))}
+    assert got == {i: int(i not in first.values()) for i in range(48)}

@@ -9,7 +9,7 @@ their exact Jaccard similarity, and of each connected component of verified link
 one line stays: the one that comes first by document and line number.
 
 Which bands are shared is found as in the n-gram join: a task packs the bands of
-a megabyte of lines by hash range, a band held by many of these lines being one
+some megabytes of lines by hash range, a band held by many of these lines being one
 entry, and hears which of them others hold too.  Equal lines are one node.  The
 members of a bucket are compared with a centre, which joins families of copies at
 one comparison a line.  Every pair of a bucket that still stands in two components
@@ -22,6 +22,8 @@ compared, and only pairs that agree in less than PLAUSIBLE of all slots go.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,44 +34,55 @@ from tickspark.llm.common import Scratch, bucket_slices, identity, mix64, read_t
 from tickspark.llm.components import components
 from tickspark.llm.ngram_join import KEY_BITS, _pack, _rank, _unpack, free_shuffles
 
+#: Shingles are of CHARS characters; _hashes is written for five.
 CHARS, ROWS, BANDS = 5, 8, 30
 SLOTS = ROWS * BANDS
-PIECE_BYTES, PIECE_LINES = 1_500_000, 16_384
+WHITE = " \t\n\x0b\x0c\r"
+PIECE_BYTES, PIECE_LINES = 4_000_000, 16_384
 BUCKET_ENTRIES = 2_000_000
 #: Members of a bucket that one task compares with each other, or with as many others.
 BLOCK = 4096
-#: Share of equal slots; of 8,000 pairs of similarity 0.80 to 0.83, of lines of 20 to 5,000 characters, the least share was 0.717.
+#: Pairs whose lines are compared exactly at a time.
+PAIRS = 256
+#: Share of equal slots; of 8,000 pairs of similarity 0.80 to 0.83, of lines of 73 to 1,499 characters on average, the least share was 0.700.
 PLAUSIBLE = 0.7
 
-_NONE = np.iinfo(np.uint64).max
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.uint32).max
+_STEP, _STEP_2 = np.uint32(0x9E3779B1), np.uint32(0x9E3779B1**2 % 2**32)
 #: For each slot a random order of all others, from which it borrows while it is empty.
 LENDERS = np.stack([np.random.default_rng(977 + s).permutation(SLOTS) for s in range(SLOTS)], 1)
-
-
-def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hash, line) of all lines, repeated shingles included."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(x) for x in lines])
-    n = code.size - CHARS + 1
-    line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)[:n]
-    inside = np.ones(code.size, bool)
-    for k in range(1, CHARS):
-        inside[np.cumsum(sizes) - k] = False
-    inside = inside[:n]
-    h = code[:n].copy()
-    for k in range(1, CHARS):
-        h *= _STEP
-        h += code[k : k + n]
-    return mix64(h[inside]), line[inside]
+_BAND = np.random.default_rng(4177).integers(0, 1 << 63, ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def _hashes(code: np.ndarray) -> np.ndarray:
+    """Mixed 32-bit hash of the shingle that starts at each character but the last CHARS - 1."""
+    two = code[:-1] * _STEP
+    two += code[1:]
+    h = two[:-3] * _STEP_2
+    h += two[2:-1]
+    h *= _STEP
+    h += code[CHARS - 1 :]
+    t = h >> np.uint32(16)
+    h ^= t
+    for factor, shift in ((np.uint32(0x7FEB352D), np.uint32(15)), (np.uint32(0x846CA68B), np.uint32(16))):
+        h *= factor
+        np.right_shift(h, shift, out=t)
+        h ^= t
+    return h
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, SLOTS) slot minima of lines of at least CHARS characters."""
-    h, line = _hashes(lines)
-    slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int32)
-    out = np.full(len(lines) * SLOTS, _NONE, np.uint64)
-    np.minimum.at(out, line * SLOTS + slot, h)
+    sizes = np.array([len(x) for x in lines])
+    h = _hashes(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32))
+    # The top half of a hash decides the slot; shingles across two lines go to a place that is cut off.
+    at = np.repeat(np.arange(len(lines)) * SLOTS, sizes)[: h.size]
+    at += (h >> np.uint32(16)) * np.uint32(SLOTS) >> np.uint32(16)
+    for k in range(1, CHARS):
+        at[np.cumsum(sizes)[:-1] - k] = len(lines) * SLOTS
+    out = np.full(len(lines) * SLOTS + 1, _NONE, np.uint32)
+    np.minimum.at(out, at, h)
+    out = out[:-1]
     # Each empty slot borrows from the first full one of a list of its own, so that the rows of a band stay independent.
     gap = np.flatnonzero(out == _NONE)
     slot = gap % SLOTS
@@ -88,11 +101,10 @@ def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """((lines, SLOTS) low bytes of the signatures, (lines, BANDS) hashes of KEY_BITS bits of the bands)."""
     low, out = np.zeros((len(lines), SLOTS), np.uint8), np.zeros((len(lines), BANDS), np.uint64)
     for a in range(0, len(lines), 512):
-        sig, part = signatures(lines[a : a + 512]), out[a : a + 512]
+        sig = signatures(lines[a : a + 512])
         low[a : a + 512] = sig
-        s = sig.reshape(-1, BANDS, ROWS)
-        for r in range(ROWS):
-            part[:] = mix64(part * _STEP + s[:, :, r])
+        out[a : a + 512] = sig.reshape(-1, BANDS, ROWS).astype(np.uint64) @ _BAND
+    out = mix64(out)
     out ^= np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0xC2B2AE3D27D4EB4F)
     return low, mix64(out) & np.uint64((1 << KEY_BITS) - 1)
 
@@ -128,7 +140,7 @@ def _deal(bits: int):
             if not no.size:
                 continue
             key = sketches([lines[i] for i in no])[1].ravel()
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, no = key[order], np.repeat(no, BANDS)[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             times = np.diff(np.append(at, key.size)).astype(np.uint16)
@@ -150,13 +162,14 @@ def _count(table):
     own = [r for r in rows if not r["piece"]]
     if own:
         keys = [_unpack(r["a"]) for r in own]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        times, tag = (np.concatenate([np.frombuffer(r[c], kind) for r in own]) for c, kind in (("b", np.uint8), ("c", np.uint16)))
-        low, high = np.full(distinct.size, 65535, np.uint16), np.zeros(distinct.size, np.uint16)
-        np.minimum.at(low, inverse, tag)
-        np.maximum.at(high, inverse, tag)
-        several = (low != high) | (np.bincount(inverse, times > 1) > 0)
-        total = np.where(several, _rank(np.bincount(inverse, times)), 0).astype(np.uint8)[inverse]
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times, tag = (np.concatenate([np.frombuffer(r[c], kind) for r in own])[order] for c, kind in (("b", np.uint8), ("c", np.uint16)))
+        several = (np.minimum.reduceat(tag, start) != np.maximum.reduceat(tag, start)) | (np.maximum.reduceat(times, start) > 1)
+        total = np.empty(key.size, np.uint8)
+        total[order] = np.repeat(np.where(several, _rank(np.add.reduceat(times, start, dtype=np.int64)), 0).astype(np.uint8), np.diff(np.append(start, key.size)))
         at = 0
         for r, k in zip(own, keys, strict=True):
             n = total[at : at + k.size]
@@ -169,7 +182,7 @@ def _found(bits: int):
     low_bits = np.uint64(KEY_BITS - bits)
 
     def run(table):
-        """One piece: the shared bands of its lines, with a byte that grows with the number of their holders."""
+        """One piece: the shared bands of its lines, the line's weight, which grows with the number of holders of them all, and whether the row is the line's first."""
         import pyarrow as pa
 
         rows = table.to_pylist()
@@ -180,7 +193,11 @@ def _found(bits: int):
         no, times = np.frombuffer(piece["a"], np.uint16), np.frombuffer(piece["b"], np.uint16)
         shared = size > 0
         held = times[shared]
-        return pa.table({"key": pa.array(np.repeat(key, held).astype(np.int64)), "row": pa.array(piece["uid"] + no[np.repeat(shared, times)].astype(np.int64)), "n": pa.array(np.repeat(size[shared], held).astype(np.int32))})
+        line = no[np.repeat(shared, times)].astype(np.int64)
+        weight = np.bincount(line, np.repeat(size[shared], held)).astype(np.int64)[line]
+        first = np.zeros(line.size, bool)
+        first[np.unique(line, return_index=True)[1]] = True
+        return pa.table({"key": pa.array(np.repeat(key, held).astype(np.int64)), "row": pa.array(piece["uid"] + line), "weight": pa.array(weight), "first": pa.array(first)})
 
     return run
 
@@ -189,9 +206,48 @@ def grams(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(len(line) - CHARS + 1)} or {line}
 
 
-def similar(a: set[str], b: set[str], num: int, den: int) -> bool:
+def shingle_sets(lines: list[str]) -> list:
+    """The distinct shingles of each line: sorted numbers of 12 bits a character where all lines together have characters few enough, else sets of strings."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if code.size and code.max() >= 4096:
+        seen = np.zeros(int(code.max()) + 1, bool)
+        seen[code] = True
+        code = (np.cumsum(seen, dtype=np.uint32) - np.uint32(1))[code]
+    if not code.size or code.max() >= 4096 or min(map(len, lines)) < CHARS:
+        return [grams(x) for x in lines]
+    code = code.astype(np.uint64)
+    packed = code[: code.size - CHARS + 1].copy()
+    for k in range(1, CHARS):
+        packed <<= np.uint64(12)
+        packed |= code[k : code.size - CHARS + 1 + k]
+    out, at = [], 0
+    for x in lines:
+        own = np.sort(packed[at : at + len(x) - CHARS + 1])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        at += len(x)
+    return out
+
+
+def similar(a, b, num: int, den: int) -> bool:
+    """a, b: of shingle_sets, of one call."""
     small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-    return den * small >= num * large and (num + den) * len(a & b) >= num * (small + large)
+    if den * small < num * large:
+        return False
+    if isinstance(a, set):
+        common = len(a & b)
+    else:
+        both = np.concatenate((a, b))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return (num + den) * common >= num * (small + large)
+
+
+def _chunks(pairs: list, line_of):
+    """(pairs, dict from each of their ends to its shingles) for runs of pairs; line_of(end) is the line."""
+    for k in range(0, len(pairs), PAIRS):
+        part = pairs[k : k + PAIRS]
+        ends = list({x: None for p in part for x in p})
+        yield part, dict(zip(ends, shingle_sets([line_of(x) for x in ends]), strict=True))
 
 
 def _signed(batches):
@@ -218,11 +274,8 @@ def _verify(num: int, den: int):
                 continue
             keep = (_slots(batch.column("sa")) == _slots(batch.column("sb"))).sum(1) >= PLAUSIBLE * SLOTS
             batch = batch.filter(pa.array(keep))
-            linked, last, b = [], None, set()
-            for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
-                if y != last:
-                    last, b = y, grams(y)
-                linked.append(similar(grams(x), b, num, den))
+            pairs = list(zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True))
+            linked = [similar(sets[x], sets[y], num, den) for part, sets in _chunks(pairs, str) for x, y in part]
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
 
@@ -230,13 +283,13 @@ def _verify(num: int, den: int):
 
 
 def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
-    """Links within groups (key, i, j) that lie together; what already stands in one component isn't compared.
+    """Links between components, of lines within groups (key, i, j) that lie together; what already stands in one isn't compared.
 
     Rows are compared with those d places further on, for growing d, as long as
     both are of one group; of two blocks only rows of different blocks meet.  A
     pair of several buckets is compared in that of its first band.
     """
-    key, i, j, block, node, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "comp"))
+    key, i, j, block, comp = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "comp"))
     group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
     sig, line = _slots(table.column("sig")), table.column("line")
     bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(-1, BANDS)
@@ -254,25 +307,22 @@ def _block_links(table, num: int, den: int) -> list[tuple[int, int]]:
         first.append(x)
         second.append(x + d)
     parent: dict[int, int] = {}
-    sets: dict[int, set] = {}
 
     def find(x):
         while parent.get(x, x) != x:
             x = parent[x]
         return x
 
-    def of(x):
-        n = int(node[x])
-        if n not in sets:
-            sets[n] = grams(line[x].as_py())
-        return sets[n]
-
     out = []
-    for x, y in zip(np.concatenate(first).tolist() if first else [], np.concatenate(second).tolist() if second else [], strict=True):
-        a, b = find(int(comp[x])), find(int(comp[y]))
-        if a != b and similar(of(x), of(y), num, den):
-            parent[max(a, b)] = min(a, b)
-            out.append((int(node[x]), int(node[y])))
+    pairs = np.stack([np.concatenate(x) if x else at for x in (first, second)], 1)
+    for k in range(0, len(pairs), PAIRS):
+        open_ = [(x, y) for x, y in pairs[k : k + PAIRS].tolist() if find(int(comp[x])) != find(int(comp[y]))]
+        for part, sets in _chunks(open_, lambda x: line[x].as_py()):
+            for x, y in part:
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a != b and similar(sets[x], sets[y], num, den):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(comp[x]), int(comp[y])))
     return out
 
 
@@ -308,14 +358,16 @@ def split_lines(docs: DataFrame) -> DataFrame:
     # The identity is that of the row: taken before the lines are dealt out, so that each text is hashed and split once; outer, as then no filter repeats the split, and no text is without a line.
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", *identity(), F.split("text", "\n").alias("lines"))
     rows = rows.select("doc_id", "k1", "k2", F.posexplode_outer("lines").alias("no", "line"))
-    return rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
+    # Trimming a set of characters walks over the whole line, so only lines that need it are trimmed.
+    ends = reduce(or_, (f(F.col("line"), F.lit(c)) for c in WHITE for f in (F.startswith, F.endswith)))
+    return rows.withColumn("line", F.when(ends, F.btrim("line", F.lit(WHITE))).otherwise(F.col("line"))).where("line <> ''")
 
 
 def shared_bands(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, row, n): the bands that a line shares with others, for the first of equal lines of a piece."""
-    bits = max(8, int(lines.count() * BANDS // BUCKET_ENTRIES).bit_length())
+    """(key, row, weight, first): the bands that a line shares with other ones, for the first of equal lines of a piece."""
+    bits = max(7, int(lines.count() * BANDS // BUCKET_ENTRIES).bit_length())
     packed = lines.select("row", "digest", "line").mapInArrow(_deal(bits), _ROW)
-    return scratch.save(packed.groupBy("bucket").applyInArrow(_count, _ROW).groupBy("uid").applyInArrow(_found(bits), "key long, row long, n int"), "found")
+    return scratch.save(packed.groupBy("bucket").applyInArrow(_count, _ROW).groupBy("uid").applyInArrow(_found(bits), "key long, row long, weight long, first boolean"), "found")
 
 
 def line_links(lines: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -323,20 +375,17 @@ def line_links(lines: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[
     spark = lines.sparkSession
     found = shared_bands(lines, scratch)
     free_shuffles(spark)
-    # Equal lines of several pieces are one node.
-    same = lines.select("row", "digest").join(found.select("row").distinct(), "row")
+    # Equal lines of several pieces are one node; as they have the same bands, its own row stands for all.
+    same = lines.select("row", "digest").join(found.where("first").select("row").hint("shuffle_hash"), "row")
     nodes = scratch.save(same.withColumn("node", F.min("row").over(_by("digest"))), "nodes")
-    buckets = found.join(nodes.select("row", "node"), "row").groupBy("key", "node").agg(F.max("n").alias("n"))
-    buckets = scratch.save(buckets, "all")
-    lists = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    buckets = scratch.save(buckets.join(lists, "key"), "buckets")
-    # The original of a family meets most others: it makes the best centre.
-    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    text = lines.select(F.col("row").alias("node"), "line").join(weights, "node").select("node", "weight", "line")
-    text = scratch.save(text.mapInArrow(_signed, "node long, weight long, line string, sig binary, bands binary"), "text")
-    buckets = scratch.save(buckets.select("key", "node").join(text.select("node", "weight"), "node"), "weighted")
+    own = nodes.where("row = node").select("node")
+    buckets = scratch.save(found.select("key", F.col("row").alias("node"), "weight").join(own.hint("shuffle_hash"), "node"), "buckets")
+    text = lines.select(F.col("row").alias("node"), "line").join(own.hint("shuffle_hash"), "node").select("node", "line")
+    text = scratch.save(text.mapInArrow(_signed, "node long, line string, sig binary, bands binary"), "text")
     free_shuffles(spark)
-    centre = buckets.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("c")).select("key", F.col("c.node").alias("b"))
+    # The original of a family meets most others: it makes the best centre.  Of equal weights all buckets prefer the same line, which spares pairs.
+    weight = F.col("weight") * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))
+    centre = buckets.groupBy("key").agg(F.max_by("node", weight).alias("b"))
     pairs = buckets.join(centre, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     side = lambda x: text.select(F.col("node").alias(x), F.col("line").alias(f"l{x}"), F.col("sig").alias(f"s{x}"))
     edges = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb", "sa", "sb")
@@ -350,8 +399,11 @@ def line_links(lines: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[
     rows = rows.select("key", "node", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
     rows = rows.join(text.select("node", "line", "sig", "bands"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = scratch.save(rows.mapInArrow(_blocks(num, den), "u long, v long"), "links")
-    labels = scratch.save(components(edges.union(more), scratch), "labels")
+    # The further links join components, and only those that they name are labelled anew.
+    more = components(scratch.save(rows.mapInArrow(_blocks(num, den), "u long, v long"), "links"), scratch)
+    more = scratch.save(more, "joined")
+    known = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("under")), "component", "left").select("node", F.coalesce("under", "component").alias("component"))
+    labels = scratch.save(known.union(more.join(labels, "node", "left_anti")), "labels")
     return nodes.where("row = node").select("node", "digest"), labels
 
 
@@ -369,14 +421,16 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     lines = scratch.save(lines, "lines")
     nodes, labels = line_links(lines.select("row", "digest", "line"), scratch, num, den)
     linked = nodes.join(labels, "node").select("digest", "component")
-    first = F.min(F.struct("doc_id", "no", "k1", "k2"))
-    distinct = lines.groupBy("digest").agg(first.alias("first"), F.count("*").alias("times")).join(linked, "digest", "left")
-    distinct = scratch.save(distinct.where("times > 1 or component is not null"), "distinct")
-    kept = distinct.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
-    going = distinct.where("component is null").select("digest", F.col("first").alias("kept")).union(distinct.join(kept, "component").select("digest", "kept"))
-    going = scratch.save(going.select("digest", F.col("kept.no").alias("s_no"), F.col("kept.k1").alias("s_k1"), F.col("kept.k2").alias("s_k2")), "going")
+    # Lines that are neither equal nor linked to others leave before the order of lines is looked at.
+    several = lines.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
+    marked = several.join(linked.hint("shuffle_hash"), "digest", "full").select("digest", "component")
+    group = F.coalesce(F.col("component").cast("string").cast("binary"), "digest").alias("family")
+    copies = lines.select("digest", "doc_id", "no", "k1", "k2").join(marked.hint("shuffle_hash"), "digest").select(group, "doc_id", "no", "k1", "k2")
+    copies = scratch.save(copies, "copies")
+    kept = copies.groupBy("family").agg(F.min(F.struct("doc_id", "no", "k1", "k2")).alias("kept"))
+    kept = scratch.save(kept.select("family", F.col("kept.no").alias("s_no"), F.col("kept.k1").alias("s_k1"), F.col("kept.k2").alias("s_k2")), "kept")
     free_shuffles(spark)
-    return lines.select("digest", "k1", "k2", "no").join(going, "digest").where("no <> s_no or k1 <> s_k1 or k2 <> s_k2").select("k1", "k2", "no")
+    return copies.join(kept.hint("shuffle_hash"), "family").where("no <> s_no or k1 <> s_k1 or k2 <> s_k2").select("k1", "k2", "no")
 
 
 def _drop(names):
@@ -414,7 +468,7 @@ def drop_repeated_lines(docs: DataFrame, keep_text: bool = True, num: int = 4, d
     names = ["doc_id", "n_lines", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])]
     kinds = [T.LongType(), T.LongType(), T.StringType(), T.StringType()]
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False))])
-    keyed = docs.select("doc_id", "text", *identity()).join(gone, ["k1", "k2"], "left")
+    keyed = docs.select("doc_id", "text", *identity()).join(gone.hint("shuffle_hash"), ["k1", "k2"], "left")
     return keyed.select("doc_id", "text", "gone").mapInArrow(_drop(names), schema)
 
 
