@@ -45,6 +45,52 @@ def test_suffix_dedup_of_periodic_and_repeated_text(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def words_shared(rows, length):
+    """Words of each row in sequences of length words that a row with another doc_id or text has too."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
+    where = defaultdict(set)
+    for r, w in zip(rows, words, strict=True):
+        for i in range(len(w) - length + 1):
+            where[tuple(w[i : i + length])].add(r[:2])
+    out = []
+    for w in words:
+        at = {j for i in range(len(w) - length + 1) if len(where[tuple(w[i : i + length])]) > 1 for j in range(i, i + length)}
+        out.append(len(at))
+    return out
+
+
+@pytest.mark.parametrize("length", [5, 51])
+def test_words_shared_with_other_documents(spark, rows, length):
+    rng = random.Random(length)
+    plain = [tuple(r[:2]) for r in rows]
+    # Few different words: windows meet within documents, within and between stretches of one name, and in repeated rows.
+    plain += [(100 + i, " ".join(rng.choice("abc") * (1 + (rng.random() < 0.1)) for _ in range(rng.randint(1, 60)))) for i in range(40)]
+    plain += [(200 + i, ("a " * 55 + "b ") * rng.randint(1, 3) + f"c{i % 4} ") for i in range(8)] + [(300, "x y " * 90), (301, "q w e r t " * 40), (301, "q w e r t " * 40)]
+    # A stretch twice in one document, of which another document has a part.
+    for i in range(400, 440, 2):
+        part = [str(rng.random()) for _ in range(110)]
+        plain += [(i, " ".join([*part, f"u{i}", *part])), (i + 1, " ".join([f"v{i}", *part[20:75], f"w{i}"]))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(plain, "doc_id long, text string").repartition(5), passage_words=length)
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = words_shared(plain, length)
+    assert sum(n > 0 for n in want) > 10
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_shared_words"]) for r in got.collect()) == sorted((d, len((t or "").encode()), n) for (d, t), n in zip(plain, want, strict=True))
+
+
+def test_query_finds_short_passages_of_over_50_words(spark, tmp_path):
+    rng = random.Random(8)
+    unique = lambda n, size=9: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+    passage, short, own = unique(51, 5), unique(50), unique(60)
+    assert len(passage.split()) == 51 and len(passage) < 400
+    texts = [f"{unique(90)} {passage} {unique(80)}", f"{unique(10)} {passage}\n{unique(30)}", f"{unique(40)}\n{own} z {own}", f"{short} {unique(9)}", f"{unique(9)} {short}", unique(200), None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_shared_words"] for i in range(8)] == [51, 51, 0, 0, 0, 0, 0, 0]
+    # Fewer than 400 bytes stay; a string of 400 bytes goes, in one document too.
+    assert [got[i]["n_removed"] for i in range(8)] == [0, 0, 2 * len(own), len(short), len(short), 0, 0, 0]
+    assert got[0]["kept_sha256"] == hashlib.sha256(texts[0].encode()).hexdigest()
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -18,6 +18,9 @@ for chance collisions of 64-bit hashes:
 Hashes aren't compared with bytes.  Hot strings are counted in each task before
 anything is shuffled.  The rows that step 3 packs are sorted, so that a task that
 runs again after a lost executor numbers its pieces as before.
+
+The same steps find stretches of words that another document holds too: words
+are numbers then, as bytes are, and windows count by documents, not by places.
 """
 
 from __future__ import annotations
@@ -30,37 +33,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.llm.common import Scratch, bucket_slices, mix64, pair64, read_table, sub_batches
-from tickspark.llm.ngram_join import _BYTE, _power_tables, free_shuffles
+from tickspark.llm.ngram_join import _BYTE, _power_tables, free_shuffles, word_hashes
 
-GRAM = 64
+GRAM, GRAM_WORDS = 64, 8
 PIECE_BYTES = 1_000_000
+#: The shortest stretch of words that the query reports: over 50.
+PASSAGE_WORDS = 51
 
 
 class _Text:
-    """Several texts in one buffer, and hashes of any stretch of it."""
-
-    def __init__(self, texts: list[bytes]):
-        self.raw = np.frombuffer(b"".join(texts), np.uint8)
-        self.borders = np.cumsum([0, *map(len, texts)])
-        up, self.down = _power_tables(self.raw.size + 1)
-        self.sums = np.zeros(self.raw.size + 1, np.uint64)
-        np.cumsum(_BYTE[self.raw] * up[: self.raw.size], out=self.sums[1:])
+    """Several texts in one buffer, as bytes or words, and hashes of any stretch of it."""
+
+    def __init__(self, texts: list[bytes], words: bool = False):
+        if words:
+            units, doc = word_hashes(texts)
+            self.borders = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+        else:
+            units = _BYTE[np.frombuffer(b"".join(texts), np.uint8)]
+            self.borders = np.cumsum([0, *map(len, texts)])
+        self.size = units.size
+        up, self.down = _power_tables(self.size + 1)
+        self.sums = np.zeros(self.size + 1, np.uint64)
+        np.cumsum(units * up[: self.size], out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def grams(self, size: int) -> np.ndarray:
-        n = self.raw.size - size + 1
+        n = self.size - size + 1
         return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
 
-def find_runs(texts: list[bytes], length: int):
+def find_runs(texts: list[bytes], length: int, words: bool = False):
     """Runs of windows of one rank: (text, first start, last start, rank, hash of the stretch, whether the rank's gram is in it twice)."""
-    t = _Text(texts)
+    t = _Text(texts, words)
     none = np.zeros(0, np.int64)
-    if t.raw.size < length:
+    if t.size < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
-    gram = min(GRAM, length)
+    gram = min(GRAM_WORDS if words else GRAM, length)
     g = t.grams(gram)
     width = length - gram + 1
     low, have = g, 1
@@ -98,12 +108,12 @@ def _encoded(batch) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
 
 
-def _runs(length: int):
+def _runs(length: int, words: bool):
     def run(batches):
         import pyarrow as pa
 
         for batch in sub_batches(batches, PIECE_BYTES):
-            d, first, last, rank, stretch, twice = find_runs(_encoded(batch), length)
+            d, first, last, rank, stretch, twice = find_runs(_encoded(batch), length, words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(d)), pa.array(first), pa.array(last), pa.array(rank.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(twice)], ["key", "first", "last", "rank", "stretch", "twice"]
             )
@@ -114,8 +124,12 @@ def _runs(length: int):
 _ROW = "bucket int, uid long, piece boolean, a binary, b binary"
 
 
-def _windows(length: int, bits: int):
-    """Window ranks of the standing runs, packed by bucket, and one row for each piece with its runs."""
+def _windows(length: int, bits: int, words: bool):
+    """Window ranks of the standing runs, packed by bucket, and one row for each piece with its runs.
+
+    A rank that suffices for itself is marked: of bytes one that the piece has
+    twice, of words one that two documents of the piece or a stretch of several have.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -126,7 +140,7 @@ def _windows(length: int, bits: int):
         half = length // 2
         for k, batch in enumerate(sub_batches(batches, PIECE_BYTES)):
             uid = part << 32 | k
-            t = _Text(_encoded(batch))
+            t = _Text(_encoded(batch), words)
             key, first, last, alone = [], [], [], []
             for i, (dk, runs) in enumerate(zip(batch.column("key").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
                 for r in runs:
@@ -149,6 +163,9 @@ def _windows(length: int, bits: int):
             head = np.stack([np.array(key, np.int64), first - doc_start, np.array(alone, np.int64), n]).astype("<i8") if key else np.zeros((4, 0), "<i8")
             rows = [(uid % (1 << bits), uid, True, head.tobytes(), np.stack([group[np.argsort(order)]]).astype("<u4").tobytes())]
             distinct, many = ranked[starts], times > 1
+            if words and order.size:
+                docs, single = np.array(key, np.int64)[no[order]], np.array(alone, bool)[no[order]]
+                many = (np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)) | ~np.logical_and.reduceat(single, starts)
             for b, s in bucket_slices(distinct >> np.uint64(64 - bits)):
                 rows.append((b, uid, False, distinct[s].astype("<u8").tobytes(), many[s].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -157,7 +174,7 @@ def _windows(length: int, bits: int):
 
 
 def _count(table):
-    """One bucket: whether each window rank that a piece sent occurs twice or more anywhere."""
+    """One bucket: whether each window rank that a piece sent is marked or sent by another piece too."""
     import pyarrow as pa
 
     rows = table.to_pylist()
@@ -197,25 +214,48 @@ def _spans(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(key, a, b): byte ranges, possibly overlapping, that a repeated string of length bytes covers.  docs: key, text."""
-    runs = scratch.save(docs.mapInArrow(_runs(length), "key long, first long, last long, rank long, stretch long, twice boolean"), "runs")
-    ranks = runs.groupBy("rank").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("rank")
+def repeated_spans(docs: DataFrame, length: int, scratch: Scratch, words: bool = False) -> DataFrame:
+    """(key, a, b): ranges, possibly overlapping, that a repeated string of length bytes covers.  docs: key, text.
+
+    With words, ranges of words that a sequence of length words covers which a document of another key has too.
+    """
+    often = F.min("key") != F.max("key") if words else F.count("*") > 1
+    runs = scratch.save(docs.mapInArrow(_runs(length, words), "key long, first long, last long, rank long, stretch long, twice boolean"), "runs")
+    ranks = runs.groupBy("rank").agg(often.alias("often"), F.max("twice").alias("twice")).where("often" if words else "often or twice").select("rank")
     live = scratch.save(runs.join(ranks, "rank"), "live")
-    stretches = live.groupBy("rank", "stretch").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("key", "first", "last")).alias("r"))
+    stretches = live.groupBy("rank", "stretch").agg(often.alias("often"), F.max("twice").alias("twice"), F.min(F.struct("key", "first", "last")).alias("r"))
     ranks = stretches.groupBy("rank").agg((F.count("*") > 1).alias("several"), F.max("twice").alias("self"))
-    stretches = scratch.save(stretches.join(ranks, "rank").select("rank", "stretch", "n", "r", (F.col("several") | F.col("self")).alias("open")), "stretches")
-    whole = live.join(stretches.where("n > 1").select("rank", "stretch"), ["rank", "stretch"]).select("key", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    standing = stretches.where("open").select("r.key", F.struct("r.first", "r.last", (F.col("n") == 1).alias("alone")).alias("run")).groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    stretches = scratch.save(stretches.join(ranks, "rank").select("rank", "stretch", "often", "r", (F.col("several") if words else F.col("several") | F.col("self")).alias("open")), "stretches")
+    whole = live.join(stretches.where("often").select("rank", "stretch"), ["rank", "stretch"]).select("key", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    standing = stretches.where("open and often" if words else "open").select("r.key", "r.first", "r.last", (~F.col("often")).alias("alone"))
+    if words:  # a stretch that one document alone has stands at each of its places
+        own = stretches.where("open and not often").select("rank", "stretch")
+        standing = standing.union(live.join(own, ["rank", "stretch"]).select("key", "first", "last", F.lit(True)))
+    standing = standing.select("key", F.struct("first", "last", "alone").alias("run")).groupBy("key").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     total = runs.agg(F.sum(F.col("last") - F.col("first"))).first()[0] or 0
     bits = max(6, int(total // 4_000_000).bit_length())
-    packed = docs.join(standing, "key").select("key", "text", "runs").sortWithinPartitions("key").mapInArrow(_windows(length, bits), _ROW)
+    packed = docs.join(standing, "key").select("key", "text", "runs")
+    if words:  # a document of several rows is one
+        packed = packed.dropDuplicates(["key"])
+    packed = packed.sortWithinPartitions("key").mapInArrow(_windows(length, bits, words), _ROW)
     counted = packed.groupBy("bucket").applyInArrow(_count, _ROW)
     part = scratch.save(counted.groupBy("uid").applyInArrow(_spans(length), "key long, a long, b long"), "spans")
     free_shuffles(docs.sparkSession)
     return whole.union(part)
 
 
+def shared_words(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(key, n_shared_words) of documents with words in sequences of length words that a document of another key has too.  docs: key, text."""
+    steps = Scratch(docs.sparkSession, "shared-words")
+    spans = repeated_spans(docs, length, steps, words=True).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    union = F.aggregate("spans", none, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["end"]))).alias("n")), lambda s: s["n"])
+    out = scratch.save(spans.select("key", union.alias("n_shared_words")), "shared")
+    steps.drop_all()
+    free_shuffles(docs.sparkSession)
+    return out
+
+
 def _remove(schema):
     def run(batches):
         import pyarrow as pa
@@ -248,20 +288,30 @@ def _remove(schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) of every row.
+def remove_repeats(docs: DataFrame, length: int = 400, keep_bytes: bool = True, passage_words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, n_shared_words and kept (binary) of every row.
 
     Null counts as empty; texts shorter than length lose nothing unless they
     contain nothing to lose; rows that agree in doc_id and text are occurrences
     of their own, so each takes the other's bytes.  Further columns are ignored.
+
+    n_shared_words, with passage_words above 0: words in sequences of so many
+    words, whatever their bytes, that another document has too.  It removes
+    nothing; rows that agree in doc_id and text are one document there.
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    shared = shared_words(keyed.select("key", "text"), passage_words, scratch) if passage_words else None
     spans = repeated_spans(keyed.select("key", "text"), length, scratch).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
-    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()]
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False))])
-    return keyed.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_remove(names), schema)
+    kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
+    rows = keyed.join(spans, "key", "left")
+    if passage_words:
+        kinds["n_shared_words"] = T.LongType()
+        rows = rows.join(shared, "key", "left").withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0).cast("long")))
+    if keep_bytes:
+        kinds["kept"] = T.BinaryType()
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in kinds.items())])
+    return rows.drop("key").mapInArrow(_remove(schema.names), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,8 +321,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     each other's bytes.  Overlapping spans are one.  A text is handled in one
     task, with about 60 bytes of memory for each of the longest text.  An empty
     table gives an empty result.
+
+    A passage of over 50 words can have fewer than 400 bytes and stays then;
+    n_shared_words counts the words in such passages, of any size, that another
+    document has too.
     """
-    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False)
+    return remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False, passage_words=PASSAGE_WORDS)
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
