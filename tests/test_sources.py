@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,49 @@ def test_binary_quotes_and_bars(spark, tmp_path):
     assert binary.human_readable(out).count() == 3
 
 
+def test_many_quote_files(spark):
+    """Files of either layout, packed, empty or cut off, in far fewer frames than there are files, and with the numbers that each gives alone."""
+    import lzma
+
+    from tickspark.plans.feed_queries import _quote_files
+
+    rng = np.random.default_rng(1)
+    files = {}
+    for k in range(2000):
+        n = int(rng.integers(0, 5))
+        data = np.zeros(n, binary.QUOTE)
+        for c in data.dtype.names:
+            data[c] = np.sort(rng.integers(0, 3_600_000, n))
+        files[f"EURUSD/2010/{k % 12:02d}/{k // 288 + 1:02d}/{k // 12 % 24:02d}h_ticks.bi5"] = data.tobytes()
+    old = np.array([(1262599200000, 1.4001, 1.4, 1.0, 2.0), (1262599201000, 1.4002, 1.4, 1.0, 2.0)], binary.OLD_QUOTE).tobytes()
+    paths = sorted(files)
+    files[paths[3]], files[paths[5]], files[paths[7]], files[paths[9]] = old, lzma.compress(files[paths[5]]), old[:41], old[:40]
+    want = []
+    for p, data in files.items():
+        us, bid, ask, bq, aq = binary.quote_rows(data, binary.guess(p)[1])
+        want += [x for i in range(us.size) for x in ((int(us[i]), i, 1, round(bid[i], 5), round(bq[i])), (int(us[i]), i, 2, round(ask[i], 5), round(aq[i])))]
+    table = spark.createDataFrame([(p, bytearray(data)) for p, data in files.items()], "path string, content binary").coalesce(1)
+    got = binary.quotes(spark, table, every=True).select(F.unix_micros(F.col("ts").cast("timestamp")), "seq", "ttf", F.col("px").cast("double"), F.col("sz").cast("double")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    # Files are laid from rows in order, across batches, and one by one the same.
+    frame_of = lambda a, b: pd.DataFrame({"path": [f"P{i // 7}" for i in range(a, b)], "ms": range(a, b), "bid": 1, "ask": 2, "millions": 0.5})
+    cut = pd.concat(_quote_files(frame_of(a, b) for a, b in ((0, 10), (10, 10), (10, 14), (14, 20), (20, 30))))
+    one = pd.concat(_quote_files([frame_of(0, 30)]))
+    assert cut.values.tolist() == one.values.tolist() and [len(c) for c in one["content"]] == [140, 140, 140, 140, 40]
+    assert [int(np.frombuffer(c, binary.QUOTE)["ms"][0]) for c in one["content"]] == [0, 7, 14, 21, 28]
+
+
+def test_quotes_of_many_small_files_take_few_frames(spark, sf):
+    """A frame or a call for each file is what took the time."""
+    from tickspark.plans import queries
+
+    part = pd.DataFrame({"path": [f"EURUSD/2010/00/04/{k % 24:02d}h_{k}" for k in range(5000)], "content": [bytes(20)] * 5000})
+    assert [len(f) for f in binary.quote_frames([part])] == [5000]
+    large = pd.DataFrame({"path": part["path"][:5], "content": [bytes(binary.CHUNK // 2)] * 5})
+    assert len(list(binary.quote_frames([large]))) < 5
+    assert "FlatMapGroups" not in queries.QUERIES["source_dukas"](spark, sf)._jdf.queryExecution().toString()
+
+
 def test_xml(spark, tmp_path):
     doc = '<r><query whatToShow="BID" barSizeSetting="5 mins" formatDate="1"/><reqContract symbol="ZN" secType="FUT" exchange="ECBOT"/><row date="20110301  10:00:00" open="1" high="3" low="0.5" close="2"/></r>'
     (tmp_path / "h.xml").write_text(doc + "\f<broken\f" + doc.replace("10:00:00", "10:05:00"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,16 +252,29 @@ def hour_path(hour: Column, kind: str) -> Column:
     return F.concat_ws("/", six_letters(), F.date_format(hour, "yyyy"), F.lpad((F.month(hour) - 1).cast("string"), 2, "0"), F.date_format(hour, "dd"), F.concat(F.date_format(hour, "HH"), F.lit(f"h_{kind}.bi5")))
 
 
-def _quote_file(part):
+def _quote_files(batches):
+    """Files of quotes that come in order of paths, stamps and arrival; a file may go on in the next batch."""
     import numpy as np
     import pandas as pd
 
-    part = part.sort_values(["ms", "seq"])
-    records = np.zeros(len(part), binary.QUOTE)
-    for c in ("ms", "bid", "ask"):
-        records[c] = part[c]
-    records["bq"] = records["aq"] = part["millions"]
-    return pd.DataFrame({"path": part["path"].iloc[:1], "content": [records.tobytes()]})
+    last, pieces = None, []
+    for part in batches:
+        records = np.zeros(len(part), binary.QUOTE)
+        for c in ("ms", "bid", "ask"):
+            records[c] = part[c]
+        records["bq"] = records["aq"] = part["millions"]
+        path, data, width = part["path"].to_numpy(), records.tobytes(), binary.QUOTE.itemsize
+        bounds = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(part)]
+        done = []
+        for start, end in pairwise(bounds if len(part) else ()):
+            if pieces and path[start] != last:
+                done.append((last, b"".join(pieces)))
+                pieces = []
+            last = path[start]
+            pieces.append(data[start * width : end * width])
+        yield pd.DataFrame(done, columns=["path", "content"])
+    if pieces:
+        yield pd.DataFrame({"path": [last], "content": [b"".join(pieces)]})
 
 
 @query("source_dukas", f"WITH {PAIRS_SQL} SELECT {SIX} AS sym, {MS} AS ts, 1 AS ttf, CAST(bp AS DOUBLE) AS px, CAST(t.sz AS DOUBLE) AS sz FROM pairs JOIN (SELECT seq, sz FROM ticks) t USING (seq) UNION ALL SELECT {SIX}, {MS}, 2, CAST(ap AS DOUBLE), CAST(t.sz AS DOUBLE) FROM pairs JOIN (SELECT seq, sz FROM ticks) t USING (seq)")
@@ -269,7 +284,7 @@ def _(spark, sf):
     ms = ((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(hour.cast("timestamp"))) / 1000).cast("bigint")
     t = ticks(spark, sf)
     rows = t.select(hour_path(hour, "ticks").alias("path"), ms.alias("ms"), points(F.col("px")).alias("bid"), points((F.col("px") + F.col("sz") / 100).cast("decimal(18,4)")).alias("ask"), (F.col("sz").cast("double") / 1_000_000).alias("millions"), "seq")
-    files = rows.groupBy("path").applyInPandas(_quote_file, "path string, content binary")
+    files = rows.repartition("path").sortWithinPartitions("path", "ms", "seq").mapInPandas(_quote_files, "path string, content binary")
     return binary.quotes(spark, files, every=True).select("sym", "ts", "ttf", "px", "sz")
 
 
