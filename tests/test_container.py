@@ -158,6 +158,55 @@ def test_symbol_tables():
             cells.symbol_table(bad)
 
 
+def test_large_symbol_tables():
+    """As many symbols as an index can tell apart; places that were tried in vain are not tried again."""
+    import time
+
+    names = {f"U{i + 60_000}": i for i in range(1, cells.MOST_SYMBOLS + 1)}
+    began = time.process_time()
+    table = cells.symbol_table(names)
+    assert time.process_time() - began < 30
+    assert len(table) < 40 * len(names)
+    assert {s: i for i, s in cells.read_symbols(table).items()} == names
+
+
+@pytest.mark.parametrize("options", [{}, {"order": "big", "packed": True, "pages": 1}])
+def test_more_indices_than_a_file_can_tell_apart(spark, tmp_path, options):
+    n = 140_000
+    # Indices of three blocks and one far beyond, a tick without any, and symbols of four fifths of them.
+    index = F.when(F.col("seq") == 5, 2_147_483_647).when(F.col("seq") != 6, F.col("seq") * 7919 % n + 1).cast("int")
+    ticks = many(spark, n).withColumn("idx", index).withColumn("sym", F.when(F.col("idx") % 5 != 0, F.concat(F.lit("S"), F.col("idx").cast("string"))))
+    sink.write_container(ticks, str(tmp_path / "c"), **options)
+    want = ticks.withColumn("idx", F.coalesce("idx", F.lit(0)))
+    back = sources.read(spark, "container", str(tmp_path / "c"))
+    compared = [c for c in TICKS.names if c not in ("seq", "codes")]
+    assert back.select(*compared).exceptAll(want.select(*compared)).count() == 0 and back.count() == n
+    assert sources.read(spark, "container", str(tmp_path / "c"), whole_files=True).select(*compared).exceptAll(want.select(*compared)).count() == 0
+    bases = {container.header_of(f)[0].base for f in container.files_of(str(tmp_path / "c"))}
+    assert bases == {0, 65_535, 131_070, 2_147_483_647 // 65_535 * 65_535}
+    # Within a file ticks are in order, and of one block.
+    for f in container.files_of(str(tmp_path / "c"))[:3]:
+        for page in container.pages_of(f):
+            t = cells.decode_page(cells.unpack_page(container.read_range(f, *page)), container.header_of(f)[0].order)
+            assert (np.diff(t["sec"] * 1000 + t["msec"]) >= 0).all()
+    names = spark.createDataFrame([(70_001, "XY")], "idx int, sym string")
+    assert sources.read(spark, "container", str(tmp_path / "c"), dictionary=names).where("sym = 'XY'").select("idx").distinct().collect() == [(70_001,)]
+
+
+def test_indices_of_one_file(spark, tmp_path):
+    """A single file has one block of indices; more are refused, and nothing is left."""
+    ticks = many(spark, 200)
+    higher = ticks.withColumn("idx", F.col("idx") + 70_000)
+    sink.write_single(higher, str(tmp_path / "one"))
+    assert seen(sources.read(spark, "container", str(tmp_path / "one"))) == seen(higher)
+    two = ticks.withColumn("idx", F.when(F.col("sym") == "S1", F.col("idx")).otherwise(F.col("idx") + 70_000))
+    with pytest.raises(cells.ContainerError, match="several blocks"):
+        sink.write_single(two, str(tmp_path / "two"))
+    with pytest.raises(Exception, match="an index that isn't"):
+        sink.write_container(ticks.withColumns({"idx": F.lit(-1), "sym": F.lit("A")}), str(tmp_path / "three"))
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name != "three" or list(p.iterdir())) == ["one"]
+
+
 def test_words(spark):
     values = [None, "0", "77.056", "-77.056", "4.32117", "-5.36870911", "53687.0911", "53687.0912", "536870911", "-5368709110000", "0.00000001", "12345678", "5.368709115", "43211.01"]
     df = spark.createDataFrame([(None if v is None else Decimal(v),) for v in values], "v decimal(21,8)")

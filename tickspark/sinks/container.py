@@ -1,7 +1,9 @@
 """Ticks to the binary container.
 
 A folder of container files is what tasks write by themselves: each file has a
-run of pages, its symbols and its footer.  Files get a hidden name first and
+run of pages, its symbols and its footer.  An index has 16 bits in a file, so
+larger ones go to files of their own by blocks of 65,535, less the block's base,
+which stands in the header.  Files get a hidden name first and
 their own at the commit; a job that fails leaves none.  ``write_single`` lays the
 pages of such files into one: offsets by prefix sums over their footers, the
 bytes copied by tasks, each page to its place.
@@ -72,8 +74,8 @@ class Files(WriterCommitMessage):
 class _File:
     """A container file that grows page by page in memory."""
 
-    def __init__(self, order: str, packed: bool):
-        self.order, self.packed = order, packed
+    def __init__(self, order: str, packed: bool, base: int = 0):
+        self.order, self.packed, self.base = order, packed, base
         self.pages: list[bytes] = []
         self.cells: list[int] = []
         self.names: dict[str, int] = {}
@@ -81,7 +83,7 @@ class _File:
 
     def name(self, idx: int, sym: str) -> None:
         if self.owner.setdefault(idx, sym) != sym or self.names.setdefault(sym, idx) != idx:
-            raise cells.ContainerError(f"index {idx} and symbol {sym!r} have another partner too")
+            raise cells.ContainerError(f"index {idx + self.base} and symbol {sym!r} have another partner too")
 
     def add(self, page: bytes) -> None:
         self.cells.append(len(page) // cells.CELL)
@@ -89,10 +91,11 @@ class _File:
 
     def parts(self) -> Iterator[bytes]:
         places = lay(list(zip(map(len, self.pages), self.cells, strict=True)), self.packed)
-        yield from head_and_tail(self.order, self.packed, places, self.names)[:1]
+        head, tail = head_and_tail(self.order, self.packed, places, self.names, self.base)
+        yield head
         for k, page in enumerate(self.pages):
             yield page + filling(places, k)
-        yield from head_and_tail(self.order, self.packed, places, self.names)[1:]
+        yield tail
 
 
 def lay(pages: list[tuple[int, int]], packed: bool) -> list[tuple[int, int, int]]:
@@ -111,15 +114,20 @@ def filling(places: list[tuple[int, int, int]], k: int) -> bytes:
     return b"\xff" * (places[k + 1][0] - at - length) if k + 1 < len(places) else b""
 
 
-def head_and_tail(order: str, packed: bool, places: list[tuple[int, int, int]], names: dict[str, int]) -> list[bytes]:
+def head_and_tail(order: str, packed: bool, places: list[tuple[int, int, int]], names: dict[str, int], base: int = 0) -> list[bytes]:
     """The header, and what comes behind the pages."""
     table = cells.symbol_table(names) if names else b""
     footer = cells.pack_footer(places, order)
     flags = cells.ORDERED | (cells.PACKED if packed else 0)
-    header = cells.Header(order, False, flags, cells.HEADER, len(table), len(names), len(places), len(footer))
+    header = cells.Header(order, False, flags, cells.HEADER, len(table), len(names), len(places), len(footer), base)
     return [header.pack(), table.ljust(-(-len(table) // cells.CELL) * cells.CELL, b"\0") + footer]
 
 
+def base_of(idx: np.ndarray) -> np.ndarray:
+    """What the indices in a file lack: multiples of 65,535."""
+    return np.maximum(idx.astype(np.int64) - 1, 0) // cells.MOST_SYMBOLS * cells.MOST_SYMBOLS
+
+
 class PageWriter(DataSourceArrowWriter):
     """Options: path, order (little or big), packed, pages (of a file)."""
 
@@ -153,18 +161,27 @@ class PageWriter(DataSourceArrowWriter):
             nonlocal waiting, held
             ticks = {c: np.concatenate([w[c] for w in waiting]) for c in (*WORDS, "sym")} if waiting else None
             start = 0
-            while ticks is not None and (held >= cells.PAGE_CELLS or every and held):
-                ends = np.cumsum(np.where(ticks["ttf"][start:] & 16, 2, 1))
+            # Ticks come block by block, so a page ends where it is full or where the block does.
+            base = base_of(ticks["idx"]) if held else None
+            while held:
+                until = int(np.searchsorted(base, base[start], "right"))
+                ends = np.cumsum(np.where(ticks["ttf"][start:until] & 16, 2, 1))
                 n = int(np.searchsorted(ends, cells.PAGE_CELLS, "right"))
+                if not every and start + n == base.size:
+                    break
+                if file.base != base[start]:
+                    if file.pages:
+                        flush()
+                    file.base = int(base[start])
                 part = {c: v[start : start + n] for c, v in ticks.items()}
-                index, first = np.unique(part["idx"], return_index=True)
-                for idx, k in zip(index.tolist(), first.tolist(), strict=True):
-                    sym = part["sym"][k]
-                    own = part["sym"][part["idx"] == idx]
-                    if idx and (own != sym).any():
-                        raise cells.ContainerError(f"index {idx} has several symbols")
-                    if idx and sym is not None:
-                        file.name(idx, sym)
+                part["idx"] = part["idx"] - file.base
+                index, first, place = np.unique(part["idx"], return_index=True, return_inverse=True)
+                sym = part["sym"][first]
+                if (odd := (part["sym"] != sym[place]) & (part["idx"] != 0)).any():
+                    raise cells.ContainerError(f"index {part['idx'][odd][0] + file.base} has several symbols")
+                for idx, own in zip(index.tolist(), sym.tolist(), strict=True):
+                    if idx and own is not None:
+                        file.name(idx, own)
                 file.add(cells.encode_page(part, self.order))
                 start, held = start + n, held - int(ends[n - 1])
                 if len(file.pages) >= self.most:
@@ -212,7 +229,7 @@ class PageWriter(DataSourceArrowWriter):
 
 
 def write_container(ticks: DataFrame, path: str, dictionary: DataFrame | None = None, append: bool = False, order: str = "little", packed: bool = False, pages: int = PAGES_PER_FILE) -> None:
-    """Ticks in chronological order as a folder of container files.
+    """Ticks as a folder of container files, in chronological order within each block of 65,535 indices.
 
     Symbols need their index in the tick or in a dictionary; an index without
     symbol is kept, a tick without either has index 0.  A file has one symbol an
@@ -221,7 +238,8 @@ def write_container(ticks: DataFrame, path: str, dictionary: DataFrame | None =
     source.register(ticks.sparkSession)
     if dictionary is not None:
         ticks = ticks.drop("idx").join(dictionary.select("idx", "sym"), "sym", "left")
-    rows = raw_of(ticks).repartitionByRange("sec", "msec", "idx", "ttf", "seq").sortWithinPartitions("sec", "msec", "idx", "ttf", "seq")
+    block = F.floor((F.greatest("idx", F.lit(1)).cast("bigint") - 1) / cells.MOST_SYMBOLS)
+    rows = raw_of(ticks).repartitionByRange(block, "sec", "msec", "idx", "ttf", "seq").sortWithinPartitions(block, "sec", "msec", "idx", "ttf", "seq")
     writer = rows.write.format(source.NAME).mode("append" if append else "overwrite").option("order", order).option("packed", str(packed).lower()).option("pages", pages)
     writer.save(path)
 
@@ -244,30 +262,34 @@ def _copied(path: str):
 def write_single(ticks: DataFrame, path: str, dictionary: DataFrame | None = None, order: str = "little", packed: bool = False) -> None:
     """Ticks as one container file, on a file system that all tasks can write to at any place.
 
-    The driver sees footers and symbol tables only; pages go from file to file in
-    tasks.  The file gets its name when it is whole.
+    All indices must be of one block of 65,535.  The driver sees footers and symbol
+    tables only; pages go from file to file in tasks.  The file gets its name when it
+    is whole.
     """
     parts = f"{path}.parts-{uuid.uuid4().hex[:8]}"
     hidden = f"{path}.whole-{uuid.uuid4().hex[:8]}"
     spark = ticks.sparkSession
     write_container(ticks, parts, dictionary, order=order, packed=packed)
-    names: dict[str, int] = {}
-    found, counts = [], []
-    for file in source.files_of(parts):
-        header, size = source.header_of(file)
-        for start, length, n in cells.footer_cells(source.read_range(file, cells.footer_at(header, size), header.footer), header.order):
-            found.append((file, start, length))
-            counts.append(n)
-        for idx, sym in source.symbols_of(file, header.table, size).items():
-            if names.setdefault(sym, idx) != idx:
-                raise cells.ContainerError(f"symbol {sym!r} has several indices")
-    if len(set(names.values())) < len(names):
-        raise cells.ContainerError("an index has several symbols")
-    mark = ">" if order == "big" else "<"
-    places = lay([(length, n) for (_, _, length), n in zip(found, counts, strict=True)], packed)
-    head, tail = head_and_tail(mark, packed, places, names)
-    end = places[-1][0] + places[-1][1] if places else cells.HEADER
     try:
+        names: dict[str, int] = {}
+        found, counts, bases = [], [], set()
+        for file in source.files_of(parts):
+            header, size = source.header_of(file)
+            bases.add(header.base)
+            if len(bases) > 1:
+                raise cells.ContainerError(f"indices of several blocks of {cells.MOST_SYMBOLS}, which one file can't have")
+            for start, length, n in cells.footer_cells(source.read_range(file, cells.footer_at(header, size), header.footer), header.order):
+                found.append((file, start, length))
+                counts.append(n)
+            for idx, sym in source.symbols_of(file, header.table, size).items():
+                if names.setdefault(sym, idx) != idx:
+                    raise cells.ContainerError(f"symbol {sym!r} has several indices")
+        if len(set(names.values())) < len(names):
+            raise cells.ContainerError("an index has several symbols")
+        mark = ">" if order == "big" else "<"
+        places = lay([(length, n) for (_, _, length), n in zip(found, counts, strict=True)], packed)
+        head, tail = head_and_tail(mark, packed, places, names, *bases)
+        end = places[-1][0] + places[-1][1] if places else cells.HEADER
         with open(hidden, "wb") as out:
             out.truncate(end)
             out.write(head)

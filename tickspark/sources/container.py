@@ -87,7 +87,7 @@ def pages_of(path: str) -> list[tuple[int, int]]:
 
 @lru_cache(maxsize=8)
 def symbols_of(path: str, table: int, size: int) -> dict[int, str]:
-    """Symbols of a file; table and size tell versions of a growing one apart."""
+    """Symbols by the index in the file; table and size tell versions of a growing one apart."""
     header, size = header_of(path)
     return cells.read_symbols(read_range(path, cells.table_at(header, size), header.table)) if header.table else {}
 
@@ -105,10 +105,12 @@ class Page(InputPartition):
         super().__init__((self.path, self.offset, self.skip))
 
 
-def batch_of(ticks: dict[str, np.ndarray], names: dict[int, str], seq: int, path: str):
+def batch_of(ticks: dict[str, np.ndarray], names: dict[int, str], seq: int, path: str, base: int = 0):
     import pyarrow as pa
 
     index = ticks["idx"]
+    if base:
+        ticks = ticks | {"idx": np.where(index > 0, index + base, 0)}
     used = np.unique(index)
     lookup = np.array([names.get(int(i)) for i in used], object)
     sym = pa.array(lookup[np.searchsorted(used, index)] if used.size else [], pa.string())
@@ -123,7 +125,7 @@ def read_page(page: Page) -> Iterator:
     header, size = header_of(page.path)
     data = read_range(page.path, page.offset + page.skip, page.length - page.skip)
     ticks = cells.decode_page(data if page.skip else cells.unpack_page(data), header.order, header.old)
-    yield batch_of(ticks, symbols_of(page.path, header.table, size), page.seq + page.skip // cells.CELL, page.path)
+    yield batch_of(ticks, symbols_of(page.path, header.table, size), page.seq + page.skip // cells.CELL, page.path, header.base)
 
 
 def first_second(page: Page) -> int | None:
@@ -279,7 +281,7 @@ def _whole(parts: Iterator) -> Iterator:
             names = cells.read_symbols(data[table : table + header.table]) if header.table else {}
             for offset, length in _pages_in(data, header):
                 ticks = cells.decode_page(cells.unpack_page(data[offset : offset + length]), header.order, header.old)
-                yield batch_of(ticks, names, seq, path)
+                yield batch_of(ticks, names, seq, path, header.base)
                 seq += 1 << 18
 
 
