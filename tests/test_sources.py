@@ -180,6 +180,27 @@ def test_xml(spark, tmp_path):
     assert sorted((r["sym"], float(r["px"]), str(r["ts"])) for r in rates) == [("EURJPY", 155.68, "2024-01-02 23:59:59"), ("EURUSD", 1.0956, "2024-01-02 23:59:59")]
 
 
+def test_large_history_files(spark, tmp_path):
+    """A file of many documents goes to many tasks, in pieces; documents that a split cuts are whole, and each is there once."""
+    doc = '<r><query whatToShow="BID" barSizeSetting="1 day"/><reqContract symbol="S{0}"/><row date="{1}" open="1" high="3" low="0.5" close="2"/>{2}</r>'
+    n, row = 20_000, '<row date="1300000000" open="1" high="3" low="0.5" close="2"/>'
+    at = tmp_path / "docs"
+    at.mkdir()
+    body = "\f".join(doc.format(i, 1_300_000_000 + i, row * 30_000 if i == 7 else "\n\r\n") for i in range(n)).encode()
+    (at / "a.xml").write_bytes(body + b"\f" + doc.format("\xff", 1_300_000_000, "").encode("latin-1") + b"\f")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        out = sources.read(spark, "ibhist", str(at))
+        assert out.rdd.getNumPartitions() > 4
+        assert (out.count(), out.where("sym = 'S7'").count(), out.select("sym").distinct().count()) == (n + 30_001, 30_001, n + 1)
+        assert out.where("unix_micros(cast(sta_ts as timestamp)) / 1000000 = 1300000000 + try_cast(substr(sym, 2, 9) as int)").count() == n
+        assert out.orderBy("seq").first()["sym"] == "S0" and out.where("sym = 'S\ufffd'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    parts = pd.DataFrame({"value": [doc.format(1, 2, row * 30_000).encode()] * 2})
+    assert [len(f) for f in xml.history_frames([parts])] == [xml.FRAME] * 6 + [2]
+
+
 def test_registry_and_dictionary(spark):
     sources.register_source("own", lambda lines: lines.withColumn("ttf", F.lit(1)))
     assert "own" in sources.TEXT

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,13 @@ from pyspark.sql import functions as F
 from tickspark.schema import tick_columns
 from tickspark.sources.text import fixings
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SIDES = {"BID": 0x11, "ASK": 0x12, "TRADES": 0x13}
+NAMES = ["sym", "side", "bar", "stamp", "o", "h", "l", "c"]
+#: Rows that a task holds at a time, besides a document.
+FRAME = 10_000
 UNITS = {"sec": 1, "secs": 1, "min": 60, "mins": 60, "hour": 3600, "hours": 3600, "day": 86400}
 
 
@@ -40,18 +48,22 @@ def history_rows(content: str) -> Iterator[dict]:
             yield {"sym": sym, "side": query.get("whatToShow"), "bar": bar_seconds(query.get("barSizeSetting", "")), "stamp": row.get("date"), **{k: row.get(n) for k, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"))}}
 
 
-def history(spark: SparkSession, path: str, zone: str = "Europe/Berlin") -> DataFrame:
-    """Bars of a trading station's history files as candles without volume, stamped at their end; local stamps are in zone."""
+def history_frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of documents, in frames of at most FRAME."""
     import pandas as pd
 
-    names = ["sym", "side", "bar", "stamp", "o", "h", "l", "c"]
+    rows = (row for part in parts for data in part["value"] for row in history_rows(bytes(data).decode("utf-8", "replace")))
+    while frame := list(islice(rows, FRAME)):
+        yield pd.DataFrame(frame, columns=NAMES)
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for data in part["content"]:
-                yield pd.DataFrame(list(history_rows(bytes(data).decode("utf-8", "replace"))), columns=names)
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "sym string, side string, bar int, stamp string, o string, h string, l string, c string")
+def history(spark: SparkSession, path: str, zone: str = "Europe/Berlin") -> DataFrame:
+    """Bars of a trading station's history files as candles without volume, stamped at their end; local stamps are in zone.
+
+    A row of Spark's text source is a document, so no task holds a file, and large files are split.
+    """
+    docs = spark.read.option("lineSep", "\f").text(path).select(F.col("value").cast("binary").alias("value"))
+    rows = docs.mapInPandas(history_frames, "sym string, side string, bar int, stamp string, o string, h string, l string, c string")
     local = F.coalesce(F.try_to_timestamp("stamp", F.lit("yyyyMMdd  HH:mm:ss")), F.try_to_timestamp("stamp", F.lit("yyyyMMdd HH:mm:ss")), F.try_to_timestamp("stamp", F.lit("yyyyMMdd"))).cast("timestamp_ntz")
     utc = F.when(F.col("stamp").rlike("^[0-9]{9,}$"), F.timestamp_seconds(F.col("stamp").try_cast("bigint")).cast("timestamp_ntz")).otherwise(F.convert_timezone(F.lit(zone), F.lit("UTC"), local))
     ttf = F.lit(None).cast("int")
