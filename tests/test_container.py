@@ -324,3 +324,20 @@ def test_a_growing_file_as_a_stream(spark, tmp_path):
     got = step()
     (tmp_path / "all").write_bytes(file_of([b"".join(parts)], names={"AB": 1, "CD": 2}))
     assert seen(got) == seen(sources.read(spark, "container", str(tmp_path / "all")))
+
+
+@pytest.mark.parametrize("name", ["container_candles", "container_ticks"])
+def test_queries_with_large_indices(spark, tmp_path, sf, name):
+    """Users of three blocks of indices, against the query's SQL."""
+    import duckdb
+
+    from tickspark.plans import queries
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT * REPLACE (user_id * 9973 AS user_id) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert con.sql("SELECT max(user_id) > 131070 FROM events").fetchall()[0][0]
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -35,13 +35,19 @@ PAGES_PER_FILE = 16
 WORDS = ("sec", "msec", "idx", "ttf", *"abcdefw")
 
 
+def place_of() -> list[Column]:
+    """Second, millisecond field, index, type and arrival of a tick: the order of a file."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # From 1000 on the field is a marker; else the stamp has the milliseconds.
+    msec = F.when(F.col("msec") >= 1000, F.col("msec")).otherwise(F.floor(F.pmod(us, F.lit(1_000_000)) / 1000).cast("int"))
+    return [F.floor(us / 1_000_000).cast("bigint").alias("sec"), msec.cast("int").alias("msec"), F.coalesce("idx", F.lit(0)).alias("idx"), F.col("ttf"), F.col("seq").cast("bigint").alias("seq")]
+
+
 def raw_of(ticks: DataFrame) -> DataFrame:
     """Raw columns of ticks, as the source gives them: the numbers as words."""
     ttf = F.col("ttf")
     candle, volume, snap, pair = (ttf >= 0x11) & (ttf <= 0x16), ttf == 0x18, ttf == 0x1C, ttf == 12
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    # From 1000 on the field is a marker; else the stamp has the milliseconds.
-    msec = F.when(F.col("msec") >= 1000, F.col("msec")).otherwise(F.floor(F.pmod(us, F.lit(1_000_000)) / 1000).cast("int"))
+    sec, msec, idx, kind, seq = place_of()
     start, count = seconds(F.col("sta_ts")).cast("bigint"), F.coalesce(F.col("cnt"), F.lit(0))
     none = F.lit(None).cast("decimal(21,8)")
 
@@ -58,10 +64,10 @@ def raw_of(ticks: DataFrame) -> DataFrame:
     point = ~(candle | volume | snap | pair)
     first = F.when(point & F.coalesce("is_mkt", F.lit(False)), F.lit(0xE0000000)).otherwise(pick(0, px=point, bp=snap | pair, h=candle))
     return ticks.select(
-        F.floor(us / 1_000_000).cast("bigint").alias("sec"), msec.cast("int").alias("msec"), F.coalesce("idx", F.lit(0)).alias("idx"), F.col("sym"), ttf.alias("ttf"),
+        sec, msec, idx, F.col("sym"), kind,
         first.alias("a"), pick(1, sz=point, ap=snap | pair, l=candle).alias("b"), pick(2, bq=snap, o=candle, vwap=volume).alias("c"), pick(3, aq=snap, c=candle, twap=volume).alias("d"),
         F.when(candle | volume, F.coalesce(start, F.lit(0))).otherwise(pick(4, tvpr=snap)).alias("e"), F.when(candle | volume, count).otherwise(pick(5, tq=snap)).alias("f"),
-        wide_word(F.col("w"), F.shiftright(codes, WIDE_CODE).bitwiseAND(F.lit(3)).cast("int")).alias("w"), F.col("seq").cast("bigint").alias("seq"), F.lit("").alias("file"),
+        wide_word(F.col("w"), F.shiftright(codes, WIDE_CODE).bitwiseAND(F.lit(3)).cast("int")).alias("w"), seq, F.lit("").alias("file"),
     )
 
 
@@ -238,8 +244,10 @@ def write_container(ticks: DataFrame, path: str, dictionary: DataFrame | None =
     source.register(ticks.sparkSession)
     if dictionary is not None:
         ticks = ticks.drop("idx").join(dictionary.select("idx", "sym"), "sym", "left")
-    block = F.floor((F.greatest("idx", F.lit(1)).cast("bigint") - 1) / cells.MOST_SYMBOLS)
-    rows = raw_of(ticks).repartitionByRange(block, "sec", "msec", "idx", "ttf", "seq").sortWithinPartitions(block, "sec", "msec", "idx", "ttf", "seq")
+    block = lambda idx: F.floor((F.greatest(idx, F.lit(1)).cast("bigint") - 1) / cells.MOST_SYMBOLS)
+    # Words cost more than the exchange of ticks, so they are made once, behind it.
+    place = place_of()
+    rows = raw_of(ticks.repartitionByRange(block(place[2]), *place)).sortWithinPartitions(block(F.col("idx")), "sec", "msec", "idx", "ttf", "seq")
     writer = rows.write.format(source.NAME).mode("append" if append else "overwrite").option("order", order).option("packed", str(packed).lower()).option("pages", pages)
     writer.save(path)
 
