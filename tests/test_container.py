@@ -326,7 +326,7 @@ def test_a_growing_file_as_a_stream(spark, tmp_path):
     assert seen(got) == seen(sources.read(spark, "container", str(tmp_path / "all")))
 
 
-@pytest.mark.parametrize("name", ["container_candles", "container_ticks"])
+@pytest.mark.parametrize("name", ["container_candles", "container_stream", "container_ticks"])
 def test_queries_with_large_indices(spark, tmp_path, sf, name):
     """Users of three blocks of indices, against the query's SQL."""
     import duckdb
